@@ -104,7 +104,8 @@ def mix(
 
 def first_words(text: Column, n: Column) -> Column:
     """The first ``n`` words of a text with what stands between them, as it is."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}")), 0)
+    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+"))
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
 
 
 def mixed_texts(docs: DataFrame, **options: object) -> DataFrame:

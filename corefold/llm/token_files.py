@@ -158,7 +158,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0)
         if store.get_file_info(final).type != pafs.FileType.NotFound:
             store.delete_file(final)
         store.move(final + where, final)
-        yield pa.RecordBatch.from_pydict({"file": [k], "n_docs": [len(w.docs)], "n_tokens": [w.n]})
+        yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32()), "n_docs": [len(w.docs)], "n_tokens": [w.n]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
