@@ -11,27 +11,21 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Callable
 
 #: White space as the pre-tokenizer knows it. Python's own ``\s`` also takes U+001C to U+001F.
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Longer chunks are not kept; when the cache is full, only chunks up to the second length stay.
 LONGEST_KEPT, SHORT = 64, 8
-_encoders: dict[tuple, ChunkEncoder] = {}
+_encoders: dict[tuple, CachedEncoder] = {}
 
 
-class ChunkEncoder:
-    """``kind`` "words": white space is dropped, chunks are ASCII words. "bytes": a chunk takes the space before it."""
+class CachedEncoder:
+    """Ids of texts from ids of their chunks. ``split`` cuts a text, ``encode`` gives the ids of many chunks."""
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.known = most, {}
-        self.split = (lambda t: t.encode().lower().split()) if kind == "words" else _CHUNKS.findall
-        self.decoded = (lambda c: [x.decode() for x in c]) if kind == "words" else list
+    def __init__(self, split: Callable, encode: Callable, most: int = 400_000):
+        self.split, self.encode, self.most, self.known = split, encode, most, {}
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; a null text counts as empty."""
@@ -45,8 +39,7 @@ class ChunkEncoder:
                 known.clear()
             new = set(chunks).difference(known)
         new = list(new)
-        for c, x in zip(new, self.tokenizer.encode_batch_fast(self.decoded(new), add_special_tokens=False), strict=True):
-            ids = x.ids
+        for c, ids in zip(new, self.encode(new), strict=True):
             known[c] = struct.pack(f"<{len(ids)}I", *ids)
         out = b"".join(map(known.__getitem__, chunks))
         for c in new:
@@ -55,8 +48,34 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str, kind: str) -> ChunkEncoder:
-    """One encoder for each worker process."""
+class ChunkEncoder(CachedEncoder):
+    """``kind`` "words": white space is dropped, chunks are ASCII words. "bytes": a chunk takes the space before it."""
+
+    def __init__(self, path: str, kind: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        many = self.tokenizer.encode_batch_fast
+        if kind == "words":
+            super().__init__(lambda t: t.encode().lower().split(), lambda c: [x.ids for x in many([y.decode() for y in c], add_special_tokens=False)], most)
+        else:
+            super().__init__(_CHUNKS.findall, lambda c: [x.ids for x in many(c, add_special_tokens=False)], most)
+
+
+class PieceEncoder(CachedEncoder):
+    """Pieces of a sentencepiece model, each ASCII word of a text taken on its own."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        super().__init__(lambda t: t.encode().split(), lambda c: self.model.encode([y.decode() for y in c], num_threads=1), most)
+
+
+def encoder(path: str, kind: str) -> CachedEncoder:
+    """One encoder for each worker process; ``kind`` "pieces" is a sentencepiece model."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = ChunkEncoder(path, kind)
+        _encoders[path, kind] = PieceEncoder(path) if kind == "pieces" else ChunkEncoder(path, kind)
     return _encoders[path, kind]
