@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, packing, quality, token_files
+from . import html_text, mixing, near_dup, packing, pii, quality, token_files, url_filter, warc
 from .common import scratch_path
 
 
@@ -31,6 +31,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, [(r["file"], r["n_tokens"]) for r in written.collect()])
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = _table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch_path(spark, "warc")
+    written = warc.write_archives(pages, folder, least_bytes=0).collect()
+    records = warc.read_archives(spark, folder, [(r["file"], r["size"]) for r in written], split_bytes=4 << 20)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=5, num=85, den=100)
 
@@ -40,12 +55,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs, public_tokenizers.path("piece_bpe_32k.model"), least_words=10, most_repeated=20)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, public_tokenizers.path("word_bpe_49k.json"), url_filter.RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op3_token_files": op3_token_files,
+    "op4_personal_data": op4_personal_data,
+    "op5_main_text": op5_main_text,
+    "op7_warc_round_trip": op7_warc_round_trip,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
