@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, near_dup, packing, pii, quality, token_files, url_filter, warc
+from . import ann, html_text, mixing, near_dup, packing, pii, quality, token_files, url_filter, warc
 from .common import scratch_path
 
 
@@ -39,6 +39,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=10, every=100, recall=0.96)
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = _table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch_path(spark, "warc")
     written = warc.write_archives(pages, folder, least_bytes=0).collect()
@@ -66,10 +70,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_personal_data": op4_personal_data,
     "op5_main_text": op5_main_text,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact statements, where SQL can express an operator's whole result.
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_round_trip": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+        ), bits AS (
+            SELECT page_id, n, hex, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', hex[i]) - 1), 4, '0')), '') AS b FROM p
+        ), named AS (
+            SELECT page_id, n, hex, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+                1 + 16 * (b[5 * i + 1])::INT + 8 * (b[5 * i + 2])::INT + 4 * (b[5 * i + 3])::INT + 2 * (b[5 * i + 4])::INT + (b[5 * i + 5])::INT]), '') AS digest
+            FROM bits
+        ), first AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+            CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+        FROM named JOIN first USING (hex)""",
+    "op8_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(len(words) - 4, least(len(words), 1))),
+                lambda i: array_to_string(words[i + 1:i + 5], ' '))) AS g FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+        ), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+        FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}

@@ -40,7 +40,7 @@ BLOCK_WORDS = (
 ALLOW_WORDS = (
     "news blog shop store library school university college docs wiki forum health travel weather science music film book books recipes kitchen "
     "city museum research photo garden sport history law journal press review home house car bike family art studio design tech code data maps "
-    "mail cloud help support about community church local garden nature animal animals language learn education math www m en de fr es html page"
+    "mail cloud help support about community church local nature animal animals language learn education math www m en de fr es html page"
 ).split()
 _PIECE = re.compile(r"[a-z]+|[0-9]+")
 LONGEST_WORD = 24

@@ -1,10 +1,77 @@
-"""A corpus pipeline over ``documents``: each stage calls one operator and its decisions take effect."""
+"""A corpus pipeline over ``documents``: each stage calls one operator of ``corefold.llm`` and its decisions take effect.
+
+Every stage gets what its predecessor kept, written as Parquet and read again, and all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corefold.llm import mixing, near_dup, packing, pii, quality
+from corefold.llm.common import materialise, scratch_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``, the length being that of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    found = near_dup.near_duplicates(docs, shingle=5, num=85, den=100)
+    gone = materialise(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    if gone.count() <= near_dup.BROADCAST_NODES:
+        gone = F.broadcast(gone)
+    return docs.select(*COLUMNS).join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind; every document stays."""
+    return _sized(pii.redact(docs.select(*COLUMNS)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; the last one of a source's budget is cut there."""
+    return _sized(mixing.mixed_texts(docs.select(*COLUMNS), weights=(5, 2, 1), most_epochs=3))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, with the sequence and the offset where each lies."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", keep_good),
+    ("near-duplicates", drop_near_duplicates),
+    ("personal data", redact_personal_data),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The classifiers, the sampling and the tokenizers have no SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):  # noqa: ANN001, ANN201
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table, each result written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        path = scratch_path(spark, f"stage-{k}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs
