@@ -48,8 +48,29 @@ class CachedEncoder:
         return out
 
 
+#: Printable ASCII and the accented letters of Latin-1: what pre-tokenizing does to them is plain.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(" ?[!-~À-ÖØ-öø-ÿ]+")
+_SHORT_FORMS = "'s|'t|'re|'ve|'m|'ll|'d"
+_TOKENS = {
+    "words": re.compile(f"{_SHORT_FORMS}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+"),
+    "bytes": re.compile(f"{_SHORT_FORMS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+"),
+}
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign by which a byte-level vocabulary writes each byte: printable ones as they are, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class ChunkEncoder(CachedEncoder):
-    """``kind`` "words": white space is dropped, chunks are ASCII words. "bytes": a chunk takes the space before it."""
+    """``kind`` "words": white space is dropped, chunks are ASCII words. "bytes": a chunk takes the space before it.
+
+    Chunks of plain signs are pre-tokenized here and go to the tokenizer's model, others to
+    the tokenizer whole; the tests hold both against the tokenizer.
+    """
 
     def __init__(self, path: str, kind: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,11 +78,32 @@ class ChunkEncoder(CachedEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        many = self.tokenizer.encode_batch_fast
-        if kind == "words":
-            super().__init__(lambda t: t.encode().lower().split(), lambda c: [x.ids for x in many([y.decode() for y in c], add_special_tokens=False)], most)
-        else:
-            super().__init__(_CHUNKS.findall, lambda c: [x.ids for x in many(c, add_special_tokens=False)], most)
+        self.model, self.parts, self.signs = self.tokenizer.model, {}, _byte_signs()
+        self.pre, self.words = _TOKENS[kind].findall, kind == "words"
+        super().__init__((lambda t: t.encode().lower().split()) if self.words else _CHUNKS.findall, self.many, most)
+
+    def part(self, part: str) -> tuple[int, ...]:
+        if part not in self.parts:
+            if len(self.parts) > self.most // 2:
+                self.parts.clear()
+            self.parts[part] = tuple(x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(self.signs)))
+        return self.parts[part]
+
+    def many(self, chunks: list) -> list:
+        out: list = [None] * len(chunks)
+        odd, texts = [], []
+        for k, c in enumerate(chunks):
+            if self.words:
+                c = c.decode()
+            if len(c) <= LONGEST_KEPT and _PLAIN.fullmatch(c):
+                got = [self.part(p) for p in self.pre(c.lower() if self.words else c)]
+                out[k] = got[0] if len(got) == 1 else [i for p in got for i in p]
+            else:
+                odd.append(k)
+                texts.append(c)
+        for k, x in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if odd else [], strict=True):
+            out[k] = x.ids
+        return out
 
 
 class PieceEncoder(CachedEncoder):
