@@ -90,9 +90,11 @@ def mix(
     )
     if decided.count() <= BROADCAST_SOURCES:
         decided = F.broadcast(decided)
-    keep = [F.col(c) for c in docs.columns if c.lower() not in {"size", "source_size", "target", "epochs", "part", "taken"}]
-    out = docs.select(*keep, word_count(F.col("text")).alias("size"), key.alias("__key"), h.alias("__h"))
-    out = out.join(decided, F.col("source").eqNullSafe(F.col("__source")), "left")
+    own = {"size", "source_size", "target", "epochs", "part", "taken"}
+    keep = [F.col(f"__row.`{c}`") for c in docs.columns if c.lower() not in own]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    out = docs.select(row, word_count(F.col("text")).alias("size"), key.alias("__key"), h.alias("__h"))
+    out = out.join(decided, F.col("__row.source").eqNullSafe(F.col("__source")), "left")
     ahead = (F.col("__key") < F.col("__end_key")) | ((F.col("__key") == F.col("__end_key")) & (F.col("__h") < F.col("__end_h")))
     at = (F.col("__key") == F.col("__end_key")) & (F.col("__h") == F.col("__end_h"))
     none_ends = F.when(F.col("__left") >= F.col("source_size"), F.col("size")).otherwise(0)
@@ -113,13 +115,13 @@ def mixed_texts(docs: DataFrame, **options: object) -> DataFrame:
 
     Documents that the mix doesn't take are gone; so are those without words.
     """
-    out = mix(docs, **options)
+    out = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text", "source"), **options)
     times = F.concat(
         F.when(F.col("epochs") > 0, F.array_repeat(F.col("size"), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<bigint>")),
         F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")),
     )
     out = out.where(F.col("taken") > 0).withColumn("__words", F.explode(times))
     text = F.when(F.col("__words") < F.col("size"), first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*[c for c in docs.columns])
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"__doc.`{c}`") for c in docs.columns])
 
 

@@ -178,8 +178,8 @@ def _candidates(text: Column, kind: str, base: Column) -> Column:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__t``, the text, ``__<kind>``, base spans, and ``__more_<kind>``, candidates."""
-    out = docs.withColumn("__t", _text(F.col("text")))
+    """``__row``, a row of ``docs``, with ``__t``, its text, ``__<kind>``, base spans, and ``__more_<kind>``, candidates."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), _text(F.col("text")).alias("__t"))
     for kind in BASE_KINDS:
         out = out.withColumn(f"__{kind}", base_spans(F.col("__t"), kind))
     bare = lambda k: F.transform(F.col(f"__{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -258,13 +258,13 @@ def _accepted(votes: Column, model: Model, threshold: float) -> Column:
 
 
 def find(docs: DataFrame, model: Model, *, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with ``spans``, an array of ``(kind, start, end)``, and ``n_base`` of them base, first and by kind."""
+    """``__row``, a row of ``docs``, with ``spans``, an array of ``(kind, start, end)``, and ``n_base`` of them base, first and by kind."""
     out = _marked(docs)
     named = lambda k, spans: F.transform(spans, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = [named(k, F.col(f"__{k}")) for k in BASE_KINDS]
     more = [named(k, F.filter(F.col(f"__more_{k}"), lambda s: _accepted(s["votes"], model, threshold))) for k in MORE_KINDS]
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return out.select(*docs.columns, *counts, F.concat(*base).alias("base_spans"), F.concat(*base, *more).alias("spans"))
+    return out.select("__row", *counts, F.concat(*base).alias("base_spans"), F.concat(*base, *more).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -280,7 +280,7 @@ def digest(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = find(docs, fit(docs), threshold=threshold)
-    return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("__row.doc_id", *[f"n_{k}" for k in BASE_KINDS], F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
@@ -290,7 +290,7 @@ def redact(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """
     found = find(docs, fit(docs), threshold=threshold).withColumn("__sorted", F.array_sort(F.transform(
         F.col("spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    text = F.col("text")
+    text = F.col("__row.text")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -302,4 +302,5 @@ def redact(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
         )
 
     whole = F.aggregate(F.col("__sorted"), state, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(text)).select(*docs.columns)
+    safe = F.when(F.size("spans") > 0, whole).otherwise(text)
+    return found.select(*[safe.alias(c) if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns])

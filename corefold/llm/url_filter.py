@@ -142,10 +142,12 @@ def fit(pages: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Bayes:
     block = {f"h:{w}" for w in BLOCK_WORDS}
     rows = pages.select("url").where(F.col("url").isNotNull()).select("url", F.xxhash64("url").alias("h")).orderBy("h", "url").limit(sample)
     rows = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).collect()
-    labelled = [([f"h:{w}"], True) for w in BLOCK_WORDS for _ in range(5)] + [([f"h:{w}"], False) for w in ALLOW_WORDS for _ in range(5)]
-    for r in rows:
-        words = tokens(r["host"], r["path"], cut)
-        labelled.append((words, any(w in block for w in words)))
+    seen = [tokens(r["host"], r["path"], cut) for r in rows]
+    labelled = [(words, any(w in block for w in words)) for words in seen]
+    # words of the lexicon in addresses of their own, with the sample's paths in turn: what all have in common speaks for neither
+    paths = [[w for w in words if w.startswith("p:")] for words in seen] or [[]]
+    lexicon = [(w, True) for w in BLOCK_WORDS for _ in range(5)] + [(w, False) for w in ALLOW_WORDS for _ in range(5)]
+    labelled += [([f"h:{w}", *paths[k % len(paths)]], y) for k, (w, y) in enumerate(lexicon)]
     return Bayes.train(labelled)
 
 
