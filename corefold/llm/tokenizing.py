@@ -16,36 +16,47 @@ from collections.abc import Callable
 #: White space as the pre-tokenizer knows it. Python's own ``\s`` also takes U+001C to U+001F.
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: What texts have where the space between their words is not just one space or line feed.
+_ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+_UNEVEN = re.compile(r"\s")
 #: Longer chunks are not kept; when the cache is full, only chunks up to the second length stay.
 LONGEST_KEPT, SHORT = 64, 8
 _encoders: dict[tuple, CachedEncoder] = {}
+_FORMATS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return _FORMATS[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Known(dict):
+    """What ``make`` gave for a key, kept in bounded number."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        got = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                short = {k: v for k, v in self.items() if len(k) <= SHORT}
+                self.clear()
+                if len(short) < self.most // 2:
+                    self.update(short)
+            self[key] = got
+        return got
 
 
 class CachedEncoder:
-    """Ids of texts from ids of their chunks. ``split`` cuts a text, ``encode`` gives the ids of many chunks."""
+    """Ids of texts from ids of their chunks. ``split`` cuts a text, ``encode`` gives the packed ids of a chunk."""
 
-    def __init__(self, split: Callable, encode: Callable, most: int = 400_000):
-        self.split, self.encode, self.most, self.known = split, encode, most, {}
+    def __init__(self, split: Callable, encode: Callable, most: int):
+        self.split, self.known = split, Known(encode, most)
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; a null text counts as empty."""
-        chunks = self.split(text or "")
-        known = self.known
-        if not (new := set(chunks).difference(known)):
-            return b"".join(map(known.__getitem__, chunks))
-        if len(known) > self.most:
-            known = self.known = {c: v for c, v in known.items() if len(c) <= SHORT}
-            if len(known) > self.most // 2:
-                known.clear()
-            new = set(chunks).difference(known)
-        new = list(new)
-        for c, ids in zip(new, self.encode(new), strict=True):
-            known[c] = struct.pack(f"<{len(ids)}I", *ids)
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in new:
-            if len(c) > LONGEST_KEPT:
-                del known[c]
-        return out
+        return b"".join(map(self.known.__getitem__, self.split(text or "")))
 
 
 #: Printable ASCII and the accented letters of Latin-1: what pre-tokenizing does to them is plain.
@@ -72,48 +83,54 @@ class ChunkEncoder(CachedEncoder):
     the tokenizer whole; the tests hold both against the tokenizer.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.parts, self.signs = self.tokenizer.model, {}, _byte_signs()
-        self.pre, self.words = _TOKENS[kind].findall, kind == "words"
-        super().__init__((lambda t: t.encode().lower().split()) if self.words else _CHUNKS.findall, self.many, most)
-
-    def part(self, part: str) -> tuple[int, ...]:
-        if part not in self.parts:
-            if len(self.parts) > self.most // 2:
-                self.parts.clear()
-            self.parts[part] = tuple(x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(self.signs)))
-        return self.parts[part]
-
-    def many(self, chunks: list) -> list:
-        out: list = [None] * len(chunks)
-        odd, texts = [], []
-        for k, c in enumerate(chunks):
-            if self.words:
-                c = c.decode()
-            if len(c) <= LONGEST_KEPT and _PLAIN.fullmatch(c):
-                got = [self.part(p) for p in self.pre(c.lower() if self.words else c)]
-                out[k] = got[0] if len(got) == 1 else [i for p in got for i in p]
-            else:
-                odd.append(k)
-                texts.append(c)
-        for k, x in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if odd else [], strict=True):
-            out[k] = x.ids
-        return out
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        model, signs, plain, pre = tokenizer.model, _byte_signs(), _PLAIN.fullmatch, _TOKENS[kind].findall
+        space = signs[0x20]
+
+        def part(x: str) -> bytes:
+            x = x.replace(" ", space) if x.isascii() else x.encode().decode("latin-1").translate(signs)
+            return packed([t.id for t in model.tokenize(x)])
+
+        known = Known(part, most // 3)
+
+        def chunk(x: str) -> bytes:
+            if plain(x) and len(x) <= LONGEST_KEPT:
+                parts = pre(x)
+                return part(x) if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+            return packed(tokenizer.encode(x, add_special_tokens=False).ids)
+
+        def word(x: bytes) -> bytes:
+            x = x.decode()
+            return chunk(x.lower() if plain(x) else x)
+
+        if kind == "words":
+            super().__init__(lambda t: t.encode().lower().split(), word, most)
+            return
+        super().__init__(_CHUNKS.findall, chunk, most)
+        line = chunk("\n")
+        self.spaced = Known(lambda x: line + self.known[x[1:]] if x[0] == "\n" else chunk(" " + x), most)
+
+    def ids(self, text: str | None) -> bytes:
+        if text and hasattr(self, "spaced") and not _UNEVEN.search(text, 0, 1) and not text[-1].isspace() and not any(x in text for x in _ODD_SPACE):
+            # words with one space or line feed between them: a word stands for the space and itself
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self.known[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return super().ids(text)
 
 
 class PieceEncoder(CachedEncoder):
     """Pieces of a sentencepiece model, each ASCII word of a text taken on its own."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        super().__init__(lambda t: t.encode().split(), lambda c: self.model.encode([y.decode() for y in c], num_threads=1), most)
+        super().__init__(lambda t: t.encode().split(), lambda x: packed(self.model.encode(x.decode())), most)
 
 
 def encoder(path: str, kind: str) -> CachedEncoder:
