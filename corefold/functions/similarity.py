@@ -104,20 +104,24 @@ def token_set_text(a: str, b: str) -> float:
     return max(best, ratio(both, with_a), ratio(both, with_b)) if both else best
 
 
+def _best_window(short: str, long: str) -> float:
+    n, signs, best = len(short), set(short), 0.0
+    for i in range(1 - n, len(long)):
+        window = long[max(0, i) : i + n]
+        if (window[-1] if i + n <= len(long) else window[0]) in signs:
+            best = max(best, ratio(short, window))
+    return best
+
+
 def partial_text(a: str, b: str) -> float:
-    """The best ratio of the shorter string with any window of the longer, windows clipped at its ends."""
+    """The best ratio of the shorter string with any window of the longer, windows clipped at its ends; both ways if none is longer."""
     if not a or not b:
         return 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(short)
     if short in long:
         return 1.0
-    signs, best = set(short), 0.0
-    for i in range(1 - n, len(long)):
-        window = long[max(0, i) : i + n]
-        if (window[-1] if i + n <= len(long) else window[0]) in signs:
-            best = max(best, ratio(short, window))
-    return best
+    best = _best_window(short, long)
+    return max(best, _best_window(long, short)) if len(a) == len(b) else best
 
 
 def kernels_text(a: str | None, b: str | None) -> tuple[float, float, float, float]:

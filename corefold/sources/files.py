@@ -16,13 +16,20 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType = RECORD, *, str
     ``strict`` raises where the header lacks a column, and rows that are short have empty
     fields; else such rows are dropped.
     """
+    if not strict:
+        lines = spark.read.text(path)
+        first = lines.first() if header else None
+        fields = F.split(F.regexp_replace("value", "\r+$", ""), "\t")
+        rows = lines.where(F.col("value") != first["value"]) if first else lines
+        rows = rows.select(fields.alias("f")).where(F.size("f") >= len(schema))
+        return rows.select(*[F.trim(F.col("f")[i]).alias(c) for i, c in enumerate(schema.names)])
     reader = spark.read.option("sep", "\t").option("quote", "").option("escape", "").option("nullValue", "\u0000").option("emptyValue", "")
-    if strict and header:
+    if header:
         have = [c.strip() for c in (spark.read.text(path).first() or [""])[0].split("\t")]
         missing = [f.name for f in schema if f.name not in have]
         if missing:
             raise ValueError(f"{path} has no column {', '.join(missing)}")
-    rows = reader.option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE" if strict else "DROPMALFORMED").schema(schema).csv(path)
+    rows = reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
     return rows.select(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in schema.names])
 
 
