@@ -31,8 +31,9 @@ from .words import Words, mix, set_key
 
 #: Registers' scale. Close to 1, unequal minima seldom round to one value.
 BASE = 1.001
-ROWS, BANDS = 7, 36
-REGISTERS = ROWS * BANDS
+REGISTERS = 252
+#: The most that a linked pair may be missed: bands are as wide as that allows.
+MOST_MISSED = 5e-6
 #: Nodes, and shingles, that a block holds at most by rule; blocks are dealt by hash and vary a little.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 #: Nodes of clusters whose ids are broadcast to find their texts; 24 bytes each. Beyond, a shuffle join.
@@ -66,11 +67,18 @@ def registers(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each band, the band's number in it."""
-    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), 1))
-    parts = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    for k in range(ROWS):
+def band_rows(least: float) -> int:
+    """Registers a band, as many as leave a pair of this similarity together in some band but for ``MOST_MISSED``."""
+    fits = [r for r in (4, 6, 7, 9, 12, 14, 18, 21) if (1 - least**r) ** (REGISTERS // r) <= MOST_MISSED]
+    return max(fits, default=2)
+
+
+def band_hashes(regs: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit hash for each band of ``rows`` registers, the band's number in it."""
+    bands = REGISTERS // rows
+    h = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(regs), 1))
+    parts = regs.reshape(len(regs), bands, rows).astype(np.uint64)
+    for k in range(rows):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return h
 
@@ -120,7 +128,7 @@ def links_of(ids: list[int], sets: list[np.ndarray], regs: np.ndarray, sides: np
     """
     n = len(ids)
     sizes = np.asarray([len(s) for s in sets], np.float64)
-    bands = np.ascontiguousarray(band_hashes(regs))
+    bands = np.ascontiguousarray(band_hashes(regs, band_rows(num / den)))
     across = bool((sides != 2).any())
     found: list[np.ndarray] = []
     for i in range(n):
@@ -156,7 +164,7 @@ def links_of(ids: list[int], sets: list[np.ndarray], regs: np.ndarray, sides: np
     return out
 
 
-def sketch(docs: DataFrame, size: int) -> DataFrame:
+def sketch(docs: DataFrame, size: int, rows: int) -> DataFrame:
     """``doc_id, text`` to ``doc_id, text_hash, n_shingles, set_key`` and the node's buckets, ``bands``.
 
     A document without words has the key null and no buckets.
@@ -166,19 +174,19 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes, at = Words(b.column(1)).shingles(size, True)
-            bands = band_hashes(registers(hashes, at)).astype(np.int64)
+            bands = band_hashes(registers(hashes, at), rows).astype(np.int64)
             unique = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
             counts = [len(s) for s in unique]
             keys = [set_key(s) if len(s) else None for s in unique]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * (REGISTERS // rows), pa.int32()), pa.array(bands.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists],
                 ["doc_id", "text_hash", "n_shingles", "set_key", "bands"],
             )
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    rows = docs.select(*cols, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
+    hashed = docs.select(*cols, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -202,7 +210,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``.
+    """``doc_id, n_shingles, component_id, kept``, and ``text_hash``, for every row of ``doc_id, text``.
 
     Linked are documents with ``den * intersection >= num * union``. ``component_id`` is the
     smallest doc_id that links reach. A document without words has an empty set and is linked
@@ -210,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     id, or null where there is none, and it is kept only then. Rows that repeat an id with
     another text are documents of their own. An empty table gives an empty table.
     """
-    rows = materialise(sketch(docs, shingle), "sketches")
+    rows = materialise(sketch(docs, shingle, band_rows(num / den)), "sketches")
     solid = rows.where(F.col("set_key").isNotNull())
     same = solid.groupBy("set_key").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"),
@@ -266,6 +274,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     least = nodes.join(roots, "node", "left").select("node", "set_key", "least_id", F.coalesce("root", "node").alias("root"))
     component = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = least.join(component, "root").select("set_key", "component_id")
-    joined = solid.select("doc_id", "n_shingles", "set_key").join(named, "set_key").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    empty = rows.where(F.col("set_key").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    joined = solid.select("doc_id", "n_shingles", "text_hash", "set_key").join(named, "set_key").select("doc_id", "n_shingles", "component_id", kept, "text_hash")
+    none = F.lit(0).cast("long").alias("n_shingles")
+    empty = rows.where(F.col("set_key").isNull()).select("doc_id", none, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash")
     return joined.unionByName(empty)
+
+
+def drop(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` without all but one of each group of near duplicates: that with the smallest doc_id stays.
+
+    A row goes by its id and text. Rows that repeat both are copies too, and one of them stays.
+    """
+    found = materialise(near_duplicates(docs, shingle=shingle, num=num, den=den).select("doc_id", "text_hash", "kept", "n_shingles"), "decisions")
+    row = [F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")]
+    here = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("__hash"))
+    gone = found.where(~F.col("kept")).select(*row).distinct()
+    again = materialise(found.where("kept and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select(*row), "repeats")
+    n_gone, n_again = gone.count(), again.count()
+    bounded = lambda df, n: F.broadcast(df) if n <= BROADCAST_NODES else df
+    left = docs.join(bounded(gone, n_gone), here, "left_anti")
+    if not n_again:
+        return left
+    repeats = left.join(bounded(again, n_again), here, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(bounded(again, n_again), here, "left_anti").unionByName(repeats)

@@ -51,7 +51,7 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=5, num=85, den=100)
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=5, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

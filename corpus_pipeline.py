@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corefold.llm import mixing, near_dup, packing, pii, quality
-from corefold.llm.common import materialise, scratch_path
+from corefold.llm.common import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,12 +29,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id."""
-    found = near_dup.near_duplicates(docs, shingle=5, num=85, den=100)
-    gone = materialise(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    if gone.count() <= near_dup.BROADCAST_NODES:
-        gone = F.broadcast(gone)
-    return docs.select(*COLUMNS).join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One document of each group of near duplicates stays, that with the smallest id: five words, similarity of 0.8 or more."""
+    return near_dup.drop(docs.select(*COLUMNS), shingle=5, num=80, den=100)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

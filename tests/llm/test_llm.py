@@ -512,6 +512,20 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_drop_keeps_one_of_each_group(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (3, None), (4, "x y"), (1, "other text with the same id"), (5, "other text with the same id"), (None, "x y")]
+    got = near_dup.drop(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int")).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a b c d e f g"), (3, None), (3, None), (4, "x y"), (1, "other text with the same id")]))
+
+
+def test_band_widths():
+    for least in (0.5, 0.8, 0.85, 0.9):
+        r = near_dup.band_rows(least)
+        assert near_dup.REGISTERS % r == 0
+        assert (1 - least**r) ** (near_dup.REGISTERS // r) <= near_dup.MOST_MISSED
+    assert near_dup.band_rows(0.85) == 7
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.7, 0.9):
@@ -608,7 +622,7 @@ def test_pipeline_stages(spark):
     judged = {r["doc_id"]: r["kept"] for r in quality.measure(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert {r["doc_id"] for r in good.collect()} == {d for d, k in judged.items() if k}
     rows = sorted((r["doc_id"], r["text"]) for r in good.collect())
-    roots, _ = brute_components([t for _, t in rows])
+    roots, _ = brute_components([t for _, t in rows], 80)
     single = corpus_pipeline.drop_near_duplicates(spark, good, SF)
     assert sorted(r["doc_id"] for r in single.collect()) == [rows[i][0] for i, r in enumerate(roots) if r == i]
     safe = corpus_pipeline.redact_personal_data(spark, single, SF)
