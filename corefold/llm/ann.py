@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shuffle_partitions
+from .common import bounded_batches, bounded_sample, materialise, shuffle_partitions
 
 #: Vectors that the centroids are fitted on, and that the length of the walk is measured on, at most.
 FIT_SAMPLE, WALK_SAMPLE = 20_000, 64
@@ -123,7 +123,7 @@ def _brute(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: int, dim:
 def build(entries: DataFrame, dim: int, n: int, k: int, recall: float, entries_per_cell: int) -> Index:
     """Fit, count and measure. What comes to the driver is bounded by the parameters above."""
     h = dim // 2
-    sample = entries.select("entry", "v").orderBy(F.xxhash64("entry")).limit(FIT_SAMPLE).toArrow()
+    sample = bounded_sample(entries.select("entry", "v"), ["entry"], FIT_SAMPLE, n).toArrow()
     x = _matrix(sample["v"].combine_chunks(), dim)
     c = int(np.clip(round((n / entries_per_cell) ** 0.5), 1, MOST_CENTROIDS))
     index = Index(kmeans(x[:, :h], c), kmeans(x[:, h:], c), np.zeros(0, np.int64), 0)

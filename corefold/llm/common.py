@@ -57,6 +57,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_sample(df: DataFrame, by: list[str], most: int, n: int) -> DataFrame:
+    """At most ``most`` of the ``n`` rows: those with the smallest hashes of ``by``; the same ones every time.
+
+    Hashes beyond twice the share that is wanted are dropped where they are read, so what is
+    sorted in one place is bounded by ``most`` and not by the number of tasks.
+    """
+    h = F.xxhash64(*by)
+    rows = df.withColumn("__h", h)
+    if n > 4 * most:
+        rows = rows.where(F.shiftrightunsigned(h, 1) < int((1 << 63) * 2 * most / n))
+    return rows.orderBy("__h", *by).limit(most).drop("__h")
+
+
 def running_total(df: DataFrame, values: dict[str, str], order: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:
     """For each ``column: name`` of ``values`` add ``name``: the column's sum over the rows before, within ``keys``, in ``order``.
 
@@ -93,8 +106,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 6
     """(node, root) for every node of ``edges``, root being its component's smallest node.
 
     Alternating large-star and small-star steps: each is a map-side combined minimum by node
-    and a join, and a hub's edges are only ever joined to one row. Rounds grow with the
-    logarithm of the longest path. Every round is written to the shared folder.
+    and a join, and a hub's edges are only ever joined to one row. The minima are written
+    before they are joined, so that the join's sides are plain shuffles and a hub's edges can
+    be split. Rounds grow with the logarithm of the longest path.
     """
     cur = materialise(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
@@ -102,10 +116,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 6
     sig = _signature(cur)
     for _ in range(most_rounds if sig[0] else 0):
         both = cur.union(cur.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("u", "m"))
+        least = materialise(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.distinct(), "large-star")
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        least = materialise(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
         joined = large.join(least, F.col("a") == F.col("u"))
         small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
         cur = materialise(small.distinct(), "small-star")

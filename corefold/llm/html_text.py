@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Comments, declarations and tags; an open comment or tag reaches to the end. Quoted values may hold ">".
+#: Comments, declarations and tags; an open comment reaches to the end. Quoted values may hold ">", up to a length.
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*+>?"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>",
     re.S,
 )
@@ -90,10 +90,10 @@ def lines(page: str) -> list[Line]:
                 out.append(Line(text, min(linked, len(text)), apart, main))
         parts, linked = [], 0
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">") + 1  # beyond the last ">" there is no tag
     while at < end:
-        m = _MARKUP.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        m = _MARKUP.search(page, at, last) if at < last else None
+        text = page[at : m.start()] if m else page[at:].partition("<!--")[0]
         if text and not hidden:
             parts.append(text)
             if in_link:
@@ -101,6 +101,8 @@ def lines(page: str) -> list[Line]:
         if m is None:
             break
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>"):
+            break
         tag = m["tag"] or m["tag2"]
         if tag is None:
             continue

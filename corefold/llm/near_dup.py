@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     # ties to the smallest node of each bucket
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
+    hubs = materialise(hubs, "hubs")  # the join's sides are plain shuffles then, and a hot bucket can be split
     ties = buckets.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters = materialise(connected(ties).withColumnRenamed("root", "cluster"), "clusters")
 

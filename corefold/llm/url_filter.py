@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, bounded_sample
 
 #: (host, path, verdict): the rules of the query.
 RULES = (
@@ -140,7 +140,8 @@ def fit(pages: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Bayes:
     """Naive Bayes on the lexicon and on at most ``sample`` addresses, labelled by it."""
     cut = Segmenter.from_vocabulary(vocabulary)
     block = {f"h:{w}" for w in BLOCK_WORDS}
-    rows = pages.select("url").where(F.col("url").isNotNull()).select("url", F.xxhash64("url").alias("h")).orderBy("h", "url").limit(sample)
+    urls = pages.select("url").where(F.col("url").isNotNull())
+    rows = bounded_sample(urls, ["url"], sample, urls.count())
     rows = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).collect()
     seen = [tokens(r["host"], r["path"], cut) for r in rows]
     labelled = [(words, any(w in block for w in words)) for words in seen]
