@@ -17,6 +17,9 @@ NAMES = (
     "x_sort_num", "x_set_jw", "is_s2", "first_eq", "name_eq", "core_eq", "n_char4", "a_char4",
 )
 
+#: The vectors of the generations: names of features by position; a cosine's slot may hold something else, as ``pair_features`` says.
+VECTORS = {"v8": NAMES, "v4": NAMES[:33], "boost": NAMES[:33], "baseline": tuple(n for n in NAMES[:33] if n not in ("pin_both", "num_conflict"))}
+
 
 def _flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
@@ -56,12 +59,21 @@ def exact_features() -> dict[str, Column]:
     }
 
 
-def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """``pairs`` with all of NAMES. Slots of an ablated cosine hold the sorted-token ratio."""
+def pair_features(pairs: DataFrame, records: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with all of NAMES.
+
+    ``cosines`` (s1_id, target_id, n_cos, a_cos) fills the slots of the TF-IDF cosines, 0
+    where a pair is missing; without it they hold the sorted-token ratio.
+    """
     joined = with_texts(pairs, records, RECORD)
+    if cosines is not None:
+        found = cosines.select("s1_id", "target_id", F.col("n_cos").alias("__n_cos"), F.col("a_cos").alias("__a_cos"))
+        joined = joined.join(found, ["s1_id", "target_id"], "left").na.fill(0.0, ["__n_cos", "__a_cos"])
     joined = joined.withColumn("n", S.kernels("a_name_norm", "b_name_norm")).withColumn("a", S.kernels("a_addr_norm", "b_addr_norm"))
     kernel = {f"{side}_{k}": F.col(f"{side}.{k}") for side in "na" for k in S.KERNELS}
-    plain = exact_features() | kernel | {"n_cos": F.col("n.sort"), "a_cos": F.col("a.sort")}
+    plain = exact_features() | kernel | {
+        f"{side}_cos": F.col(f"{side}.sort") if cosines is None else F.col(f"__{side}_cos") for side in "na"
+    }
     plain |= {
         "x_sort": F.col("n.sort") * F.col("a.sort"), "x_min_set": F.least("n.set", "a.set"), "x_mean_set": (F.col("n.set") + F.col("a.set")) / 2,
         "x_sort_num": F.col("n.sort") * plain["num_ov"], "x_set_jw": F.col("a.set") * F.col("n.jw"),

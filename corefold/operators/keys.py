@@ -79,6 +79,29 @@ def families_g2() -> dict[str, Column]:
     return {k: v for k, v in families().items() if k in ("p", "pf", "n", "s", "nf", "a")}
 
 
+def families_oldest() -> dict[str, Column]:
+    """The oldest set: name tokens, signature, address tokens, pins, and pins and numbers with the first two signs of the name."""
+    made = families()
+    return {"nt": _longer(F.col("core_toks"), 3), "sig": made["s"], "at": _longer(F.col("addr_toks"), 5), "pin": made["p"], "pin_f2": made["pf"], "num_f2": made["nf"]}
+
+
+def families_wide() -> dict[str, Column]:
+    """The widest set: also single words, numbers, prefixes, a phonetic form, and pairs of adjacent core tokens in sorted order."""
+    core = F.array_sort(F.array_distinct("core_toks"))
+    pairs = F.zip_with(F.slice(core, 1, F.greatest(F.size(core) - 1, F.lit(0))), F.slice(core, 2, F.greatest(F.size(core) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return {
+        "tc": core,
+        "num": F.col("numbers"),
+        "pin": F.col("pins"),
+        "sig": _one(F.size(core) >= 2, T.signature(F.col("core_toks"))),
+        "pref": _one(F.length("name_norm") >= 3, F.substring("name_norm", 1, 3)),
+        "mph": _one(F.col("first_tok") != "", F.soundex("first_tok")),
+        "addr": F.col("addr_toks"),
+        "first": _one(F.col("first_tok") != "", F.col("first_tok")),
+        "bg": F.when(F.size(core) >= 2, pairs).otherwise(_none()),
+    }
+
+
 def make(records: DataFrame, made: dict[str, Column] | None = None) -> DataFrame:
     """(entity_id, country, is_s1, ktype, key) of normalised records; each key of a record once."""
     made = families() if made is None else made

@@ -324,6 +324,25 @@ def _(spark, sf):
     return keys.make(Pages(spark, sf).norm, {k: v for k, v in keys.families_g1().items() if k != "m"}).select("entity_id", "ktype", "key")
 
 
+CORE = "list_sort(list_distinct(core_toks))"
+
+
+@query("bk_oldest", """SELECT DISTINCT entity_id, ktype, key FROM (
+    SELECT entity_id, 'nt' AS ktype, unnest(core_toks) AS key FROM norm UNION ALL SELECT entity_id, 'at', unnest(addr_toks) FROM norm
+    UNION ALL SELECT entity_id, CASE ktype WHEN 's' THEN 'sig' WHEN 'p' THEN 'pin' WHEN 'pf' THEN 'pin_f2' ELSE 'num_f2' END, key FROM keys WHERE ktype IN ('s', 'p', 'pf', 'nf'))""", O.KEYS)
+def _(spark, sf):
+    return keys.make(Pages(spark, sf).norm, keys.families_oldest()).select("entity_id", "ktype", "key")
+
+
+@query("bk_wide", f"""SELECT DISTINCT entity_id, ktype, key FROM (
+    SELECT entity_id, 'tc' AS ktype, unnest(core_toks) AS key FROM norm UNION ALL SELECT entity_id, 'num', unnest(numbers) FROM norm UNION ALL SELECT entity_id, 'pin', unnest(pins) FROM norm
+    UNION ALL SELECT entity_id, 'sig', sig FROM norm WHERE len({CORE}) >= 2 UNION ALL SELECT entity_id, 'pref', substr(name_norm, 1, 3) FROM norm WHERE length(name_norm) >= 3
+    UNION ALL SELECT entity_id, 'addr', unnest(addr_toks) FROM norm UNION ALL SELECT entity_id, 'first', first_tok FROM norm WHERE first_tok <> ''
+    UNION ALL SELECT entity_id, 'bg', unnest(list_transform(range(1, len({CORE})), lambda i: ({CORE})[i] || ' ' || ({CORE})[i + 1])) FROM norm)""", O.NORM)
+def _(spark, sf):
+    return keys.make(Pages(spark, sf).norm, {k: v for k, v in keys.families_wide().items() if k != "mph"}).select("entity_id", "ktype", "key")
+
+
 # frequencies, joins, scores
 
 
@@ -432,6 +451,24 @@ def _(spark, sf):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+AB = f"ra AS ({O.top('idf', 5)}), rb AS ({O.top('(' + _combined(retrieval.VARIANTS['n4']) + ')', 5, 'combined')})"
+
+
+@query("ev_ab_cascade", "SELECT 'keys only' AS plan, count(*) AS hits FROM truth JOIN ra USING (s1_id, target_id) UNION ALL SELECT 'two stages', count(*) FROM truth JOIN rb USING (s1_id, target_id)", f"{O.POOL}, {O.TRUTH}, {AB}")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    hits = lambda found, plan: p.truth.join(found.where("rn <= 5"), ["s1_id", "target_id"]).agg(F.lit(plan).alias("plan"), F.count(F.lit(1)).alias("hits"))
+    return hits(p.pool, "keys only").unionByName(hits(_rescored(p, retrieval.VARIANTS["n4"]), "two stages"))
+
+
+@query("tk_phonetic_boost")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    alike = S.token_set(T.phonetic_collapse(F.col("a_name_norm")), T.phonetic_collapse(F.col("b_name_norm")))
+    rows = _rescored(p, retrieval.VARIANTS["n4"])
+    return rows.select("s1_id", "target_id", F.round(retrieval.phonetic_boost(F.col("combined"), alike, 0.1), 6).alias("combined"))
+
+
 @query("tk_retrieve")
 def _(spark, sf):
     return linkage.candidates(Pages(spark, sf).norm, "x2").select("s1_id", "target_id", "combined", "rn")
@@ -475,6 +512,13 @@ def _(spark, sf):
     return features.pair_features(p.pool.select(*retrieval.PAIR), p.norm)
 
 
+@query("ft_features_with_cosines")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    cos = _cosine(spark, sf).select(F.col("a").alias("s1_id"), F.col("b").alias("target_id"), F.col("cos").alias("n_cos"), F.lit(0.0).alias("a_cos"))
+    return features.pair_features(p.pool.select(*retrieval.PAIR), p.norm, cos)
+
+
 @query("ft_probability", "SELECT s1_id, target_id, prob FROM scored", O.SCORED)
 def _(spark, sf):
     return Pages(spark, sf).scored.select("s1_id", "target_id", "prob")
@@ -788,3 +832,14 @@ def _(spark, sf):
     p = Pages(spark, sf)
     normalised = linkage.normalised_pages(p.pages, unicode=True)
     return linkage.link(normalised, linkage.candidates(normalised, "x2"), decide.rules_table(spark, RULES))
+
+
+@query("link_baseline")
+def _(spark, sf):
+    return linkage.link_baseline(Pages(spark, sf).norm, 0.45, 0.5)
+
+
+@query("link_boost")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return linkage.link_boost(p.norm, p.pages.count())

@@ -41,3 +41,31 @@ def train_pairs(normalised: DataFrame, found: DataFrame, truth: DataFrame, add_m
 
 def normalised_pages(pages: DataFrame, unicode: bool = False) -> DataFrame:
     return records.normalise(records.page_records(pages), unicode)
+
+
+def baseline_candidates(normalised: DataFrame, bucket: int = 150, vectors: int = 50) -> DataFrame:
+    """First generation: pairs that share a key of a small bucket, and each record's nearest by character grams."""
+    made = keys.make(normalised, keys.families_g1())
+    by_key = retrieval.shared_keys(made, bucket, {})
+    docs = normalised.select(F.col("entity_id").alias("doc"), F.concat_ws(" ", "name_norm", "addr_norm").alias("text"), "country", "is_s1")
+    unit = retrieval.tfidf(docs.select("doc", "text")).join(docs.select("doc", "country", "is_s1"), "doc")
+    near = retrieval.cosine(unit.where("is_s1"), unit.where("not is_s1"), ("country", "gram")).where("cos > 0.000001")
+    near = near.join(docs.select(F.col("doc").alias("a"), "country"), "a").select("country", F.col("a").alias("s1_id"), F.col("b").alias("target_id"), "cos")
+    return retrieval.union_candidates(by_key, retrieval.top(near, vectors, "cos"))
+
+
+def link_baseline(normalised: DataFrame, th: float = 0.55, mt: float = 0.70) -> DataFrame:
+    """First generation: keys and vectors, overlap, threshold and gate; no assignment."""
+    found = baseline_candidates(normalised).withColumn("idf", F.lit(1.0))
+    scored = features.pseudo_probability(found, normalised)
+    return decide.filter_then_gate(scored.select("country", "s1_id", "target_id", "prob"), th, mt)
+
+
+def link_boost(normalised: DataFrame, pool_size: int, most: int = 25, th: float = 0.5, mt: float = 0.5) -> DataFrame:
+    """Second generation: six families, large buckets deleted, ranked by hits; veto, rescue, one-to-one by text."""
+    made = keys.make(normalised, keys.families_g2())
+    found = retrieval.top(retrieval.idf_scores(retrieval.shared_keys(made, retrieval.overflow_cap(pool_size), {})), most, "hits")
+    scored = features.pseudo_probability(found, normalised).withColumn("a_sort", F.col("a_jac"))
+    accepted = decide.gate(decide.veto_and_rescue(scored, th).select("country", "s1_id", "target_id", "prob"), th, mt)
+    texts = retrieval.with_texts(accepted, normalised, ("name_norm", "addr_norm"))
+    return decide.one_to_one_text(texts).select("country", "s1_id", "target_id", "prob")
