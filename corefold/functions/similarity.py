@@ -5,6 +5,8 @@ A name or address similarity is 0 where either side is empty and 1 where both ar
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -66,18 +68,24 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return s
 
 
+@lru_cache(1 << 12)
+def _places(s: str) -> dict[str, int]:
+    """For each sign the places where it stands, as bits. A query meets hundreds of candidates, so these are kept."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(s):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
 def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, a machine word of the shorter string at a time in one integer."""
+    """Longest common subsequence, all places of ``a`` at a time in one integer."""
     if not a or not b:
         return 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    row = (1 << len(a)) - 1
-    full = row
+    where = _places(a).get
+    row = full = (1 << len(a)) - 1
     for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if hit := where(c, 0) & row:
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
@@ -91,17 +99,25 @@ def token_sort_text(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+@lru_cache(1 << 12)
+def _tokens(s: str) -> frozenset[str]:
+    return frozenset(s.split())
+
+
 def token_set_text(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
+    x, y = _tokens(a), _tokens(b)
     if not x or not y:
         return 0.0
-    both = " ".join(sorted(x & y))
-    only_a, only_b = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not only_a or not only_b):
+    common = x & y
+    if not common:
+        return ratio(" ".join(sorted(x)), " ".join(sorted(y)))
+    if len(common) == len(x) or len(common) == len(y):
         return 1.0
-    with_a, with_b = f"{both} {only_a}".strip(), f"{both} {only_b}".strip()
-    best = ratio(with_a, with_b)
-    return max(best, ratio(both, with_a), ratio(both, with_b)) if both else best
+    both = " ".join(sorted(common))
+    with_a, with_b = (f"{both} {' '.join(sorted(z - common))}" for z in (x, y))
+    # what both have in common is a prefix of either: the longest common subsequence is that prefix
+    n = len(both)
+    return max(ratio(with_a, with_b), 2 * n / (n + len(with_a)), 2 * n / (n + len(with_b)))
 
 
 def _best_window(short: str, long: str) -> float:

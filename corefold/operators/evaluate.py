@@ -44,44 +44,48 @@ def _grid(spark: SparkSession, ths: tuple[float, ...], mts: tuple[float, ...]) -
     return spark.createDataFrame([(t, m) for t in ths for m in mts], "th double, mt double")
 
 
-def grid_one_to_one(scored: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...] = tables.GRID, mts: tuple[float, ...] = tables.GRID) -> DataFrame:
+def grid_one_to_one(
+    scored: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...] = tables.GRID, mts: tuple[float, ...] = tables.GRID, by: tuple[str, ...] = (),
+) -> DataFrame:
     """(th, mt, macro_f05) for every pair of thresholds, each after its own one-to-one assignment.
 
-    The grid has at most a few hundred rows and is joined to the pairs that some threshold
+    With ``by`` = ("country",) for every country by itself; ``spine`` has the column then. The
+    grid has at most a few hundred rows and is joined to the pairs that some threshold
     accepts; a target's claims are ranked within each pair of thresholds.
     """
-    best = F.max("prob").over(Window.partitionBy("country", "s1_id"))
-    rows = scored.withColumn("best", best).where((F.col("prob") >= min(ths)) & (F.col("best") >= min(mts)))
-    grid = F.broadcast(_grid(scored.sparkSession, ths, mts))
-    accepted = rows.join(grid, (F.col("prob") >= F.col("th")) & (F.col("best") >= F.col("mt")))
+    accepted = _accepted(scored, ths, mts)
     w = Window.partitionBy("th", "mt", "country", "target_id").orderBy(F.desc(F.round("prob", 6)), "s1_id")
     won = accepted.withColumn("place", F.row_number().over(w)).where("place = 1").select("th", "mt", *EDGE)
-    return _macro_by(won, spine, truth, ths, mts)
+    return _macro_by(won, spine, truth, ths, mts, by)
 
 
-def sweep(scored: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...]) -> DataFrame:
+def sweep(scored: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """The same without the assignment."""
+    return _macro_by(_accepted(scored, ths, mts).select("th", "mt", *EDGE), spine, truth, ths, mts, by)
+
+
+def _accepted(scored: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...]) -> DataFrame:
     best = F.max("prob").over(Window.partitionBy("country", "s1_id"))
-    rows = scored.withColumn("best", best).where(F.col("prob") >= min(ths))
+    rows = scored.withColumn("best", best).where((F.col("prob") >= min(ths)) & (F.col("best") >= min(mts)))
     grid = F.broadcast(_grid(scored.sparkSession, ths, mts))
-    won = rows.join(grid, (F.col("prob") >= F.col("th")) & (F.col("best") >= F.col("mt"))).select("th", "mt", *EDGE)
-    return _macro_by(won, spine, truth, ths, mts)
+    return rows.join(grid, (F.col("prob") >= F.col("th")) & (F.col("best") >= F.col("mt")))
 
 
-def _macro_by(won: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...]) -> DataFrame:
+def _macro_by(won: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...], by: tuple[str, ...]) -> DataFrame:
     """Macro F0.5 for each pair of thresholds. A record without a prediction adds 1 if nothing is true of it, else 0.
 
     Those are counted once and not listed for each pair of thresholds.
     """
     t = truth.select(*EDGE).distinct().withColumn("t", F.lit(1))
-    n_true = spine.select("s1_id").distinct().join(t.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true")), "s1_id", "left").na.fill(0, ["n_true"])
-    whole = n_true.agg(F.count(F.lit(1)).alias("entities"), F.count(F.when(F.col("n_true") == 0, 1)).alias("alone"))
+    counts = t.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
+    n_true = spine.select("s1_id", *by).distinct().join(counts, "s1_id", "left").na.fill(0, ["n_true"])
+    whole = n_true.groupBy(*by).agg(F.count(F.lit(1)).alias("entities"), F.count(F.when(F.col("n_true") == 0, 1)).alias("alone"))
     per = won.join(t, EDGE, "left").groupBy("th", "mt", "s1_id").agg(F.count("t").alias("tp"), F.count(F.lit(1)).alias("n_pred")).join(n_true, "s1_id")
     score = f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))
-    sums = per.groupBy("th", "mt").agg(F.sum(score).alias("s"), F.count(F.when(F.col("n_true") == 0, 1)).alias("wrong"))
-    grid = _grid(won.sparkSession, ths, mts)
-    rows = grid.join(sums, ["th", "mt"], "left").na.fill(0, ["s", "wrong"]).join(F.broadcast(whole))
-    return rows.select("th", "mt", F.round((F.col("s") + F.col("alone") - F.col("wrong")) / F.col("entities"), 6).alias("macro_f05"))
+    sums = per.groupBy("th", "mt", *by).agg(F.sum(score).alias("s"), F.count(F.when(F.col("n_true") == 0, 1)).alias("wrong"))
+    grid = F.broadcast(_grid(won.sparkSession, ths, mts))
+    rows = whole.join(grid).join(sums, ["th", "mt", *by], "left").na.fill(0, ["s", "wrong"])
+    return rows.select(*by, "th", "mt", F.round((F.col("s") + F.col("alone") - F.col("wrong")) / F.col("entities"), 6).alias("macro_f05"))
 
 
 def cap_sweep(scored: DataFrame, spine: DataFrame, truth: DataFrame, caps: tuple[int, ...], ths: tuple[float, ...], mts: tuple[float, ...]) -> DataFrame:

@@ -49,11 +49,15 @@ def overflow_cap(n: int, bucket: int = 750, share: float = 0.0003, most: int = 2
 def prune(postings: DataFrame, most: int = tables.MOST_POSTINGS, caps: dict[str, int] | None = None) -> DataFrame:
     """``postings`` with ``df``, without keys that have more than their cap.
 
-    Counting combines map-side, so a stop key costs a row a task and never arrives as a
-    group; what is joined back is the short list of keys that stay.
+    Counting combines map-side. Keys beyond their cap are few, each having so many postings,
+    and go by an anti-join: adaptive execution broadcasts their list where it is small, and
+    then no stop key's postings ever meet in one task. What is joined to its frequency after
+    that has at most ``most`` rows a key.
     """
-    df = document_frequency(postings).where(F.col("df") <= cap_of(F.col("ktype"), most, caps))
-    return postings.join(df, ["country", "ktype", "key"])
+    keys = ["country", "ktype", "key"]
+    df, cap = document_frequency(postings), cap_of(F.col("ktype"), most, caps)
+    kept = postings.join(df.where(F.col("df") > cap).select(*keys), keys, "left_anti")
+    return kept.join(df.where(F.col("df") <= cap), keys)
 
 
 def split_sides(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:

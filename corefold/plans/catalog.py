@@ -672,24 +672,32 @@ def _(spark, sf):
     return evaluate.cap_sweep(p.scored, p.spine, p.truth, (2, 5), GRID, GRID)
 
 
-BEST = "per AS (SELECT country, 0.45::DOUBLE AS th, 0.5::DOUBLE AS mt, round(avg(f05), 6) AS macro_f05, count(*) AS share FROM entity JOIN rec ON rec.entity_id = s1_id GROUP BY country)"
+BY_COUNTRY = f"{O.SCORED}, {O.TRUTH}, {_grid_sql(True).replace('GROUP BY cap, th, mt)', 'JOIN rec ON rec.entity_id = s1_id GROUP BY cap, th, mt, rec.country)').replace('SELECT cap, th::DOUBLE', 'SELECT rec.country AS country, cap, th::DOUBLE')}"
 
 
-def _per_country(p: Pages) -> DataFrame:
-    country = p.rec.select(F.col("entity_id").alias("s1_id"), "country")
-    return p.entity.join(country, "s1_id").groupBy("country").agg(F.round(F.avg("f05"), 6).alias("macro_f05"), F.count(F.lit(1)).alias("share")).withColumns({"th": F.lit(0.45), "mt": F.lit(0.5)})
+def _by_country(p: Pages) -> DataFrame:
+    spine = p.rec.where(F.startswith("entity_id", F.lit("S1-"))).select(F.col("entity_id").alias("s1_id"), "country")
+    return evaluate.grid_one_to_one(p.scored, spine, p.truth, GRID, GRID, ("country",))
 
 
-@query("ev_best_rule", "SELECT country, th, mt, macro_f05 FROM pc", f"{EVAL}, {BEST.replace('per AS', 'pc AS')}")
+@query("ev_country_grid", "SELECT country, th, mt, macro_f05 FROM grid", BY_COUNTRY)
 def _(spark, sf):
-    per = _per_country(Pages(spark, sf)).drop("share")
-    return evaluate.best_rule(per.unionByName(per.withColumns({"th": F.lit(0.9), "macro_f05": F.col("macro_f05") - 1}))).select("country", "th", "mt", "macro_f05")
+    return _by_country(Pages(spark, sf))
 
 
-@query("ev_weighted", "SELECT round(sum(macro_f05 * share) / sum(share), 6) AS combined FROM pc", f"{EVAL}, {BEST.replace('per AS', 'pc AS')}")
+BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY macro_f05 DESC, th, mt) AS place FROM grid) WHERE place = 1)"
+
+
+@query("ev_best_rule", "SELECT country, th, mt, macro_f05 FROM best", f"{BY_COUNTRY}, {BEST}")
+def _(spark, sf):
+    return evaluate.best_rule(_by_country(Pages(spark, sf)))
+
+
+@query("ev_weighted", "SELECT round(sum(macro_f05 * share) / sum(share), 6) AS combined FROM best JOIN (SELECT country, count(*) AS share FROM rec WHERE entity_id LIKE 'S1-%' GROUP BY country) USING (country)", f"{BY_COUNTRY}, {BEST}")
 def _(spark, sf):
-    per = _per_country(Pages(spark, sf))
-    return evaluate.weighted(per.select("country", "macro_f05"), per.select("country", "share"))
+    p = Pages(spark, sf)
+    shares = p.rec.where(F.startswith("entity_id", F.lit("S1-"))).groupBy("country").agg(F.count(F.lit(1)).alias("share"))
+    return evaluate.weighted(evaluate.best_rule(_by_country(p)), shares)
 
 
 @query("ev_taxonomy", """SELECT sum(missed)::BIGINT AS missed, sum(rejected)::BIGINT AS rejected, sum(merged)::BIGINT AS merged, count(CASE WHEN lost = 0 AND merged = 0 THEN 1 END) AS exact FROM (
