@@ -13,15 +13,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in a batch that a Python worker gets: a batch of whole texts stays in the megabytes.
-BATCH_ROWS = 256
+#: Rows, and bytes, in a batch that a Python worker gets: a batch of whole texts stays in the megabytes.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to ``BATCH_ROWS`` rows, so that no worker holds thousands of long texts."""
+    """Keep Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``, so that no worker holds thousands of long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

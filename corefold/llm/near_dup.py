@@ -9,21 +9,26 @@ to their similarity. The way from documents to components:
 2. A node's registers, banded, name its buckets. In a bucket each node is tied to the
    smallest one, so a bucket of n nodes gives n - 1 ties and never all pairs. Connected ties
    are clusters: any two nodes that share a bucket are in one.
-3. Clusters are worked through in blocks. Two nodes that agree in a band are compared by the
-   likelihood of their registers at all similarities; unless that rules the link out, and
-   unless they are linked already through others, their whole sets decide.
-4. The links that decide, at most one less than the nodes of a block pair, are connected.
-
-No cap applies anywhere: a large cluster is dealt into blocks, each pair of them a task's group.
+3. Two nodes of a cluster that agree in a band are compared by the likelihood of their
+   registers at all similarities; unless that rules the link out, and unless they are linked
+   already through others, their whole sets decide.
+4. A cluster that fits a block is compared at once. A larger one first meets its pivots, the
+   nodes that most ties lead to, which costs no more than reading it: a large group of near
+   copies is linked by that. What isn't in the cluster's largest component then is compared
+   with all of the cluster, in pairs of blocks; two blocks of that component never are.
+5. The links that decide, at most one less than the nodes of a group, are connected.
+
+No cap applies anywhere, and no link is lost to the pivots: they only spare comparisons
+between nodes that they have linked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected, materialise, shuffle_partitions
@@ -36,6 +41,8 @@ REGISTERS = 252
 MOST_MISSED = 5e-6
 #: Nodes, and shingles, that a block holds at most by rule; blocks are dealt by hash and vary a little.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
+#: Nodes that all others of a large cluster are compared with first.
+PIVOTS = 4
 #: Nodes of clusters whose ids are broadcast to find their texts; 24 bytes each. Beyond, a shuffle join.
 BROADCAST_NODES = 250_000
 HASHES_AT_ONCE = 1 << 15
@@ -120,11 +127,13 @@ class _Sets:
         self.up[self.find(a)] = self.find(b)
 
 
-def links_of(ids: list[int], sets: list[np.ndarray], regs: np.ndarray, sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def links_of(
+    ids: list[int], sets: list[np.ndarray], regs: np.ndarray, sides: np.ndarray, num: int, den: int, roots: list[int] | None = None,
+) -> list[tuple[int, int]]:
     """Links that connect what is linked among these nodes.
 
     Nodes of side 0 and 1 are compared with each other across sides; where all have side 2,
-    with all others. ``num/den`` is the least similarity.
+    with all others. ``num/den`` is the least similarity. Nodes of one root are linked already.
     """
     n = len(ids)
     sizes = np.asarray([len(s) for s in sets], np.float64)
@@ -153,6 +162,9 @@ def links_of(ids: list[int], sets: list[np.ndarray], regs: np.ndarray, sides: np
     pairs = np.concatenate(found)
     pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
     group, out = _Sets(n), []
+    first: dict[int, int] = {}
+    for k, root in enumerate(roots or ()):
+        group.join(k, first.setdefault(root, k))
     for a, b, _ in pairs.tolist():
         if group.find(a) == group.find(b):
             continue
@@ -209,6 +221,42 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def _blocks(nodes: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the text of each node: broadcast up to a number of rows, beyond it joined by shuffle."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash")))
+    return found.select("cluster", "i", "j", "node", "side", "root", "text")
+
+
+def _comparer(shingle: int, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
+    """From rows of ``_with_texts`` to the links that decide, group by group of (cluster, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, ["cluster", "i", "j"]):
+            order = np.unique(t["node"].to_numpy(), return_index=True)[1]  # a repeated row gives its node twice
+            if len(order) < 2:
+                continue
+            t = t.take(pa.array(order))
+            hashes, at = Words(t["text"].combine_chunks()).shingles(shingle, True)
+            sets = [np.unique(hashes[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
+            out = links_of(t["node"].to_pylist(), sets, registers(hashes, at), t["side"].to_numpy(), num, den, t["root"].to_pylist())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def compare(found: DataFrame) -> DataFrame:
+        n = shuffle_partitions(found.sparkSession)
+        return found.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, and ``text_hash``, for every row of ``doc_id, text``.
 
@@ -230,47 +278,53 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
     hubs = materialise(hubs, "hubs")  # the join's sides are plain shuffles then, and a hot bucket can be split
-    ties = buckets.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    ties = materialise(buckets.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
     clusters = materialise(connected(ties).withColumnRenamed("root", "cluster"), "clusters")
 
-    # clusters in blocks, with their texts
+    # members with where their text is, and their clusters' sizes in blocks
     members = clusters.join(nodes.select("node", "one", "n_shingles"), "node")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    members = members.join(sizes.select("cluster", blocks), "cluster").select(
-        "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-        F.col("one.doc_id").alias("doc"), F.col("one.text_hash").alias("hash"),
-    )
-    members = materialise(members, "members")
-    n_members = members.count()
-    if n_members <= BROADCAST_NODES:
-        members = F.broadcast(members)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    found = texts.join(members, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash")))
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text"
+    sizes = sizes.select("cluster", _blocks(F.col("n"), F.col("s")).alias("blocks"), "n", "s")
+    members = members.join(sizes.select("cluster", "blocks"), "cluster").select(
+        "node", "cluster", "blocks", "n_shingles", F.col("one.doc_id").alias("doc"), F.col("one.text_hash").alias("hash")
     )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["cluster", "i", "j"]):
-            node = t["node"].to_numpy()
-            order = np.unique(node, return_index=True)[1]  # a repeated row gives its node twice
-            if len(order) < 2:
-                continue
-            t = t.take(pa.array(order))
-            hashes, at = Words(t["text"].combine_chunks()).shingles(shingle, True)
-            sets = [np.unique(hashes[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
-            regs = registers(hashes, at)
-            i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            sides = np.full(len(sets), 2) if i == j else (t["block"].to_numpy() == j).astype(np.int64)
-            out = links_of(t["node"].to_pylist(), sets, regs, sides, num, den)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    dealt = found.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = dealt.mapInArrow(compare, "a long, b long")
-    roots = connected(links)
+    members = materialise(members, "members")
+    compare = _comparer(shingle, num, den)
+    links = None
+    if members.where("blocks > 1").limit(1).count():
+        # large clusters meet their pivots, chunk by chunk
+        large = members.where("blocks > 1")
+        popular = ties.join(large.select(F.col("node").alias("b"), "cluster"), "b").groupBy("cluster", "b").agg(F.count(F.lit(1)).alias("c"))
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("c"), "b"))
+        pivots = popular.withColumn("place", place).where(F.col("place") <= PIVOTS).select(F.col("b").alias("node"), F.lit(True).alias("pivot"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = large.join(pivots, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+        everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+        dealt = dealt.select("*", F.explode(F.when(F.col("pivot"), everywhere).otherwise(F.array(own))).alias("i"))
+        dealt = dealt.select("node", "doc", "hash", "cluster", "i", F.lit(0).alias("j"), F.col("pivot").cast("int").alias("side"), F.col("node").alias("root"))
+        links = materialise(compare(_with_texts(docs, materialise(dealt, "chunks"))), "pivot-links")
+        known = connected(links).select("node", F.col("root").alias("known"))
+        members = members.join(known, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
+        counts = members.where("blocks > 1").groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"))
+        main = materialise(counts.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main")), "main")
+        members = members.join(main, "cluster", "left").withColumn("in_main", F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
+    else:
+        members = members.withColumn("root", F.col("node")).withColumn("in_main", F.lit(False))
+    members = materialise(members, "rooted")
+    # blocks of the main component come first, and only pairs with a later block are compared
+    parts = members.groupBy("cluster").agg(*[
+        F.when(F.max(w.cast("int")) == 1, _blocks(F.sum(w.cast("int")), F.sum(F.when(w, F.col("n_shingles")).otherwise(0)))).otherwise(0).alias(c)
+        for w, c in ((F.col("in_main"), "mains"), (~F.col("in_main"), "others"))
+    ])
+    members = members.join(materialise(parts, "parts"), "cluster").where("others > 0")
+    block = F.when(F.col("in_main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others")))
+    partners = F.sequence(F.when(F.col("in_main"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)
+    paired = members.withColumn("block", block.cast("int")).withColumn("partner", F.explode(partners))
+    i, j = F.least("block", "partner"), F.greatest("block", "partner")
+    side = F.when(i == j, 2).otherwise((F.col("block") == j).cast("int"))
+    paired = paired.select("node", "doc", "hash", "cluster", i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"), "root")
+    more = compare(_with_texts(docs, materialise(paired, "pairs")))
+    roots = connected(more if links is None else more.unionByName(links))
 
     least = nodes.join(roots, "node", "left").select("node", "set_key", "least_id", F.coalesce("root", "node").alias("root"))
     component = least.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -491,7 +491,7 @@ def test_near_duplicates(spark, monkeypatch):
     texts += [None, "", "  ", "a b", "A  B", "a b c d e", "a b c d e f"]
     want, sizes = brute_components(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for nodes in (near_dup.BLOCK_NODES, 20):
+    for nodes in (near_dup.BLOCK_NODES, 20, 7):
         monkeypatch.setattr(near_dup, "BLOCK_NODES", nodes)
         got = {r["doc_id"]: r for r in near_dup.near_duplicates(df).collect()}
         assert [got[i]["component_id"] for i in range(len(texts))] == want
