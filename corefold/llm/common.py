@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 #: Rows, and bytes, in a batch that a Python worker gets: a batch of whole texts stays in the megabytes.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
+#: Narrow rows in a file of a scratch table.
+ROWS_A_FILE = 250_000
+#: Edges from which a hub can have so many that its join is worth splitting.
+MANY_EDGES = 2_000_000
+
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``, so that no worker holds thousands of long texts."""
@@ -47,8 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corefold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, with its lineage cut."""
+def materialise(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, with its lineage cut.
+
+    ``rows``: about how many narrow rows it has, if that is known. Then a task writes up to
+    ``ROWS_A_FILE`` of them, and small tables don't become hundreds of files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), -(-rows // ROWS_A_FILE))))
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -107,23 +118,27 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 6
     """(node, root) for every node of ``edges``, root being its component's smallest node.
 
     Alternating large-star and small-star steps: each is a map-side combined minimum by node
-    and a join, and a hub's edges are only ever joined to one row. The minima are written
-    before they are joined, so that the join's sides are plain shuffles and a hub's edges can
-    be split. Rounds grow with the logarithm of the longest path.
+    and a join, and a hub's edges are only ever joined to one row. In a large graph the minima
+    are written before they are joined, so that the join's sides are plain shuffles and a
+    hub's edges can be split. Rounds grow with the logarithm of the longest path.
     """
     cur = materialise(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
     )
     sig = _signature(cur)
+
+    def minima(of: DataFrame) -> DataFrame:
+        least = of.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("u", "m"))
+        return materialise(least, "least") if sig[0] >= MANY_EDGES else least
+
     for _ in range(most_rounds if sig[0] else 0):
+        n = 2 * sig[0]
         both = cur.union(cur.select("b", "a"))
-        least = materialise(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("u", "m")), "least")
-        large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.distinct(), "large-star")
-        least = materialise(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
-        joined = large.join(least, F.col("a") == F.col("u"))
+        large = both.join(minima(both), F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large.distinct(), "large-star", n)
+        joined = large.join(minima(large), F.col("a") == F.col("u"))
         small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        cur = materialise(small.distinct(), "small-star")
+        cur = materialise(small.distinct(), "small-star", n)
         was, sig = sig, _signature(cur)
         if was == sig:
             break

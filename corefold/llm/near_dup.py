@@ -156,7 +156,7 @@ def links_of(
         # a register is the rounded negative logarithm of a minimum: the larger set has the greater ones
         keep = ~ruled_out(more, less, same, u, num / den)
         if keep.any():
-            found.append(np.stack([np.full(int(keep.sum()), i), other[keep], same[keep]], axis=1))
+            found.append(np.stack([np.full(int(keep.sum()), i), other[keep], same[keep]], axis=1).astype(np.int32))
     if not found:
         return []
     pairs = np.concatenate(found)
@@ -165,14 +165,15 @@ def links_of(
     first: dict[int, int] = {}
     for k, root in enumerate(roots or ()):
         group.join(k, first.setdefault(root, k))
-    for a, b, _ in pairs.tolist():
-        if group.find(a) == group.find(b):
-            continue
-        x, y = sets[a], sets[b]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if den * both >= num * (len(x) + len(y) - both):
-            group.join(a, b)
-            out.append((ids[a], ids[b]))
+    for lo in range(0, len(pairs), 1 << 16):
+        for a, b, _ in pairs[lo : lo + (1 << 16)].tolist():
+            if group.find(a) == group.find(b):
+                continue
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if den * both >= num * (len(x) + len(y) - both):
+                group.join(a, b)
+                out.append((ids[a], ids[b]))
     return out
 
 
@@ -279,7 +280,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
     hubs = materialise(hubs, "hubs")  # the join's sides are plain shuffles then, and a hot bucket can be split
     ties = materialise(buckets.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
-    clusters = materialise(connected(ties).withColumnRenamed("root", "cluster"), "clusters")
+    n_ties = ties.count()
+    clusters = materialise(connected(ties).withColumnRenamed("root", "cluster"), "clusters", 2 * n_ties)
 
     # members with where their text is, and their clusters' sizes in blocks
     members = clusters.join(nodes.select("node", "one", "n_shingles"), "node")
@@ -288,7 +290,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     members = members.join(sizes.select("cluster", "blocks"), "cluster").select(
         "node", "cluster", "blocks", "n_shingles", F.col("one.doc_id").alias("doc"), F.col("one.text_hash").alias("hash")
     )
-    members = materialise(members, "members")
+    members = materialise(members, "members", 2 * n_ties)
     compare = _comparer(shingle, num, den)
     links = None
     if members.where("blocks > 1").limit(1).count():
@@ -306,17 +308,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
         known = connected(links).select("node", F.col("root").alias("known"))
         members = members.join(known, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
         counts = members.where("blocks > 1").groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = materialise(counts.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main")), "main")
+        main = materialise(counts.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main")), "main", n_ties)
         members = members.join(main, "cluster", "left").withColumn("in_main", F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
     else:
         members = members.withColumn("root", F.col("node")).withColumn("in_main", F.lit(False))
-    members = materialise(members, "rooted")
+    members = materialise(members, "rooted", 2 * n_ties)
     # blocks of the main component come first, and only pairs with a later block are compared
     parts = members.groupBy("cluster").agg(*[
         F.when(F.max(w.cast("int")) == 1, _blocks(F.sum(w.cast("int")), F.sum(F.when(w, F.col("n_shingles")).otherwise(0)))).otherwise(0).alias(c)
         for w, c in ((F.col("in_main"), "mains"), (~F.col("in_main"), "others"))
     ])
-    members = members.join(materialise(parts, "parts"), "cluster").where("others > 0")
+    members = members.join(materialise(parts, "parts", n_ties), "cluster").where("others > 0")
     block = F.when(F.col("in_main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others")))
     partners = F.sequence(F.when(F.col("in_main"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)
     paired = members.withColumn("block", block.cast("int")).withColumn("partner", F.explode(partners))

@@ -14,6 +14,7 @@ true span, and with these as soft labels a logistic model is trained: the final
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,8 @@ DOMAINS = r"(?i)(?:\.|dot ?[\])] ?)(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es
 LABELERS = ("strict", "gazetteer", "context", "against", "plain")
 #: As how many votes what a labeler is made to be counts in the estimates.
 PRIOR_VOTES = 50
+#: Parts of a text in one run; even, so that a run begins outside a match.
+PARTS = 256
 #: How much text before a span its context is.
 CONTEXT = 40
 
@@ -75,24 +78,38 @@ def _text(text: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """Array of ``(start, end, value)`` of all matches, in code points, end exclusive."""
-    marked = F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}")
-    parts = F.split(marked, MARK, -1)
+    """Array of ``(start, end, value)`` of all matches, in code points, end exclusive.
+
+    The text is split at marks around its matches, so that every second part is one, and
+    places are sums of lengths. Parts are worked through ``PARTS`` at a time: an array that
+    grows part by part is copied each time, and that stays short.
+    """
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(
-                acc["inside"],
-                F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("value")))),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.when(F.instr(marked, MARK) > 0, step).otherwise(empty)
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x)
+        span = F.struct(acc["at"].alias("start"), end.alias("end"), x.alias("value"))
+        found = F.when(acc["inside"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), found.alias("found"))
+
+    def run(parts: Column, k: Column) -> Column:
+        before = F.aggregate(F.slice(parts, 1, k * PARTS), F.lit(0), lambda acc, x: acc + F.length(x))
+        start = F.struct(before.alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
+        return F.aggregate(F.slice(parts, k * PARTS + 1, PARTS), start, step, lambda acc: acc["found"])
+
+    def all_runs(parts: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / PARTS).cast("int"))
+        return F.flatten(F.transform(runs, lambda k: run(parts, k)))
+
+    def found(marked: Column) -> Column:
+        return F.when(F.instr(marked, MARK) > 0, _once(F.split(marked, MARK, -1), all_runs)).otherwise(empty)
+
+    return _once(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), found)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _digits(value: Column) -> Column:

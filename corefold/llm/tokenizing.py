@@ -134,7 +134,8 @@ class PieceEncoder(CachedEncoder):
 
 
 def encoder(path: str, kind: str) -> CachedEncoder:
-    """One encoder for each worker process; ``kind`` "pieces" is a sentencepiece model."""
+    """One encoder for each worker process, the last one asked for; ``kind`` "pieces" is a sentencepiece model."""
     if (path, kind) not in _encoders:
+        _encoders.clear()  # a worker that goes on to another operator gives its cache back
         _encoders[path, kind] = PieceEncoder(path) if kind == "pieces" else ChunkEncoder(path, kind)
     return _encoders[path, kind]

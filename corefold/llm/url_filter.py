@@ -30,7 +30,7 @@ RULES = (
 #: More rules than this don't belong in a closure.
 MOST_RULES = 1_000_000
 #: Addresses that the classifier is trained on, at most: those with the smallest hashes.
-SAMPLE = 20_000
+SAMPLE = 5_000
 #: Words of a host that speak for either class.
 BLOCK_WORDS = (
     "casino poker bet bets betting gambling slots slot jackpot lottery roulette bingo win winner pills pill pharmacy viagra cialis drugs meds "

@@ -275,7 +275,7 @@ def test_personal_data(spark, odd, none):
     signs = ["1", "2", "4111 1111 1111 1111", "4242-4242-4242-4242", " ", "-", ".", "+", "(", ")", "a", "@", "é", "😀", "", "255", "256", "x.y", "_", "%", "\n",
              "10.0.0.1", "call me at 212-555-1234", "+49 30 1234567", "bob@ex.com", " ssn 123-45-6789 ", "joe (at) mail (dot) com"]
     texts = [t for _, t, *_ in documents()] + [None, ""] + ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 25))) for _ in range(600)]
-    texts += ["1" * 3000 + " " + "a" * 50000 + "@" + "b." * 2000 + "c", "4" * 40, "+1 (((((((((555", "1.2.3.4.5.6.7.8", "a@b.c@d.e", "0001.2.3.000"]
+    texts += ["1" * 3000 + " " + "a" * 50000 + "@" + "b." * 2000 + "c", "4" * 40, "+1 (((((((((555", "1.2.3.4.5.6.7.8", "a@b.c@d.e", "0001.2.3.000", "é 10.0.0.1 a@b.cd x " * 1500]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.digest(df).collect():
         want = brute_spans(texts[r["doc_id"]] or "")
