@@ -21,6 +21,8 @@ _ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) i
 _UNEVEN = re.compile(r"\s")
 #: Longer chunks are not kept; when the cache is full, only chunks up to the second length stay.
 LONGEST_KEPT, SHORT = 64, 8
+#: Chunks kept by kind, some 150 bytes each.
+MOST_KEPT = {"words": 300_000, "bytes": 600_000, "pieces": 200_000}
 _encoders: dict[tuple, CachedEncoder] = {}
 _FORMATS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
@@ -83,7 +85,8 @@ class ChunkEncoder(CachedEncoder):
     the tokenizer whole; the tests hold both against the tokenizer.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 600_000):
+    def __init__(self, path: str, kind: str, most: int | None = None):
+        most = most or MOST_KEPT[kind]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,7 +129,8 @@ class ChunkEncoder(CachedEncoder):
 class PieceEncoder(CachedEncoder):
     """Pieces of a sentencepiece model, each ASCII word of a text taken on its own."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int | None = None):
+        most = most or MOST_KEPT["pieces"]
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
