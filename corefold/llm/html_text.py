@@ -46,6 +46,8 @@ APART_WORDS = frozenset(
     "signup login comment comments disqus respond replies reply share sharing social related recommended recommendations widget widgets "
     "pagination pager toolbar alert toc complementary contentinfo search dialog".split()
 )
+#: A name with one of these tells of what an element has and not of what it is.
+LAYOUT_WORDS = frozenset("with has no without".split())
 _NAMED = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN_BY = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -69,8 +71,10 @@ def _sets_apart(tag: str, rest: str) -> bool:
     if _HIDDEN_BY.search(rest):
         return True
     for names in _NAMED.findall(rest):
-        if any(w.lower() in APART_WORDS for w in _WORDS.findall("".join(names))):
-            return True
+        for name in "".join(names).split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if not LAYOUT_WORDS.intersection(words) and APART_WORDS.intersection(words):
+                return True
     return False
 
 

@@ -354,6 +354,7 @@ def test_main_text_without_marks():
         "Title here\nFirst <para> of text that is long enough to be an article, said she.\n"
         "Second paragraph that is also fairly long, with bold and it.\nThird paragraph after the advert with many more words in it."
     )
+    assert html_text.main_text('<div class="page has-sidebar"><p>text of the page</p><div class="cookieNotice">we use cookies</div></div>') == "text of the page"
     for text, want in ((None, ""), ("", ""), ("<p>short", "short"), ("plain text", "plain text"), ("<", "<"), ("<script>x", ""), ("<!-- x", ""), ("<nav>a</nav>", "")):
         assert html_text.main_text(text) == want
 
