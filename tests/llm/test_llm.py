@@ -580,6 +580,23 @@ def test_fertility_bands(spark):
     assert not got[3]["kept"]
 
 
+def test_bands_reject_what_is_labelled_bad(spark):
+    good = "The committee met on Tuesday to discuss the plans for the new library, and most of those present agreed that the site near the river would serve the town well."
+    table = "Thndou | erhaha | eaernd | ertible | erheble | eronin | eredble | aninou | shingou | thinor | " + " | ".join(f"th{a}nd{b}" for a in "aeiou" for b in "rstln")
+    rows = [(1, good + " " + good.replace("library", "school"), "en"), (2, table, "en"), (3, "Please call +1 (984) 555-5227 or 224.228.19.86 before noon, it is for the Friday meeting.", "en")]
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"), most_repeated=100).collect()}
+    assert [got[k]["kept"] for k in (1, 2, 3)] == [True, False, True]
+    sf = "/root/testdata/sf0.1"  # the smaller tables have next to no bad documents in French and Spanish
+    judged = queries.op9_quality_rules(spark, sf).where("NOT base_failed AND n_words >= 30").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    share = {}
+    for label, langs in ((0, ("en", "de")), (0, ("fr", "es")), (1, ("en", "de", "fr", "es"))):
+        of = [not r["kept"] for r in judged if r["quality"] == label and r["band"] in langs]
+        share[label, langs[0]] = sum(of) / len(of)
+    assert share[0, "en"] > 0.85
+    assert share[0, "fr"] > 0.3
+    assert share[1, "en"] < 0.06
+
+
 # 10: URL filter
 
 
