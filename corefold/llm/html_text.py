@@ -5,7 +5,8 @@ each say: scripts, styles and forms have no lines, and lines inside menus, heade
 sidebars, notices, adverts and comments weigh nothing, as does the text of links. Sums of
 weights over a sliding window of lines surge where the text begins and dive where it ends.
 The lines between that weigh something are the text. Where a page marks its article, lines
-outside it weigh nothing either.
+outside it weigh nothing either, and every range inside that surges counts. What stands in
+the same container as text that is kept stays too: short lines, and lines of links between.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
+#: Elements that hold the parts of a page; those beside each other with the same classes are one container.
+CONTAINERS = frozenset("article div main section".split())
 #: Words in a class, id or role that set an element apart.
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements sponsor sponsored sponsors promo promotion banner menu menus nav navbar navigation "
@@ -56,11 +59,16 @@ _SPACE = re.compile(r"\s+")
 WINDOW, SURGE = 3, 80
 
 
+_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+
 class Line:
-    __slots__ = ("apart", "linked", "main", "text")
+    """A block of the page; ``place`` is its container, 0 outside of all."""
+
+    __slots__ = ("apart", "linked", "main", "place", "text")
 
-    def __init__(self, text: str, linked: int, apart: bool, main: bool):
-        self.text, self.linked, self.apart, self.main = text, linked, apart, main
+    def __init__(self, text: str, linked: int, apart: bool, main: bool, place: int):
+        self.text, self.linked, self.apart, self.main, self.place = text, linked, apart, main, place
 
 
 def _sets_apart(tag: str, rest: str) -> bool:
@@ -83,15 +91,16 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, apart, main: with all around it
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, hidden, apart, main, place: with all around it
     hidden = apart = main = in_link = False
+    place, places = 0, {}
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Line(text, min(linked, len(text)), apart, main))
+                out.append(Line(text, min(linked, len(text)), apart, main, place))
         parts, linked = [], 0
 
     at, end, last = 0, len(page), page.rfind(">") + 1  # beyond the last ">" there is no tag
@@ -121,7 +130,7 @@ def lines(page: str) -> list[Line]:
                     if any(s[0] in BLOCKS for s in stack[k:]):
                         flush()
                     del stack[k:]
-                    hidden, apart, main = stack[-1][1:] if stack else (False, False, False)
+                    hidden, apart, main, place = stack[-1][1:] if stack else (False, False, False, 0)
                     break
                 if stack[k][0] in ("article", "main", "body", "table") and tag not in ("article", "main", "body", "html"):
                     break  # a stray end tag closes nothing beyond
@@ -143,7 +152,7 @@ def lines(page: str) -> list[Line]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    hidden, apart, main = stack[-1][1:] if stack else (False, False, False)
+                    hidden, apart, main, place = stack[-1][1:] if stack else (False, False, False, 0)
                     break
                 if stack[k][0] in BLOCKS and stack[k][0] not in ("p", "td", "th", "tr"):
                     break
@@ -154,29 +163,19 @@ def lines(page: str) -> list[Line]:
                 flush()
             apart = apart or away
             main = main or tag in MAIN or "articleBody" in rest
-            stack.append((tag, hidden, apart, main))
+            if tag in CONTAINERS:
+                named = _CLASS.search(rest)
+                place = places.setdefault((place, tag, "".join(x or "" for x in named.groups()) if named else ""), len(places) + 1)
+            stack.append((tag, hidden, apart, main, place))
     flush()
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's blocks, joined by line feeds; empty where there are none or the page is null."""
-    found = lines(page or "")
-    marked = any(x.main and not x.apart for x in found)
-    weights = [0 if x.apart or (marked and not x.main) else max(0, len(x.text) - x.linked) for x in found]
-    n = len(found)
-    if not any(weights):
-        return ""
-    sums = [sum(weights[i : i + window]) for i in range(n)]
+def _ranges(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """First line and end of each range from a surge to a dive, with short lines right before, such as a title."""
+    n, out, i = len(weights), [], 0
+    sums = [sum(weights[k : k + window]) for k in range(n)]
     least = min(surge, max(sums))
-    if marked:  # the article may have several parts, with adverts between
-        keep = [w > 0 or (x.main and not x.apart) for w, x in zip(weights, found, strict=True)]
-        first = next(i for i in range(n) if sums[i] >= least)
-        while first and weights[first - 1]:
-            first -= 1
-        first = min(first, next(i for i in range(n) if keep[i]))
-        return "\n".join(x.text for i, x in enumerate(found) if i >= first and keep[i])
-    best, i = (0, 0, 0), 0
     while i < n:
         if sums[i] < least or not weights[i]:
             i += 1
@@ -184,12 +183,41 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         j = i
         while j < n and sums[j] > 0:  # the dive: a whole window without text
             j += 1
-        best = max(best, (sum(weights[i:j]), -i, -j))
-        i = max(j, i + 1)
-    _, i, j = best
-    i, j = -i, -j
-    while i and weights[i - 1]:  # short lines right before the surge, such as a title
-        i -= 1
+        while i and weights[i - 1]:
+            i -= 1
+        out.append((i, j))
+        i = j
+    return out
+
+
+def _beside(found: list[Line], usable: list[bool], weights: list[int], kept: set[int], window: int) -> set[int]:
+    """Other lines of the marked element in the containers of kept ones: short ones, links between, and links at either end that make no dive."""
+    of: dict[int, list[int]] = {found[i].place: [] for i in kept}
+    for i, x in enumerate(found):
+        if usable[i] and x.place in of:
+            of[x.place].append(i)
+    more: set[int] = set()
+    for at in of.values():
+        heavy = [k for k, i in enumerate(at) if weights[i]]
+        first, last = heavy[0], heavy[-1]
+        more.update(at[0 if first < window else first : len(at) if len(at) - 1 - last < window else last + 1])
+    return more
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The article's blocks, joined by line feeds; empty where there are none or the page is null."""
+    found = lines(page or "")
+    marked = any(x.main and not x.apart for x in found)
+    usable = [not x.apart and (x.main or not marked) for x in found]
+    weights = [max(0, len(x.text) - x.linked) if u else 0 for x, u in zip(found, usable, strict=True)]
+    if not any(weights):
+        return ""
+    ranges = _ranges(weights, window, surge)
+    if marked:  # the article may have several parts, with adverts between
+        kept = {i for first, end in ranges for i in range(first, end) if weights[i]}
+        kept |= _beside(found, usable, weights, kept, window)
+        return "\n".join(found[i].text for i in sorted(kept))
+    i, j = max(ranges, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
     return "\n".join(x.text for x, w in zip(found[i:j], weights[i:j], strict=True) if w)
 
 

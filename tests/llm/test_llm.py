@@ -359,6 +359,23 @@ def test_main_text_without_marks():
         assert html_text.main_text(text) == want
 
 
+LONG = "{} paragraph of an article, with more than enough words in it to count as text of the page and no link."
+
+
+def test_ranges_decide_inside_marks():
+    links = "".join(f"<li><a href=x>Link number {k}</a></li>" for k in range(4))
+    page = (
+        f"<main><div class=top><ul>{links}</ul><p>All our topics</p></div><div class=text><p><a href=x>Town</a></p><h1>A title</h1><p>{LONG.format('First')}</p><ul>{links}</ul>"
+        f"<p>{LONG.format('Second')}</p><ul>{links}</ul><p>A short end.</p></div><div class=low><ul>{links}</ul><p>Made in 2020</p><ul>{links}</ul></div></main><p>{LONG.format('Outer')}</p>"
+    )
+    between = [f"Link number {k}" for k in range(4)]
+    assert html_text.main_text(page).split("\n") == ["Town", "A title", LONG.format("First"), *between, LONG.format("Second"), *between, "A short end."]
+    flat = f"<main><ul>{links}</ul><p>{LONG.format('First')}</p><p><a href=x>Source</a></p><ul>{links}</ul></main>"
+    assert html_text.main_text(flat) == LONG.format("First")
+    two = f"<article><p>{LONG.format('First')}</p></article><ul>{links}</ul><article><p>{LONG.format('Second')}</p><p><a href=x>Source</a></p></article>"
+    assert html_text.main_text(two).split("\n") == [LONG.format("First"), LONG.format("Second"), "Source"]
+
+
 def test_main_text_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>a"), (2, "u", "<p>a"), (2, "u", "<p>a")]
     got = html_text.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int"))
