@@ -86,8 +86,8 @@ def _sets_apart(tag: str, rest: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[Line]:
-    """The page's blocks in order, references decoded, white space as one space, trimmed; empty ones left out."""
+def lines(page: str) -> tuple[list[Line], list[int]]:
+    """The page's blocks in order, references decoded, white space as one space, trimmed; empty ones left out. And what each place lies in."""
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
@@ -168,7 +168,7 @@ def lines(page: str) -> list[Line]:
                 place = places.setdefault((place, tag, "".join(x or "" for x in named.groups()) if named else ""), len(places) + 1)
             stack.append((tag, hidden, apart, main, place))
     flush()
-    return out
+    return out, [0, *(outer for outer, _, _ in places)]
 
 
 def _ranges(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
@@ -190,23 +190,55 @@ def _ranges(weights: list[int], window: int, surge: int) -> list[tuple[int, int]
     return out
 
 
-def _beside(found: list[Line], usable: list[bool], weights: list[int], kept: set[int], window: int) -> set[int]:
-    """Other lines of the marked element in the containers of kept ones: short ones, links between, and links at either end that make no dive."""
+def _near(found: list[Line], weights: list[int], outer: list[int], ranges: list[tuple[int, int]]) -> set[int]:
+    """The lines of the heaviest range, and those of other ranges that lie in its container.
+
+    Its container is the innermost place around all its lines. Where they have none in
+    common, it is the places that they are in.
+    """
+    i, j = max(ranges, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
+    kept = {k for k in range(i, j) if weights[k]}
+    own = [0] * len(outer)
+    for k in kept:
+        own[found[k].place] += 1
+    below = own[:]
+    for p in range(len(outer) - 1, 0, -1):  # a place comes after the one it lies in
+        below[outer[p]] += below[p]
+    base = max(p for p in range(len(outer)) if below[p] == len(kept))
+    inside = [False] * len(outer)
+    for p in range(len(outer)):
+        inside[p] = p == base or inside[outer[p]] if base else own[p] > 0
+    return kept | {k for first, end in ranges for k in range(first, end) if weights[k] and inside[found[k].place]}
+
+
+def _beside(found: list[Line], usable: list[bool], weights: list[int], outer: list[int], kept: set[int], edge: int, around: bool) -> set[int]:
+    """Other lines in the containers of kept ones: short ones, what stands between, and at either end fewer links than ``edge``.
+
+    Unless a mark is ``around`` them, lines that no container holds stay only between kept ones.
+    Lines between two kept ones also stay where their place holds, is in, or is beside both.
+    """
+
+    def near(p: int, q: int) -> bool:
+        return p == q or outer[p] == q > 0 or outer[q] == p > 0 or outer[p] == outer[q] > 0
+
     of: dict[int, list[int]] = {found[i].place: [] for i in kept}
     for i, x in enumerate(found):
         if usable[i] and x.place in of:
             of[x.place].append(i)
     more: set[int] = set()
-    for at in of.values():
-        heavy = [k for k, i in enumerate(at) if weights[i]]
+    for place, at in of.items():
+        heavy = [k for k, i in enumerate(at) if (weights[i] if place or around else i in kept)]
         first, last = heavy[0], heavy[-1]
-        more.update(at[0 if first < window else first : len(at) if len(at) - 1 - last < window else last + 1])
+        more.update(at[0 if first < edge else first : len(at) if len(at) - 1 - last < edge else last + 1])
+    stay = sorted(kept | more)
+    for a, b in zip(stay, stay[1:], strict=False):
+        more.update(i for i in range(a + 1, b) if usable[i] and near(found[i].place, found[a].place) and near(found[i].place, found[b].place))
     return more
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by line feeds; empty where there are none or the page is null."""
-    found = lines(page or "")
+    found, outer = lines(page or "")
     marked = any(x.main and not x.apart for x in found)
     usable = [not x.apart and (x.main or not marked) for x in found]
     weights = [max(0, len(x.text) - x.linked) if u else 0 for x, u in zip(found, usable, strict=True)]
@@ -215,10 +247,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     ranges = _ranges(weights, window, surge)
     if marked:  # the article may have several parts, with adverts between
         kept = {i for first, end in ranges for i in range(first, end) if weights[i]}
-        kept |= _beside(found, usable, weights, kept, window)
-        return "\n".join(found[i].text for i in sorted(kept))
-    i, j = max(ranges, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
-    return "\n".join(x.text for x, w in zip(found[i:j], weights[i:j], strict=True) if w)
+    else:
+        kept = _near(found, weights, outer, ranges)
+    kept |= _beside(found, usable, weights, outer, kept, window if marked else 1, marked)
+    return "\n".join(found[i].text for i in sorted(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

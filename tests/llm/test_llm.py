@@ -376,6 +376,23 @@ def test_ranges_decide_inside_marks():
     assert html_text.main_text(two).split("\n") == [LONG.format("First"), LONG.format("Second"), "Source"]
 
 
+def test_all_ranges_of_a_container():
+    links = "".join(f"<li><a href=x>Link number {k}</a></li>" for k in range(4))
+    advert = "<div class=ad><p>Buy this.</p><p>Buy that.</p><p>Buy it all.</p></div>"
+    first, second, third = (f"<p>{LONG.format(x)}</p>" for x in ("First", "Second", "Third"))
+    between = [f"Link number {k}" for k in range(4)]
+    legal = f"<ul>{links}</ul><div class=legal><p>{LONG.format('Legal')}</p></div>"
+    want = [LONG.format("First"), LONG.format("Second"), *between, LONG.format("Third"), "The end."]
+    page = f"<div class=x><ul>{links}</ul></div><div class=text>{first}{advert}{second}<ul>{links}</ul>{third}{advert}<p>The end.</p></div>{legal}"
+    assert html_text.main_text(page).split("\n") == want
+    assert html_text.main_text(f"<body><ul>{links}</ul>{first}{advert}{second}<ul>{links}</ul>{third}{legal}</body>").split("\n") == want[:-1]
+    parts = "".join(f"<div class=part>{x}</div><ul>{links}</ul>" for x in (first, second, third))
+    got = html_text.main_text(f"<div class=page><div class=text>{parts}</div>{legal}</div>").split("\n")
+    assert got == [LONG.format("First"), *between, LONG.format("Second"), *between, LONG.format("Third")]
+    boxed = f"<article>{first}<div class=box><ul>{links}</ul></div>{second}</article>"
+    assert html_text.main_text(boxed).split("\n") == [LONG.format("First"), *between, LONG.format("Second")]
+
+
 def test_main_text_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>a"), (2, "u", "<p>a"), (2, "u", "<p>a")]
     got = html_text.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int"))
