@@ -7,6 +7,7 @@ where a learner decides; those queries are held against fixtures in the tests.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 from collections.abc import Callable
 
@@ -73,6 +74,15 @@ class Pages:
     def pairs(self) -> DataFrame:
         return retrieval.with_texts(self.pool, self.norm, features.RECORD)
 
+    def found(self, tag: str) -> DataFrame:
+        """The variant's candidates: all of its ``k0`` by key score are rescored, and its cap is applied after that. Texts leave before the ranking."""
+        v = retrieval.VARIANTS[tag]
+        texts = retrieval.with_texts(retrieval.top(self.idf, v.k0, rank="rn0"), self.norm, ("addr_norm", "core_toks", "addr_toks"))
+        name, addr = (retrieval.percent(S.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}"))) for c in ("core_toks", "addr_toks"))
+        addr = retrieval.address_score(addr, F.col("a_addr_norm"), F.col("b_addr_norm"), v.neutral)
+        scores = texts.select(*retrieval.PAIR, "idf", "hits", name.alias("name"), addr.alias("address"))
+        return retrieval.rescore(scores, dataclasses.replace(v, neutral=None), F.col("name"), F.col("address")).drop("name", "address")
+
     @functools.cached_property
     def scored(self) -> DataFrame:
         return features.pseudo_probability(self.pool, self.norm)
@@ -461,11 +471,25 @@ def _(spark, sf):
     return hits(p.pool, "keys only").unionByName(hits(_rescored(p, retrieval.VARIANTS["n4"]), "two stages"))
 
 
+@query("tk_rescore_all")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    parts = [p.found(t).select(F.lit(t).alias("tag"), "s1_id", "target_id", "combined", "rn") for t in retrieval.VARIANTS]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("ev_ab_cascade_all")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    hits = lambda found, plan: p.truth.join(found, ["s1_id", "target_id"]).agg(F.lit(plan).alias("plan"), F.count(F.lit(1)).alias("hits"))
+    return hits(retrieval.top(p.idf, retrieval.VARIANTS["n4"].cap), "keys only").unionByName(hits(p.found("n4"), "two stages"))
+
+
 @query("tk_phonetic_boost")
 def _(spark, sf):
     p = Pages(spark, sf)
     alike = S.token_set(T.phonetic_collapse(F.col("a_name_norm")), T.phonetic_collapse(F.col("b_name_norm")))
-    rows = _rescored(p, retrieval.VARIANTS["n4"])
+    rows = retrieval.with_texts(p.found("n4"), p.norm, ("name_norm",))
     return rows.select("s1_id", "target_id", F.round(retrieval.phonetic_boost(F.col("combined"), alike, 0.1), 6).alias("combined"))
 
 
@@ -800,8 +824,14 @@ def _(spark, sf):
     return model.hard_negatives(evaluate.label(p.pool, p.truth)).select("s1_id", "target_id", "label")
 
 
+@query("ml_hard_negatives_all")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return model.hard_negatives(evaluate.label(p.found("x2"), p.truth)).select("s1_id", "target_id", "label")
+
+
 def _trained(p: Pages) -> tuple[DataFrame, DataFrame]:
-    pairs = linkage.train_pairs(p.norm, p.pool, p.truth)
+    pairs = linkage.train_pairs(p.norm, p.found("x2"), p.truth)
     fit, held = model.holdout(pairs)
     return model.with_weights(fit), held
 
@@ -810,20 +840,20 @@ def _trained(p: Pages) -> tuple[DataFrame, DataFrame]:
 def _(spark, sf):
     fit, _held = _trained(p := Pages(spark, sf))
     trained = model.train(fit, "m1", maxIter=5, maxDepth=3)
-    return model.score(trained, features.pair_features(p.pool.select(*retrieval.PAIR), p.norm)).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
+    return model.score(trained, features.pair_features(p.found("x2").select(*retrieval.PAIR), p.norm)).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
 
 
 @query("ml_ensemble")
 def _(spark, sf):
     fit, _held = _trained(p := Pages(spark, sf))
     models = [model.train(fit, "m1", maxIter=5, maxDepth=3), model.train(fit, "m2", numTrees=10, maxDepth=4)]
-    return model.ensemble(models, features.pair_features(p.pool.select(*retrieval.PAIR), p.norm)).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
+    return model.ensemble(models, features.pair_features(p.found("x2").select(*retrieval.PAIR), p.norm)).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
 
 
 @query("ml_leave_one_country_out")
 def _(spark, sf):
     p = Pages(spark, sf)
-    pairs = linkage.train_pairs(p.norm, p.pool, p.truth)
+    pairs = linkage.train_pairs(p.norm, p.found("x2"), p.truth)
     return model.leave_one_country_out(pairs, "m1", maxIter=3, maxDepth=3).select("country", "s1_id", "target_id", F.round("prob", 6).alias("prob"))
 
 
@@ -835,6 +865,13 @@ def _(spark, sf):
     return Pages(spark, sf).matched.select("country", "s1_id", "target_id", "prob")
 
 
+@query("link_pages_all")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    scored = features.pseudo_probability(p.found("x2"), p.norm)
+    return decide.one_to_one(decide.gate(scored.select("country", "s1_id", "target_id", "prob"), 0.45, 0.5)).select("country", "s1_id", "target_id", "prob")
+
+
 @query("link_pages_unicode")
 def _(spark, sf):
     p = Pages(spark, sf)

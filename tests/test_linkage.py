@@ -51,6 +51,20 @@ def test_runs_without_sql(spark, name):
     assert len(catalog.QUERIES[name](spark, SF).columns) > 1
 
 
+def test_second_stage_sees_all_of_the_first(spark):
+    sf = "/root/testdata/sf0.01"
+    p = catalog.Pages(spark, sf)
+    first = {(r["s1_id"], r["target_id"]): r["rn"] for r in retrieval.top(p.idf, 1200).collect()}
+    assert max(first.values()) > 40
+    rows = catalog.QUERIES["tk_rescore_all"](spark, sf).collect()
+    assert {r["tag"] for r in rows} == set(retrieval.VARIANTS)
+    for name, got in (("rescored", rows), ("boosted", catalog.QUERIES["tk_phonetic_boost"](spark, sf).collect()), ("learnt from", p.found("x2").collect())):
+        assert any(first[r["s1_id"], r["target_id"]] > 40 for r in got), name
+    for tag, v in retrieval.VARIANTS.items():
+        assert max(r["rn"] for r in rows if r["tag"] == tag) <= v.cap
+        assert all(first[r["s1_id"], r["target_id"]] <= v.k0 for r in rows if r["tag"] == tag)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["country", "s1_id", "target_id", "prob"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
