@@ -20,6 +20,7 @@ BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 ROWS_A_FILE = 250_000
 #: Edges from which a hub can have so many that its join is worth splitting.
 MANY_EDGES = 2_000_000
+_own: set[str] = set()
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -49,7 +50,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corefold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new place below the shared folder. All of an application's places go when its JVM ends, or with ``discard``."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/corefold/{sc.applicationId}"
+    if folder not in _own:
+        _own.add(folder)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return folder
+
+
+def discard(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
+    """Delete this application's scratch tables now, but for places in ``but``. Tables that still read them break."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if store.exists(path):
+        kept = {x.rstrip("/").rpartition("/")[2] for x in but}
+        for status in store.listStatus(path):
+            if status.getPath().getName() not in kept:
+                store.delete(status.getPath(), True)
 
 
 def materialise(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:

@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Comments, declarations and tags; an open comment reaches to the end. Quoted values may hold ">", up to a length.
+#: Comments, declarations and tags; an open comment reaches to the end. A quote after "=" reaches to the next one, however
+#: far, and may hold ">". Nothing is tried twice but what follows the last quote of its sort, so a page costs linear time.
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*+>?"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+)*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>",
     re.S,
 )
@@ -49,12 +50,27 @@ APART_WORDS = frozenset(
     "signup login comment comments disqus respond replies reply share sharing social related recommended recommendations widget widgets "
     "pagination pager toolbar alert toc complementary contentinfo search dialog".split()
 )
+#: Of these, some set apart whatever they are joined with; others only by themselves or with words for a place on a page.
+APART_ANYWHERE = frozenset(
+    "ads advert adverts advertisement advertisements sponsored sponsors navbar navigation breadcrumb breadcrumbs sidebar sidebars cookie cookies "
+    "comments disqus newsletter pagination pager popup masthead recommendations complementary contentinfo".split()
+)
+#: Words for a place or a part, which leave a name what it is.
+PLACE_WORDS = frozenset(
+    "area bar block bottom box btn button buttons center container content form group head inner item items left link links list main outer page panel "
+    "posts articles right row section site small top unit view wrap wrapper zone".split()
+)
+#: What belongs to an article: with these, what is said about it is apart, and what introduces it isn't.
+ARTICLE_WORDS = frozenset("article blog entry news post story".split())
+INTRODUCES = frozenset("header banner alert notice".split())
 #: A name with one of these tells of what an element has and not of what it is.
 LAYOUT_WORDS = frozenset("with has no without".split())
 _NAMED = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN_BY = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
+#: An ``article`` that leads elsewhere and is smaller than the largest by this factor is a teaser.
+TEASER = 4
 #: Lines in a window, and what a surge has to reach unless the whole page stays below it.
 WINDOW, SURGE = 3, 80
 
@@ -63,15 +79,25 @@ _CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re
 
 
 class Line:
-    """A block of the page; ``place`` is its container, 0 outside of all."""
+    """A block of the page; ``place`` is its container and ``unit`` its ``article``, each 0 outside of all."""
+
+    __slots__ = ("apart", "linked", "main", "place", "text", "unit")
+
+    def __init__(self, text: str, linked: int, apart: bool, main: bool, place: int, unit: int):
+        self.text, self.linked, self.apart, self.main, self.place, self.unit = text, linked, apart, main, place, unit
 
-    __slots__ = ("apart", "linked", "main", "place", "text")
 
-    def __init__(self, text: str, linked: int, apart: bool, main: bool, place: int):
-        self.text, self.linked, self.apart, self.main, self.place = text, linked, apart, main, place
+def _name_sets_apart(words: list[str], inside: bool) -> bool:
+    """Whether a class, id or role says that an element is no part of the article; ``inside`` one that is marked, only if all of the name does."""
+    if LAYOUT_WORDS.intersection(words) or not APART_WORDS.intersection(words):
+        return False
+    if not inside or len(words) == 1 or APART_ANYWHERE.intersection(words):
+        return True
+    rest = {w for w in words if w not in APART_WORDS and w not in PLACE_WORDS}
+    return not rest or rest <= ARTICLE_WORDS and not INTRODUCES.intersection(words)
 
 
-def _sets_apart(tag: str, rest: str) -> bool:
+def _sets_apart(tag: str, rest: str, inside: bool = False) -> bool:
     if tag in APART:
         return True
     if tag in MAIN or tag in ("body", "html") or "=" not in rest and "hidden" not in rest:
@@ -80,8 +106,7 @@ def _sets_apart(tag: str, rest: str) -> bool:
         return True
     for names in _NAMED.findall(rest):
         for name in "".join(names).split():
-            words = [w.lower() for w in _WORDS.findall(name)]
-            if not LAYOUT_WORDS.intersection(words) and APART_WORDS.intersection(words):
+            if _name_sets_apart([w.lower() for w in _WORDS.findall(name)], inside):
                 return True
     return False
 
@@ -91,16 +116,16 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, hidden, apart, main, place: with all around it
+    stack: list[tuple[str, bool, bool, bool, int, int]] = []  # tag, hidden, apart, main, place, unit: with all around it
     hidden = apart = main = in_link = False
-    place, places = 0, {}
+    place, places, unit, units = 0, {}, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Line(text, min(linked, len(text)), apart, main, place))
+                out.append(Line(text, min(linked, len(text)), apart, main, place, unit))
         parts, linked = [], 0
 
     at, end, last = 0, len(page), page.rfind(">") + 1  # beyond the last ">" there is no tag
@@ -130,7 +155,7 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
                     if any(s[0] in BLOCKS for s in stack[k:]):
                         flush()
                     del stack[k:]
-                    hidden, apart, main, place = stack[-1][1:] if stack else (False, False, False, 0)
+                    hidden, apart, main, place, unit = stack[-1][1:] if stack else (False, False, False, 0, 0)
                     break
                 if stack[k][0] in ("article", "main", "body", "table") and tag not in ("article", "main", "body", "html"):
                     break  # a stray end tag closes nothing beyond
@@ -152,13 +177,13 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    hidden, apart, main, place = stack[-1][1:] if stack else (False, False, False, 0)
+                    hidden, apart, main, place, unit = stack[-1][1:] if stack else (False, False, False, 0, 0)
                     break
                 if stack[k][0] in BLOCKS and stack[k][0] not in ("p", "td", "th", "tr"):
                     break
         if tag in BLOCKS or tag in HIDDEN or "=" in rest:
             hidden = hidden or tag in HIDDEN
-            away = _sets_apart(tag, rest)
+            away = _sets_apart(tag, rest, main)
             if away and not apart:
                 flush()
             apart = apart or away
@@ -166,7 +191,10 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
             if tag in CONTAINERS:
                 named = _CLASS.search(rest)
                 place = places.setdefault((place, tag, "".join(x or "" for x in named.groups()) if named else ""), len(places) + 1)
-            stack.append((tag, hidden, apart, main, place))
+            if tag == "article" or "articleBody" in rest:
+                units += 1
+                unit = units
+            stack.append((tag, hidden, apart, main, place, unit))
     flush()
     return out, [0, *(outer for outer, _, _ in places)]
 
@@ -236,11 +264,26 @@ def _beside(found: list[Line], usable: list[bool], weights: list[int], outer: li
     return more
 
 
+def _teasers(found: list[Line], usable: list[bool]) -> set[int]:
+    """Units that tease to other pages: beside an ``article`` that is ``TEASER`` times as large, and with a link in them."""
+    size: dict[int, int] = {}
+    linked: set[int] = set()
+    for x, u in zip(found, usable, strict=True):
+        if u and x.unit:
+            size[x.unit] = size.get(x.unit, 0) + len(x.text) - x.linked
+            if x.linked:
+                linked.add(x.unit)
+    most = max(size.values(), default=0)
+    return {k for k in linked if size[k] * TEASER <= most}
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by line feeds; empty where there are none or the page is null."""
     found, outer = lines(page or "")
     marked = any(x.main and not x.apart for x in found)
     usable = [not x.apart and (x.main or not marked) for x in found]
+    if marked and (teasers := _teasers(found, usable)):
+        usable = [u and x.unit not in teasers for x, u in zip(found, usable, strict=True)]
     weights = [max(0, len(x.text) - x.linked) if u else 0 for x, u in zip(found, usable, strict=True)]
     if not any(weights):
         return ""

@@ -474,6 +474,40 @@ def test_all_ranges_of_a_container():
     assert html_text.main_text(boxed).split("\n") == [LONG.format("First"), *between, LONG.format("Second")]
 
 
+def test_names_inside_the_article():
+    body = "".join(f"<p>{LONG.format(x)}</p>" for x in ("First", "Second"))
+    lines = [LONG.format("First"), LONG.format("Second")]
+    kept = '<div class="entry-header"><h2>Sub</h2></div>' + body + '<p class="share-price">Shares fell to 12.50.</p><p class="ad-hoc">An ad-hoc note.</p><p id="comment-worthy">Said twice.</p>'
+    away = "".join(f'<div class="{c}"><p>{LONG.format("Away")}</p></div>' for c in ("post-comments", "share-buttons", "related-posts", "site-footer", "newsletter-signup", "ad", "googleAds", "wp-comments", "page-header"))
+    want = ["Sub", *lines, "Shares fell to 12.50.", "An ad-hoc note.", "Said twice."]
+    assert html_text.main_text(f"<article>{kept}{away}</article>").split("\n") == want
+    teaser = "<article><h3><a href=x>Other news</a></h3><p>This is what another page has to say, in a sentence or two, so that you read on there now.</p></article>"
+    assert html_text.main_text(f"<main><article>{body * 4}</article>{teaser * 3}</main>").split("\n") == lines * 4
+    equal = f"<article><p>{LONG.format('Third')}</p><p><a href=x>Source</a></p></article>"
+    assert html_text.main_text(f"<article>{body}</article>{equal}").split("\n")[2] == LONG.format("Third")
+
+
+def test_quoted_values_of_any_length():
+    for n in (1000, 3000, 200_000):
+        value = "a>" * n
+        for q in ('"', "'"):
+            assert html_text.main_text(f"<p data-x={q}{value}{q}>Hello world, this is the text.</p><p title=5' >and more</p>") == "Hello world, this is the text.\nand more"
+    assert html_text.main_text('<p title="open>Hello world, this is all the text.</p><p>And more of it</p>') == "Hello world, this is all the text.\nAnd more of it"
+    started = time.time()
+    for page in ('<a x="' * 100_000, '<a x="\'>' * 100_000, "<p title=5\">x</p>" * 50_000, '<a x="' + "<b y='" * 50_000 + '">', "<a =" * 100_000 + ">"):
+        html_text.main_text(page)
+    assert time.time() - started < 20
+
+
+def test_window_and_surge_decide_on_marked_pages():
+    links = "".join(f"<li><a href=x>Link number {k}</a></li>" for k in range(4))
+    page = f"<main><div class=a><p>{LONG.format('First')}</p><p>{LONG.format('Second')}</p></div><ul>{links}</ul><div class=b><p>{LONG.format('Third')}</p></div></main>"
+    texts = {k: html_text.main_text(page, *k).split("\n") for k in ((3, 80), (3, 150), (1, 10**6))}
+    assert [x for x in texts[3, 80] if not x.startswith("Link")] == [LONG.format(x) for x in ("First", "Second", "Third")]
+    assert texts[3, 150] == [LONG.format(x) for x in ("First", "Second")]  # the third paragraph alone doesn't surge
+    assert LONG.format("Third") not in texts[1, 10**6]
+
+
 def test_main_text_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>a"), (2, "u", "<p>a"), (2, "u", "<p>a")]
     got = html_text.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int"))
