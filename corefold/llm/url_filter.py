@@ -1,10 +1,10 @@
 """URL filter: rules for hosts and paths, and a classifier of segmented names for the rest.
 
-A host's concatenated names are cut into words by a unigram model with Viterbi's algorithm;
-the model's words and their ranks are those of a public vocabulary. Multinomial naive Bayes
-scores the words of host and path. It is trained on a lexicon of words that speak for either
-class and on a bounded sample of the table's addresses, labelled by that lexicon, which
-teaches it what all addresses have in common.
+Concatenated names in host and path are cut into words by a unigram model with Viterbi's
+algorithm; the model's words and their ranks are those of a public vocabulary. Multinomial
+naive Bayes scores the words of host and path. It is trained on a lexicon of words that speak
+for either class, in hosts and in paths, and on a bounded sample of the table's addresses,
+labelled by that lexicon, which teaches it what all addresses have in common.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ RULES = (
 MOST_RULES = 1_000_000
 #: Addresses that the classifier is trained on, at most: those with the smallest hashes.
 SAMPLE = 5_000
-#: Words of a host that speak for either class.
+#: Words of an address that speak for either class.
 BLOCK_WORDS = (
     "casino poker bet bets betting gambling slots slot jackpot lottery roulette bingo win winner pills pill pharmacy viagra cialis drugs meds "
     "cheap xxx adult porn porno sex sexy escort escorts cams webcam nude erotic dating spam farm malware phishing hack hacks crack cracked "
@@ -40,7 +40,7 @@ BLOCK_WORDS = (
 ALLOW_WORDS = (
     "news blog shop store library school university college docs wiki forum health travel weather science music film book books recipes kitchen "
     "city museum research photo garden sport history law journal press review home house car bike family art studio design tech code data maps "
-    "mail cloud help support about community church local nature animal animals language learn education math www m en de fr es html page"
+    "mail cloud help support about community church local nature animal animals language learn education math"
 ).split()
 _PIECE = re.compile(r"[a-z]+|[0-9]+")
 LONGEST_WORD = 24
@@ -70,7 +70,7 @@ class Segmenter:
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         ranked = sorted((i, t[:-4]) for t, i in vocabulary.items() if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha())
-        ranked = [(i, t) for i, t in ranked if len(t) > 2 or t in ("a", "i", "of", "to", "in", "on", "at", "by", "my", "we", "us", "up", "go", "no", "it", "is", "ad", "m")]
+        ranked = [(i, t) for i, t in ranked if len(t) > 2 or t in ("a", "i", "of", "to", "in", "on", "at", "by", "my", "we", "us", "up", "go", "no", "it", "is", "ad")]
         norm = math.log(sum(1 / (n + 100) for n in range(len(ranked))))
         costs = {t: math.log(n + 100) + norm for n, (_, t) in enumerate(ranked)}
         for w in words:
@@ -102,14 +102,9 @@ class Segmenter:
 def tokens(host: str, path: str, cut: Segmenter) -> list[str]:
     """Words of the host, ``h:``, but for its last label, and of the path, ``p:``; numbers are one token."""
     out = []
-    for mark, text, parts in (("h:", host.rpartition(".")[0] or host, True), ("p:", path.lower(), False)):
+    for mark, text in (("h:", host.rpartition(".")[0] or host), ("p:", path.lower())):
         for piece in _PIECE.findall(text):
-            if piece[0].isdigit():
-                out.append(mark + "0")
-            elif parts:
-                out += [mark + w for w in cut(piece)]
-            else:
-                out.append(mark + piece)
+            out += [mark + "0"] if piece[0].isdigit() else [mark + w for w in cut(piece)]
     return out
 
 
@@ -139,16 +134,18 @@ class Bayes:
 def fit(pages: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Bayes:
     """Naive Bayes on the lexicon and on at most ``sample`` addresses, labelled by it."""
     cut = Segmenter.from_vocabulary(vocabulary)
-    block = {f"h:{w}" for w in BLOCK_WORDS}
+    block = {f"{mark}:{w}" for w in BLOCK_WORDS for mark in "hp"}
     urls = pages.select("url").where(F.col("url").isNotNull())
     rows = bounded_sample(urls, ["url"], sample, urls.count())
     rows = rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).collect()
     seen = [tokens(r["host"], r["path"], cut) for r in rows]
     labelled = [(words, any(w in block for w in words)) for words in seen]
-    # words of the lexicon in addresses of their own, with the sample's paths in turn: what all have in common speaks for neither
-    paths = [[w for w in words if w.startswith("p:")] for words in seen] or [[]]
-    lexicon = [(w, True) for w in BLOCK_WORDS for _ in range(5)] + [(w, False) for w in ALLOW_WORDS for _ in range(5)]
-    labelled += [([f"h:{w}", *paths[k % len(paths)]], y) for k, (w, y) in enumerate(lexicon)]
+    # words of the lexicon in addresses of their own, with the sample's other half in turn: what all have in common speaks for neither
+    halves = {mark: [[w for w in words if w.startswith(mark)] for words in seen] or [[]] for mark in ("h:", "p:")}
+    lexicon = [(w, y, mark) for words, y in ((BLOCK_WORDS, True), (ALLOW_WORDS, False)) for w in words for mark in ("h:", "p:") for _ in range(5)]
+    for k, (w, y, mark) in enumerate(lexicon):
+        other = halves["p:" if mark == "h:" else "h:"]
+        labelled.append(([mark + w, *(x for x in other[k % len(other)] if x not in block)], y))
     return Bayes.train(labelled)
 
 

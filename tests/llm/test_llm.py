@@ -778,6 +778,17 @@ def test_segments_and_held_out_hosts(spark):
     allow = "therecipesblog.com universitylibrary.org gardenbooks.net weatherforecast.com cityhistorymuseum.org musicschool.edu ththth.net bikerepairguide.com".split()
     right = sum(model.score(url_filter.tokens(h, "/en/12.html", cut)) > 0 for h in block) + sum(model.score(url_filter.tokens(h, "/en/12.html", cut)) <= 0 for h in allow)
     assert right >= 14
+    score = lambda host, path: model.score(url_filter.tokens(host, path, cut))
+    bad = "/online-casino/poker /freeporn/videos.html /cheapviagrapills /play/luckyslots-jackpot /keygen-crack-download /payday/loans /adtracker/clicks /xxxcams/7".split()
+    good = "/recipes/kitchen /museum-history/garden /weatherforecast/12.html /universitylibrary/books /en/12.html /city/health-support /schoolmusic/lesson /article/2020/page3".split()
+    for host in ("example.com", "www.site7.org", "blog.neutral.net"):
+        assert sum(score(host, x) > 0 for x in bad) >= 7, [(x, score(host, x)) for x in bad]
+        assert sum(score(host, x) <= 0 for x in good) >= 7, [(x, score(host, x)) for x in good]
+    # the model decides: without its odds, or on a prior of its own, the same addresses are judged otherwise
+    pages = spark.createDataFrame([(k, f"http://example.fr{x}") for k, x in enumerate(bad)], "page_id long, url string")
+    verdicts = lambda m: [r["verdict"] for r in url_filter.judge(pages, path, model=m).orderBy("page_id").collect()]
+    assert verdicts(model).count("block") >= 7
+    assert verdicts(url_filter.Bayes({}, 0.0, model.prior)).count("block") == 0
 
 
 # the pipeline
