@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shuffle_partitions
+from .common import bounded_batches, materialise, shuffle_partitions
 from .tokenizing import encoder
 
 MAGIC = b"CFTK\x01"
 HEAD, TRAILER = struct.Struct("<5sBI"), struct.Struct("<4q")
 BLOCK = 8192
 NULL = -(1 << 63)
+#: Reading tasks; with more ranges than that a task has several.
+MOST_TASKS = 10_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -54,17 +57,16 @@ def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 class Writer:
-    """Blocks go out as they fill; only the index, 24 bytes or fewer a document, stays in memory."""
+    """Blocks go out as they fill; only the index, 16 bytes a document and 8 a block, stays in memory."""
 
     def __init__(self, out, bits: int, block: int = BLOCK):  # noqa: ANN001
         self.out, self.bits, self.block = out, bits, block
         self.at = out.write(HEAD.pack(MAGIC, bits, block)) or HEAD.size
-        self.blocks: list[int] = []
-        self.docs: list[tuple[int, int]] = []
+        self.blocks, self.docs = array("q"), array("q")
         self.n, self.rest = 0, np.zeros(0, "<u4")
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((NULL if doc_id is None else doc_id, self.n))
+        self.docs.extend((NULL if doc_id is None else doc_id, self.n))
         self.n += len(ids)
         ids = np.concatenate([self.rest, ids])
         whole = len(ids) - len(ids) % self.block
@@ -82,8 +84,8 @@ class Writer:
         if len(self.rest):
             self._put(self.rest)
         self.out.write(np.asarray(self.blocks, "<i8").tobytes())
-        self.out.write(np.asarray(self.docs, "<i8").reshape(-1, 2).tobytes())
-        self.out.write(TRAILER.pack(len(self.blocks), len(self.docs), self.n, self.at))
+        self.out.write(np.asarray(self.docs, "<i8").tobytes())
+        self.out.write(TRAILER.pack(len(self.blocks), len(self.docs) // 2, self.n, self.at))
 
 
 class Reader:
@@ -110,11 +112,12 @@ class Reader:
             out.append(unpack_bits(data[self.offsets[b] - self.offsets[first] : self.offsets[b + 1] - self.offsets[first]], self.bits, n))
         return np.concatenate(out)[start - first * self.block : stop - first * self.block]
 
-    def documents(self, ids_at_once: int = 1 << 20) -> Iterator[tuple[int | None, int, int, int]]:
-        """(doc_id, place of its first id, ids, their crc32), the ids read some blocks at a time."""
-        ends = [*self.docs[1:, 1].tolist(), self.n]
+    def documents(self, ids_at_once: int = 1 << 20, first: int = 0, stop: int | None = None) -> Iterator[tuple[int | None, int, int, int]]:
+        """(doc_id, place of its first id, ids, their crc32), the ids read some blocks at a time: of documents that begin in ``first <= place < stop``."""
+        a, b = np.searchsorted(self.docs[:, 1], [first, self.n if stop is None else stop]).tolist()
+        starts = self.docs[a : b + 1, 1].tolist() + ([self.n] if b == len(self.docs) else [])
         lo, hi, held = 0, 0, np.zeros(0, "<u4")
-        for (doc, start), end in zip(self.docs.tolist(), ends, strict=False):
+        for doc, start, end in zip(self.docs[a:b, 0].tolist(), starts, starts[1:], strict=False):
             crc, at = 0, start
             while at < end:
                 if at >= hi:
@@ -130,39 +133,62 @@ def _file(folder: str, k: int) -> str:
     return f"{folder}/part-{k:06d}.tok"
 
 
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """``doc_id, h, ids``: each text's ids and ``end_id``, in two or four bytes each as the vocabulary needs, and a hash of the text."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(path, "bytes"), np.asarray([end_id], "<u4").tobytes()
+        narrow = _width(enc, end_id) == 2
+        for b in batches:
+            ids = (enc.ids(text.as_py()) + end for text in b.column(1))
+            if narrow:
+                ids = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, ids binary")
+
+
+def _width(enc, end_id: int) -> int:  # noqa: ANN001
+    return 2 if bits_for(max(enc.tokenizer.get_vocab_size(), end_id + 1)) <= 16 else 4
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> DataFrame:
     """Write ``doc_id, text`` in ascending order of ids, null first; a row a file: ``file, n_docs, n_tokens``.
 
-    Rows are dealt by range of (doc_id, hash of the text), so not even a repeated id gathers
-    in one task, and those that tie come in the hash's order. A task writes beside the final
-    name and then renames, so a lost or repeated task leaves whole files only. ``folder`` is
-    a URI that pyarrow's file systems open.
+    Texts are encoded where they are read, and only packed ids are dealt. That goes by range
+    of (doc_id, hash of the text), so not even a repeated id gathers in one task, and those
+    that tie come in the hash's order. A null text counts as empty, repeated rows are documents
+    of their own, other columns are left out, and an empty table gives files without
+    documents. A task writes beside the final name and then renames, so a lost or repeated
+    task leaves whole files only. ``folder`` is a URI that pyarrow's file systems open.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    n = shuffle_partitions(spark)
     pafs_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, "bytes"), np.asarray([end_id], "<u4").tobytes()
-        bits = bits_for(max(enc.tokenizer.get_vocab_size(), end_id + 1))
-        task = TaskContext.get()
+        from tokenizers import Tokenizer
+
+        bits = bits_for(max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1))
+        task, kind = TaskContext.get(), "<u2" if bits <= 16 else "<u4"
         k, where = task.partitionId(), f".{task.stageId()}-{task.taskAttemptId()}"
         store, final = pafs.FileSystem.from_uri(_file(folder, k))
         with store.open_output_stream(final + where) as out:
             w = Writer(out, bits)
             for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    w.add(doc, np.frombuffer(enc.ids(text.as_py()) + end, "<u4"))
+                for doc, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    w.add(doc, np.frombuffer(ids.as_buffer(), kind))
             w.close()
         if store.get_file_info(final).type != pafs.FileType.NotFound:
             store.delete_file(final)
         store.move(final + where, final)
-        yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32()), "n_docs": [len(w.docs)], "n_tokens": [w.n]})
+        yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32()), "n_docs": [len(w.docs) // 2], "n_tokens": [w.n]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    return dealt.select("doc_id", "text").mapInArrow(run, "file int, n_docs long, n_tokens long")
+    rows = materialise(encoded(docs, path, end_id), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids").mapInArrow(run, "file int, n_docs long, n_tokens long")
 
 
 def pafs_folder(folder: str) -> None:
@@ -170,30 +196,37 @@ def pafs_folder(folder: str) -> None:
     store.create_dir(path, recursive=True)
 
 
-def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, int]]) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, int]], *, split_ids: int = 16 << 20) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files; ``start`` counts over all files.
 
-    ``files`` has the number and the ids of each file: a row a task of the writing, not a row a document.
+    ``files`` has the number and the ids of each file: a row a task of the writing, not a row
+    a document. A file is read by as many tasks as it has ranges of ``split_ids`` ids, made
+    on the executors; a task owns the documents that begin in its range.
     """
     base, rows = 0, []
     for k, n in sorted(files):
-        rows.append((k, base))
+        if n:
+            rows.append((k, n, base))
         base += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, base, lo in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 store, path = pafs.FileSystem.from_uri(_file(folder, k))
                 with store.open_input_file(path) as source:
                     got: list[tuple] = []
-                    for doc, start, n, crc in Reader(source).documents():
+                    reader = Reader(source)
+                    for doc, start, n, crc in reader.documents(first=lo, stop=min(lo + split_ids, reader.n)):
                         got.append((doc, base + start, n, crc))
                         if len(got) == 10_000:
                             yield _rows(got)
                             got = []
                     yield _rows(got)
 
-    listed = spark.createDataFrame(rows, "file int, base long").repartition(max(1, len(rows)), "file")
+    listed = spark.createDataFrame(rows, "file int, n long, base long")
+    lows = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(split_ids).cast("long")))
+    tasks = sum(-(-n // split_ids) for _, n, _ in rows)
+    listed = listed.select("file", "base", lows.alias("lo")).repartition(max(1, min(tasks, MOST_TASKS)), "file", "lo")
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

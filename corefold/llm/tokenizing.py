@@ -91,7 +91,9 @@ class ChunkEncoder(CachedEncoder):
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # special tokens' strings in a text become their ids, as the library does by default: texts are cut around them
+        self.added = {t.content: packed([i]) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.around = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})")
         model, signs, plain, pre = tokenizer.model, _byte_signs(), _PLAIN.fullmatch, _TOKENS[kind].findall
         space = signs[0x20]
 
@@ -119,6 +121,12 @@ class ChunkEncoder(CachedEncoder):
         self.spaced = Known(lambda x: line + self.known[x[1:]] if x[0] == "\n" else chunk(" " + x), most)
 
     def ids(self, text: str | None) -> bytes:
+        if text and any(x in text for x in self.added):
+            return b"".join(self.added[x] if x in self.added else self.plain_ids(x) for x in self.around.split(text))
+        return self.plain_ids(text)
+
+    def plain_ids(self, text: str | None) -> bytes:
+        """Of a text without special tokens."""
         if text and hasattr(self, "spaced") and not _UNEVEN.search(text, 0, 1) and not text[-1].isspace() and not any(x in text for x in _ODD_SPACE):
             # words with one space or line feed between them: a word stands for the space and itself
             first, *rest = text.replace("\n", " \n").split(" ")

@@ -27,6 +27,8 @@ BEGINS = b"WARC/1."
 CHUNK = 1 << 18
 #: Payloads that occur more than once, up to which they are broadcast; about 50 bytes each.
 BROADCAST_PAYLOADS = 200_000
+#: Reading tasks; with more ranges than that a task has several.
+MOST_TASKS = 10_000
 _SAFE = "".join(chr(c) for c in range(0x21, 0x7F))
 
 
@@ -83,8 +85,10 @@ def _file(folder: str, k: int) -> str:
 def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write ``page_id, url, html`` as archives; a row a file: ``file, size, records``.
 
-    A null html is an empty payload. Each task writes one file beside its final name and
-    renames it, so that a lost or repeated task leaves whole files only.
+    A null html is an empty payload, a null address leaves its header out; repeated rows each
+    give a record; other columns are left out; an empty table gives files without records.
+    Each task writes one file beside its final name and renames it, so that a lost or
+    repeated task leaves whole files only.
     """
     bounded_batches(pages.sparkSession)
     store, path = pafs.FileSystem.from_uri(folder)
@@ -177,10 +181,11 @@ def _page(urn: str) -> int | None:
 def read_archives(spark: SparkSession, folder: str, files: list[tuple[int, int]], *, split_bytes: int = 32 << 20) -> DataFrame:
     """``page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload`` of all records.
 
-    ``files``: number and size of each. A response's length and digest are taken from the
-    payload that was read, and have to equal its headers; a revisit's are its headers.
+    ``files``: number and size of each, a row a writing task; their byte ranges are made on
+    the executors. A response's length and digest are taken from the payload that was read,
+    and have to equal its headers; a revisit's are its headers. No files, or empty ones, give
+    an empty table.
     """
-    ranges = [(k, lo, lo + split_bytes) for k, size in files for lo in range(0, size, split_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -205,6 +210,9 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[int, int]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    listed = spark.createDataFrame(ranges, "file int, lo long, hi long")
-    listed = listed.repartition(max(1, min(len(ranges), 10_000)), "file", "lo")
+    listed = spark.createDataFrame([(k, size) for k, size in files if size], "file int, size long")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    listed = listed.select("file", starts.alias("lo")).withColumn("hi", F.col("lo") + split_bytes)
+    n = sum(-(-size // split_bytes) for _, size in files)
+    listed = listed.repartition(max(1, min(n, MOST_TASKS)), "file", "lo")
     return listed.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")

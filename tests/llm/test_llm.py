@@ -83,10 +83,9 @@ def test_words_and_sets():
 def test_chunks_encode_as_whole_texts(name, kind):
     path = public_tokenizers.path(name)
     whole, chunked = Tokenizer.from_file(path), ChunkEncoder(path, kind, most=500)
-    whole.encode_special_tokens = True
-    signs = [*"abZ1' \n\t\r\x0b\x0c\x1c\x1f\x85\xa0  　eéÉß中😀!<|Σς​İ=≠,.", "'s", "'ll", "<|endoftext|>", "  ", "\n\n", "≠", "é", "the ", " and"]
+    signs = [*"abZ1' \n\t\r\x0b\x0c\x1c\x1f\x85\xa0  　eéÉß中😀!<|Σς​İ=≠,.", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "<|END", "  ", "\n\n", "≠", "é", "the ", " and"]
     rnd = random.Random(1)
-    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 14))) for _ in range(4000)] + [t for _, t, *_ in documents()[:60]] + ["x" * 5000, "= ̸"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 14))) for _ in range(4000)] + [t for _, t, *_ in documents()[:60]] + ["x" * 5000, "= ̸", "a <|endoftext|> b"]
     for t in texts:
         assert np.frombuffer(chunked.ids(t), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
@@ -227,7 +226,9 @@ def test_token_files(spark, odd, none):
     for df in (odd, none):
         folder = scratch_path(spark, "tok")
         files = token_files.write_token_files(df, folder, public_tokenizers.path("byte_bpe_50k.json")).collect()
-        rows = sorted(map(tuple, token_files.read_token_files(spark, folder, [(r["file"], r["n_tokens"]) for r in files]).collect()), key=lambda r: r[1])
+        read = lambda **split: sorted(map(tuple, token_files.read_token_files(spark, folder, [(r["file"], r["n_tokens"]) for r in files], **split).collect()), key=lambda r: r[1])
+        rows = read()
+        assert read(split_ids=1000) == rows
         assert len(rows) == df.count()
         assert [r[1] for r in rows] == np.cumsum([0, *[r[2] for r in rows]])[:-1].tolist()[: len(rows)]
         assert [r[0] for r in rows] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
@@ -247,6 +248,8 @@ def test_bit_packing(bits):
     assert (r.ids(123, 777) == ids[123:777]).all()
     want = [(k or None, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     assert list(r.documents(ids_at_once=100)) == want
+    for split in (1, 7, 400):
+        assert [x for lo in range(0, 1000, split) for x in r.documents(first=lo, stop=lo + split) if x[2]] == [x for x in want if x[2]]
     assert token_files.bits_for(50257) == 16
 
 
