@@ -4,16 +4,19 @@ Documents become pieces of at most ``capacity`` tokens. Pieces are dealt into sh
 hash, whatever their source, and a shard is packed as a multiset of lengths: at most
 ``capacity`` counts, however many pieces it has. Each shard's population lives on several
 islands. A generation takes two parents, injects well-filled bins of one whole into the
-other, dissolves the bins whose items are now used twice, and places the displaced items by
-best fit. Between epochs each island's elite migrates to the next one of the ring. The best
-solution of a shard is handed out to its pieces by rank within (shard, length), so nothing
-is ever gathered beyond one shard's bins.
+other, dissolves the bins there whose items are now used twice, the emptiest first, and
+places the displaced items by best fit. Between epochs each island's elite migrates to the
+next one of the ring. A shard whose best fit has as few bins as any packing can have is
+done at once. The best solution of a shard is handed out to its pieces by rank within
+(shard, length), so nothing is ever gathered beyond one shard's bins; pieces of the full
+length have a sequence to themselves and take no part in any of this.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,79 +55,86 @@ def tokenise(df: DataFrame, path: str, end_id: int, capacity: int, with_ids: boo
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
+Bins = list[tuple[int, ...]]
+
+
 class Packer:
     """The genetic algorithm over one shard: ``counts`` has the number of items of each length."""
 
+    #: Bins of the donor that are injected, of all, and bins that mutation dissolves beside, at most.
+    INJECTED, DISSOLVED = 0.3, 0.2
+
     def __init__(self, counts: dict[int, int], capacity: int, seed: int):
         self.counts, self.capacity, self.random = counts, capacity, random.Random(seed)
         total = sum(n * c for n, c in counts.items())
         halves = sum(c for n, c in counts.items() if 2 * n > capacity)
         self.least = max(-(-total // capacity), halves)  # no packing has fewer bins
 
-    def best_fit(self, bins: list[list[int]], items: list[int]) -> list[list[int]]:
+    def best_fit(self, bins: Bins, items: list[int]) -> Bins:
         """Place ``items``, longest first, each where the least room remains that holds it."""
         cap = self.capacity
-        room: list[list[list[int]]] = [[] for _ in range(cap + 1)]
+        room: list[list[int]] = [[] for _ in range(cap + 1)]
         mask = 0
-        for b in bins:
+        for i, b in enumerate(bins):
             if left := cap - sum(b):
-                room[left].append(b)
+                room[left].append(i)
                 mask |= 1 << left
         for n in sorted(items, reverse=True):
             if fits := mask >> n:
                 left = n + (fits & -fits).bit_length() - 1
-                b = room[left].pop()
+                i = room[left].pop()
                 if not room[left]:
                     mask ^= 1 << left
-                b.append(n)
+                bins[i] = (*bins[i], n)
             else:
-                left, b = cap, [n]
-                bins.append(b)
+                left, i = cap, len(bins)
+                bins.append((n,))
             if left := left - n:
-                room[left].append(b)
+                room[left].append(i)
                 mask |= 1 << left
         return bins
 
-    def fitness(self, bins: list[list[int]]) -> tuple:
+    def fitness(self, bins: Bins) -> tuple:
         """Fewer bins first, then the mean square of how full they are."""
         return -len(bins), sum(sum(b) ** 2 for b in bins) / max(len(bins), 1)
 
-    def first(self) -> list[list[int]]:
+    def first(self) -> Bins:
         return self.best_fit([], [n for n, c in self.counts.items() for _ in range(c)])
 
-    def varied(self) -> list[list[int]]:
+    def varied(self) -> Bins:
         """A start from random bins: a random tenth of the items in random order, then best fit."""
         items = [n for n, c in self.counts.items() for _ in range(c)]
         self.random.shuffle(items)
-        bins: list[list[int]] = []
+        bins: Bins = []
         k = len(items) // 10
         for n in items[:k]:
             if bins and sum(bins[-1]) + n <= self.capacity:
-                bins[-1].append(n)
+                bins[-1] = (*bins[-1], n)
             else:
-                bins.append([n])
+                bins.append((n,))
         return self.best_fit(bins, items[k:])
 
-    def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-        left = dict(self.counts)
-
-        def take(x: list[int]) -> bool:
-            for k, n in enumerate(x):
-                if not left[n]:
-                    for m in x[:k]:
-                        left[m] += 1
-                    return False
-                left[n] -= 1
-            return True
-
-        full = sorted(b, key=sum, reverse=True)
-        full = [x for x in full[: max(1, len(full) // 2)] if self.random.random() < 0.5]
-        child = [list(x) for x in full if take(x)]
-        own = [x for x in a if self.random.random() > 0.02]  # mutation: some bins are dissolved
-        child += [list(x) for x in sorted(own, key=sum, reverse=True) if take(x)]
-        return self.best_fit(child, [n for n, c in left.items() for _ in range(c)])
-
-    def evolve(self, start: list[list[list[int]]], size: int, generations: int) -> list[list[int]]:
+    def cross(self, a: Bins, b: Bins) -> Bins:
+        """A child of ``a`` with bins from the fuller half of ``b``."""
+        top = sorted(b, key=sum, reverse=True)[: max(1, len(b) // 2)]
+        injected = self.random.sample(top, max(1, min(len(top), int(len(b) * self.INJECTED))))
+        twice = Counter(n for x in injected for n in x)
+        left = sum(twice.values())
+        dissolved = int(len(a) * self.DISSOLVED * self.random.random())
+        child, displaced = [], []
+        for k, x in enumerate(sorted(a, key=sum)):
+            if k >= dissolved and not (left and any(twice[n] for n in x)):
+                child.append(x)
+                continue
+            for n in x:
+                if twice[n]:
+                    twice[n] -= 1
+                    left -= 1
+                else:
+                    displaced.append(n)
+        return self.best_fit(child + injected, displaced)
+
+    def evolve(self, start: list[Bins], size: int, generations: int) -> Bins:
         people = list(start)
         if not people:
             people.append(self.first())
@@ -132,43 +142,49 @@ class Packer:
             while len(people) < size:
                 people.append(self.varied())
             for _ in range(generations):
-                if len(people[0]) <= self.least:
-                    break
                 a, b = self.random.sample(range(len(people)), 2)
                 people.append(self.cross(people[a], people[b]))
                 people.sort(key=self.fitness, reverse=True)
                 del people[size:]
+                if len(people[0]) <= self.least:
+                    break
         return max(people, key=self.fitness)
 
 
-def _frozen(bins: list[list[int]]) -> tuple[int, bytes, bytes]:
+def _frozen(bins: Bins) -> tuple[int, bytes, bytes]:
     return len(bins), np.asarray([n for b in bins for n in b], "<u4").tobytes(), np.asarray([len(b) for b in bins], "<u4").tobytes()
 
 
-def _thawed(lengths: bytes | None, sizes: bytes | None) -> list[list[list[int]]]:
+def _thawed(lengths: bytes | None, sizes: bytes | None) -> list[Bins]:
     if lengths is None or sizes is None:
         return []
     ends = np.cumsum(np.frombuffer(sizes, "<u4"))
     items = np.frombuffer(lengths, "<u4").tolist()
-    return [[items[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]] if len(ends) else [[]]
+    return [[tuple(items[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]] if len(ends) else [[]]
 
 
 def pack(
-    pieces: DataFrame, key: tuple[str, ...], capacity: int, *, shard_items: int = 60_000, islands: int = 2, epochs: int = 2,
-    population: int = 4, generations: int = 4,
+    pieces: DataFrame, key: tuple[str, ...], capacity: int, *, shard_items: int = 60_000, islands: int = 3, epochs: int = 3,
+    population: int = 8, generations: int = 60,
 ) -> DataFrame:
     """Add ``sequence_id, offset`` to ``pieces``, which have ``length`` from 1 to ``capacity``.
 
     ``key`` names columns that tell pieces apart; rows that agree in all of them are
-    interchangeable, and each gets a place of its own. Sequences hold no more than
+    interchangeable, and each gets a place of its own. ``deal``, if there is such a column,
+    is a number by which pieces are dealt into shards, so that not even rows that agree in
+    all else meet in one; else a hash of ``key`` does. Sequences hold no more than
     ``capacity`` tokens and their offsets are gapless from 0. Pieces of the full length
-    have a sequence to themselves. An empty table gives an empty table.
+    have a sequence to themselves, with a negative number, and are neither dealt nor ranked.
+    An empty table gives an empty table.
     """
     spark = pieces.sparkSession
-    n = pieces.where(F.col("length") < capacity).count()
+    columns = [c for c in pieces.columns if c != "deal"]
+    short = pieces.where(F.col("length") < capacity)
+    n = short.count()
     shards = max(1, -(-n // shard_items))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
-    lengths = dealt.where(F.col("length") < capacity).groupBy("shard", "length").agg(F.count(F.lit(1)).alias("c"))
+    number = F.xxhash64("deal") if "deal" in pieces.columns else F.xxhash64(*key)
+    dealt = short.withColumn("shard", F.pmod(number, F.lit(shards)).cast("int"))
+    lengths = dealt.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("c"))
     hist = lengths.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("length", "c"))).alias("hist"))
     hist = materialise(hist, "lengths")
 
@@ -216,14 +232,11 @@ def pack(
     best = state.withColumn("__r", F.row_number().over(Window.partitionBy("shard").orderBy("n_bins", "island"))).where("__r = 1")
     slots = best.select("shard", "lengths", "sizes").mapInArrow(places, "p_shard int, p_length long, p_rank long, sequence_id long, offset long")
     spark_rank = F.row_number().over(Window.partitionBy("shard", "length").orderBy(*[F.col(k).asc_nulls_first() for k in key])) - 1
-    full = F.col("length") == capacity
     ranked = dealt.withColumn("__rank", spark_rank.cast("long"))
     on = (F.col("shard") == F.col("p_shard")) & (F.col("length") == F.col("p_length")) & (F.col("__rank") == F.col("p_rank"))
-    whole = (F.shiftleft(F.col("shard").cast("long"), 32) + F.lit(1 << 31) + F.col("__rank")).alias("sequence_id")
-    return (
-        ranked.where(~full).join(slots, on).select(*pieces.columns, "sequence_id", "offset")
-        .unionByName(ranked.where(full).select(*pieces.columns, whole, F.lit(0).cast("long").alias("offset")))
-    )
+    alone = (-1 - F.monotonically_increasing_id()).alias("sequence_id")
+    whole = pieces.where(F.col("length") == capacity).select(*columns, alone, F.lit(0).cast("long").alias("offset"))
+    return ranked.join(slots, on).select(*columns, "sequence_id", "offset").unionByName(whole)
 
 
 def pack_documents(df: DataFrame, path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
@@ -233,5 +246,5 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, capacity: int = 40
     columns are interchangeable. The token pieces are written to the shared folder once, so
     a lost executor never costs a second tokenising of the corpus.
     """
-    pieces = materialise(tokenise(df, path, end_id, capacity), "pieces")
+    pieces = materialise(tokenise(df, path, end_id, capacity).withColumn("deal", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, ("doc_id", "piece", "start", "ids_crc32"), capacity)

@@ -124,15 +124,28 @@ def test_packing(spark, odd, none):
 
 def test_genetic_algorithm_beats_its_start():
     rnd = random.Random(2)
-    counts = collections.Counter(rnd.choice([34, 35, 36, 33, 50, 51, 49, 26, 24, 25, 17]) for _ in range(400))
-    p = packing.Packer(dict(counts), 100, 7)
+    counts = collections.Counter(rnd.randint(1200, 1900) for _ in range(20000))
+    p = packing.Packer(dict(counts), 4096, 7)
     first = p.first()
-    best = p.evolve([], 6, 60)
-    assert p.least <= len(best) <= len(first)
-    assert collections.Counter(n for b in best for n in b) == counts
-    assert all(sum(b) <= 100 for b in best)
+    best = [len(packing.Packer(dict(counts), 4096, 7).evolve([], 8, g)) for g in (0, 10, 100)]
+    assert best[0] == len(first) > best[1] > best[2] >= p.least  # more generations, fewer sequences
+    assert best[2] <= 0.98 * best[0]
     child = p.cross(first, p.varied())
-    assert collections.Counter(n for b in child for n in b) == counts
+    for bins in (first, child, p.evolve([], 8, 20)):
+        assert collections.Counter(n for b in bins for n in b) == counts
+        assert all(sum(b) <= 4096 for b in bins)
+    easy = packing.Packer({10: 50, 90: 50}, 100, 1)
+    assert len(easy.evolve([], 8, 10)) == easy.least == 50
+
+
+def test_islands_and_migration_use_fewer_sequences(spark):
+    rnd = random.Random(4)
+    rows = [(i, 0, rnd.randint(1200, 1900)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    sequences = lambda **o: packing.pack(df, ("doc_id", "piece"), 4096, **o).select("sequence_id").distinct().count()
+    start = sequences(islands=1, epochs=1, generations=0)
+    one, many = sequences(islands=1, epochs=1, generations=20), sequences(islands=3, epochs=3, generations=60)
+    assert many < one < start
 
 
 def test_packing_in_shards(spark):
