@@ -341,7 +341,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
 def drop(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without all but one of each group of near duplicates: that with the smallest doc_id stays.
 
-    A row goes by its id and text. Rows that repeat both are copies too, and one of them stays.
+    A row goes by its id and text. Rows that repeat both are copies too, and of them that with
+    the smallest other columns stays, nulls first. Documents without words all stay. An empty
+    table gives an empty table.
     """
     found = materialise(near_duplicates(docs, shingle=shingle, num=num, den=den).select("doc_id", "text_hash", "kept", "n_shingles"), "decisions")
     row = [F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")]
@@ -353,5 +355,6 @@ def drop(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100) ->
     left = docs.join(bounded(gone, n_gone), here, "left_anti")
     if not n_again:
         return left
-    repeats = left.join(bounded(again, n_again), here, "left_semi").dropDuplicates(["doc_id", "text"])
+    repeats = left.join(bounded(again, n_again), here, "left_semi")
+    repeats = repeats.groupBy("doc_id", F.xxhash64("text").alias("__hash")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select(F.col("__row.*"))
     return left.join(bounded(again, n_again), here, "left_anti").unionByName(repeats)

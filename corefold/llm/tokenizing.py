@@ -8,6 +8,7 @@ chunk costs one lookup.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import struct
@@ -22,8 +23,8 @@ _UNEVEN = re.compile(r"\s")
 #: Longer chunks are not kept; when the cache is full, only chunks up to the second length stay.
 LONGEST_KEPT, SHORT = 64, 8
 #: Chunks kept by kind, some 150 bytes each.
-MOST_KEPT = {"words": 300_000, "bytes": 600_000, "pieces": 200_000}
-_encoders: dict[tuple, CachedEncoder] = {}
+MOST_KEPT = {"words": 300_000, "bytes": 600_000, "pieces": 120_000, "ranks": 120_000}
+_encoders: dict[tuple, object] = {}
 _FORMATS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -145,9 +146,30 @@ class PieceEncoder(CachedEncoder):
         super().__init__(lambda t: t.encode().split(), lambda x: packed(self.model.encode(x.decode())), most)
 
 
+class RankEncoder(CachedEncoder):
+    """Byte pairs by rank, from a file of base64 tokens and ranks; each word, with the space before it, on its own."""
+
+    def __init__(self, path: str, pattern: str, most: int | None = None):
+        from tiktoken import Encoding
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        model = Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        super().__init__(_CHUNKS.findall, lambda x: packed(model.encode_ordinary(x)), most or MOST_KEPT["ranks"])
+
+
 def encoder(path: str, kind: str) -> CachedEncoder:
-    """One encoder for each worker process, the last one asked for; ``kind`` "pieces" is a sentencepiece model."""
-    if (path, kind) not in _encoders:
+    """One encoder for each worker process, the last one asked for."""
+    return _kept((path, kind), lambda: ChunkEncoder(path, kind))
+
+
+def vocabularies(pieces: str, ranks: str, pattern: str) -> tuple[PieceEncoder, RankEncoder]:
+    """Two encoders, kept as one."""
+    return _kept((pieces, ranks), lambda: (PieceEncoder(pieces), RankEncoder(ranks, pattern)))
+
+
+def _kept(key: tuple, make: Callable):  # noqa: ANN202
+    if key not in _encoders:
         _encoders.clear()  # a worker that goes on to another operator gives its cache back
-        _encoders[path, kind] = PieceEncoder(path) if kind == "pieces" else ChunkEncoder(path, kind)
-    return _encoders[path, kind]
+        _encoders[key] = make()
+    return _encoders[key]

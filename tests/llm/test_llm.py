@@ -711,7 +711,7 @@ def test_registers_estimate_similarity():
 
 
 def test_quality(spark, odd, none):
-    path = public_tokenizers.path("piece_bpe_32k.model")
+    path = queries.quality_vocabularies()
     texts = [t for _, t, *_ in documents()] + ["a b c d e a b c d e a b c d e x y z w v", "l one\nl one\n \n\nl one\nl two", "a b " * 3, "#*$%&|<>é é\x1c x"]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     for r in quality.measure(df, path).collect():
@@ -736,7 +736,7 @@ def test_fertility_bands(spark):
     odd = " ".join("".join(chr(rnd.randrange(0xA000, 0xA400)) for _ in range(5)) for _ in range(40))
     runs = " ".join("ab"[k % 2] * (k + 2) for k in range(30))
     rows = [(1, good, "en"), (2, odd, "en"), (3, "".join(rnd.choice("abcdefghij") for _ in range(9)) + " " + " ".join("=" * k for k in range(1, 90)), "en"), (4, good, None), (5, runs, "en")]
-    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.quality_vocabularies()).collect()}
     assert got[1]["kept"]
     assert got[4]["kept"]
     assert got[4]["band"] == "latin"
@@ -745,21 +745,49 @@ def test_fertility_bands(spark):
     assert not got[3]["kept"]
 
 
+PROSE = {
+    "en": "The committee met on Tuesday to discuss the plans for the new library, and most of those present agreed that the site near the river would serve the town well. Work should begin next spring if the council finds the money.",
+    "de": "Der Ausschuss traf sich am Dienstag, um über die Pläne für die neue Bibliothek zu sprechen, und die meisten Anwesenden waren sich einig, dass der Platz am Fluss der Stadt gut dienen würde. Die Arbeiten sollen im Frühjahr beginnen, wenn genug Geld da ist.",
+    "fr": "Le comité s'est réuni mardi pour discuter des projets de la nouvelle bibliothèque, et la plupart des personnes présentes ont convenu que le terrain près de la rivière conviendrait bien à la ville. Les travaux commenceront au printemps si le conseil trouve l'argent.",
+    "es": "El comité se reunió el martes para hablar de los planes de la nueva biblioteca, y la mayoría de los presentes estuvo de acuerdo en que el terreno cerca del río serviría bien al pueblo. Las obras empezarán en primavera si el ayuntamiento encuentra el dinero.",
+}
+
+
+def test_bands_reject_what_is_planted(spark):
+    rnd = random.Random(9)
+    word = lambda letters, k: "".join(rnd.choice(letters) for _ in range(k))
+    rows, n = [], 0
+    for lang, text in PROSE.items():
+        junk = {
+            "clean": text,
+            "gibberish": " ".join(word("abcdefghijklmnopqrstuvwxyz", rnd.randint(3, 9)) for _ in range(60)),
+            "base64": " ".join(base64.b64encode(rnd.randbytes(45)).decode() for _ in range(40)),
+            "other script": " ".join(word("абвгдежзийклмнопрстуфхцчшщъыьэюя", rnd.randint(3, 9)) for _ in range(60)),
+            "hex": " ".join(rnd.randbytes(8).hex() for _ in range(50)),
+            "one word": " ".join(["spam" + "!" * (k % 7) for k in range(80)]),
+        }
+        for what, x in junk.items():
+            rows.append((n := n + 1, x, lang, what))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, what string")
+    got = {r["doc_id"]: r["kept"] for r in quality.measure(df, queries.quality_vocabularies(), most_repeated=100).collect()}
+    assert {(lang, what): got[k] for k, _, lang, what in rows} == {(lang, what): what == "clean" for _, _, lang, what in rows}
+    loose = {k: quality.Band(0, 99, 1, 0) for k in quality.BANDS}  # the bands decide: without them all stay
+    assert quality.measure(df, queries.quality_vocabularies(), most_repeated=100, bands=loose).where("kept").count() == len(rows)
+    assert quality.measure(df.withColumn("lang", F.lit(None)), queries.quality_vocabularies()).where("band <> 'latin'").count() == len(PROSE)
+
+
 def test_bands_reject_what_is_labelled_bad(spark):
-    good = "The committee met on Tuesday to discuss the plans for the new library, and most of those present agreed that the site near the river would serve the town well."
+    good = PROSE["en"]
     table = "Thndou | erhaha | eaernd | ertible | erheble | eronin | eredble | aninou | shingou | thinor | " + " | ".join(f"th{a}nd{b}" for a in "aeiou" for b in "rstln")
     rows = [(1, good + " " + good.replace("library", "school"), "en"), (2, table, "en"), (3, "Please call +1 (984) 555-5227 or 224.228.19.86 before noon, it is for the Friday meeting.", "en")]
-    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"), most_repeated=100).collect()}
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.quality_vocabularies(), most_repeated=100).collect()}
     assert [got[k]["kept"] for k in (1, 2, 3)] == [True, False, True]
     sf = "/root/testdata/sf0.1"  # the smaller tables have next to no bad documents in French and Spanish
     judged = queries.op9_quality_rules(spark, sf).where("NOT base_failed AND n_words >= 30").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
-    share = {}
-    for label, langs in ((0, ("en", "de")), (0, ("fr", "es")), (1, ("en", "de", "fr", "es"))):
-        of = [not r["kept"] for r in judged if r["quality"] == label and r["band"] in langs]
-        share[label, langs[0]] = sum(of) / len(of)
-    assert share[0, "en"] > 0.85
-    assert share[0, "fr"] > 0.3
-    assert share[1, "en"] < 0.06
+    for lang in ("en", "de", "fr", "es"):
+        of = {label: [not r["kept"] for r in judged if r["quality"] == label and r["band"] == lang] for label in (0, 1)}
+        assert sum(of[0]) > 0.9 * len(of[0]), lang
+        assert sum(of[1]) < 0.03 * len(of[1]), lang
 
 
 # 10: URL filter
@@ -813,7 +841,7 @@ def test_segments_and_held_out_hosts(spark):
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = corpus_pipeline.keep_good(spark, docs, SF)
-    judged = {r["doc_id"]: r["kept"] for r in quality.measure(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    judged = {r["doc_id"]: r["kept"] for r in quality.measure(docs, queries.quality_vocabularies()).collect()}
     assert {r["doc_id"] for r in good.collect()} == {d for d, k in judged.items() if k}
     rows = sorted((r["doc_id"], r["text"]) for r in good.collect())
     roots, _ = brute_components([t for _, t in rows], 80)
