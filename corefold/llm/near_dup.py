@@ -15,7 +15,9 @@ to their similarity. The way from documents to components:
 4. A cluster that fits a block is compared at once. A larger one first meets its pivots, the
    nodes that most ties lead to, which costs no more than reading it: a large group of near
    copies is linked by that. What isn't in the cluster's largest component then is compared
-   with all of the cluster, in pairs of blocks; two blocks of that component never are.
+   with all of the cluster, in pairs of blocks; two blocks of that component never are. To a
+   pair of blocks only registers go, and then the texts of those nodes whose likelihood with
+   some other node there leaves a link open.
 5. The links that decide, at most one less than the nodes of a group, are connected.
 
 No cap applies anywhere, and no link is lost to the pivots: they only spare comparisons
@@ -127,21 +129,19 @@ class _Sets:
         self.up[self.find(a)] = self.find(b)
 
 
-def links_of(
-    ids: list[int], sets: list[np.ndarray], regs: np.ndarray, sides: np.ndarray, num: int, den: int, roots: list[int] | None = None,
-) -> list[tuple[int, int]]:
-    """Links that connect what is linked among these nodes.
+def open_pairs(sizes: np.ndarray, regs: np.ndarray, sides: np.ndarray, roots: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows (i, j, equal registers) of nodes that share a band and that their registers don't rule out.
 
     Nodes of side 0 and 1 are compared with each other across sides; where all have side 2,
     with all others. ``num/den`` is the least similarity. Nodes of one root are linked already.
     """
-    n = len(ids)
-    sizes = np.asarray([len(s) for s in sets], np.float64)
+    n = len(sizes)
     bands = np.ascontiguousarray(band_hashes(regs, band_rows(num / den)))
     across = bool((sides != 2).any())
     found: list[np.ndarray] = []
     for i in range(n):
         other = np.flatnonzero(sides[i + 1 :] != sides[i]) + i + 1 if across else np.arange(i + 1, n)
+        other = other[roots[other] != roots[i]]
         if len(other):
             small, large = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
             other = other[small * den >= large * num]
@@ -157,13 +157,17 @@ def links_of(
         keep = ~ruled_out(more, less, same, u, num / den)
         if keep.any():
             found.append(np.stack([np.full(int(keep.sum()), i), other[keep], same[keep]], axis=1).astype(np.int32))
-    if not found:
-        return []
-    pairs = np.concatenate(found)
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int32)
+
+
+def links_of(ids: list[int], sets: list[np.ndarray], regs: np.ndarray, sides: np.ndarray, num: int, den: int, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked among these nodes; their whole sets decide. As for ``open_pairs``."""
+    known = np.arange(len(ids)) if roots is None else np.unique(np.asarray(roots), return_inverse=True)[1]
+    pairs = open_pairs(np.asarray([len(s) for s in sets], np.float64), regs, sides, known, num, den)
     pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
-    group, out = _Sets(n), []
+    group, out = _Sets(len(ids)), []
     first: dict[int, int] = {}
-    for k, root in enumerate(roots or ()):
+    for k, root in enumerate(known.tolist()):
         group.join(k, first.setdefault(root, k))
     for lo in range(0, len(pairs), 1 << 16):
         for a, b, _ in pairs[lo : lo + (1 << 16)].tolist():
@@ -227,13 +231,47 @@ def _blocks(nodes: Column, shingles: Column) -> Column:
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` with the text of each node: broadcast up to a number of rows, beyond it joined by shuffle."""
+    """``wanted``, which has ``doc`` and ``hash``, with the text of each row: broadcast up to a number of rows, beyond it joined by shuffle."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    rest = [c for c in wanted.columns if c not in ("doc", "hash")]
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash")))
-    return found.select("cluster", "i", "j", "node", "side", "root", "text")
+    return found.select(*rest, "text")
+
+
+def _with_registers(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``node, size, regs`` of ``node, doc, hash``: texts are read where they are, and registers take their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, at = Words(b.column(1)).shingles(shingle, True)
+            sizes = [len(np.unique(hashes[at[k] : at[k + 1]])) for k in range(len(at) - 1)]
+            regs = [r.tobytes() for r in registers(hashes, at)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], ["node", "size", "regs"])
+
+    return _with_texts(docs, nodes).select("node", "text").mapInArrow(run, "node long, size long, regs binary")
+
+
+def _undecided(paired: DataFrame, regs: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``paired`` whose node may be linked to another one of its pair of blocks, by their registers alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, ["cluster", "i", "j"]):
+            t = t.take(pa.array(np.unique(t["node"].to_numpy(), return_index=True)[1]))  # a repeated row gives its node twice
+            r = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            roots = np.unique(t["root"].to_numpy(), return_inverse=True)[1]
+            pairs = open_pairs(t["size"].to_numpy().astype(np.float64), r, t["side"].to_numpy(), roots, num, den)
+            on = np.unique(pairs[:, :2])
+            if len(on):
+                yield from t.take(pa.array(on)).select(["node", "cluster", "i", "j"]).to_batches()
+
+    n = shuffle_partitions(paired.sparkSession)
+    rows = paired.select("node", "cluster", "i", "j", "side", "root").join(regs, "node")
+    rows = rows.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    left = materialise(rows.mapInArrow(run, "node long, cluster long, i int, j int"), "undecided")
+    return paired.join(left, ["node", "cluster", "i", "j"], "left_semi")
 
 
 def _comparer(shingle: int, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
@@ -324,8 +362,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     paired = members.withColumn("block", block.cast("int")).withColumn("partner", F.explode(partners))
     i, j = F.least("block", "partner"), F.greatest("block", "partner")
     side = F.when(i == j, 2).otherwise((F.col("block") == j).cast("int"))
-    paired = paired.select("node", "doc", "hash", "cluster", i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"), "root")
-    more = compare(_with_texts(docs, materialise(paired, "pairs")))
+    single = F.col("mains") + F.col("others") == 1
+    paired = paired.select("node", "doc", "hash", "cluster", i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"), "root", single.alias("single"))
+    paired = materialise(paired, "pairs")
+    several = paired.where("not single").drop("single")
+    paired = paired.where("single").drop("single")
+    if several.limit(1).count():
+        nodes_of = materialise(members.where(~single).select("node", "doc", "hash").distinct(), "several")
+        regs = materialise(_with_registers(docs, nodes_of, shingle), "registers")
+        paired = materialise(paired.unionByName(_undecided(several, regs, num, den)), "open-pairs")
+    more = compare(_with_texts(docs, paired))
     roots = connected(more if links is None else more.unionByName(links))
 
     least = nodes.join(roots, "node", "left").select("node", "set_key", "least_id", F.coalesce("root", "node").alias("root"))
