@@ -9,8 +9,10 @@ vectors are found by brute force, and the walk is as long as it has to be to mee
 share of them.
 
 Equal vectors are one entry with their smallest ids, as many as a result can hold, so a
-vector that a third of the rows share costs no more than another. Entries and searches meet
-in blocks by their first centroid, both sides of a block of bounded size.
+vector that a third of the rows share costs no more than another. Entries are dealt into
+blocks by their first centroid, each written once; a task holds one block and the searches
+that visit it stream by, each giving its nearest there. Only a block that very many searches
+visit is copied.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from .common import bounded_batches, bounded_sample, materialise, shuffle_partit
 FIT_SAMPLE, WALK_SAMPLE = 20_000, 64
 #: Most centroids for a half; the counts by cell that the driver and each task hold are their square.
 MOST_CENTROIDS = 256
-#: Entries, and searches, in a block.
-BLOCK = 4096
+#: Bytes of entries that a task holds, and searches that one copy of a block meets.
+BLOCK_BYTES, BLOCK_SEARCHES = 32 << 20, 65_536
+#: Searches up to which their results are broadcast to the rows that asked; a kilobyte each.
+BROADCAST_SEARCHES = 20_000
 
 
 @dataclass
@@ -96,14 +100,22 @@ def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """``vec_id, v`` of vectors that take part, and their length: the commonest one, the greater if two are."""
+    """``vec_id, v`` of vectors that take part, and their length: the commonest one, the greater if two are.
+
+    Of rows that repeat an id the one with the smallest vector takes part, component by component.
+    """
     v = F.col("embedding").cast("array<double>")
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     dim = common[0]["dim"] if common else 0
-    return rows.where(F.size("v") == dim), dim
+    rows = rows.where(F.size("v") == dim)
+    again = materialise(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated-ids")  # ids only are shuffled
+    if again.limit(1).count():
+        once = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+        rows = rows.join(again, "vec_id", "left_anti").unionByName(once)
+    return rows, dim
 
 
 def _brute(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: int, dim: int) -> Iterator[pa.RecordBatch]:
@@ -159,6 +171,40 @@ def build(entries: DataFrame, dim: int, n: int, k: int, recall: float, entries_p
     return index
 
 
+def _rerank(batches: Iterator[pa.RecordBatch], wide: int, dim: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The nearest entries of a block for each search that visits it. Rows come block by block, its entries before its searches."""
+    key, held = None, []
+    x, second, ids = np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        places = np.stack([b.column(c).to_numpy() for c in range(4)])
+        cuts = [0, *(np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            part, here, side = b.slice(lo, hi - lo), tuple(places[:3, lo].tolist()), places[3, lo]
+            if here != key:
+                key, held = here, []
+                x = x[:0]
+            if side == 0:
+                held.append((_matrix(part.column(7), dim), part.column(5).to_numpy(), part.column(4).to_numpy()))
+                continue
+            if held:
+                x, second, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+                held = []
+            if not len(x):
+                continue
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for q, s, seconds in zip(_matrix(part.column(7), dim), part.column(4).to_pylist(), part.column(6).to_pylist(), strict=True):
+                mask = np.zeros(wide, bool)
+                mask[seconds] = True
+                on = np.flatnonzero(mask[second])
+                d = _distances(x[on], q)
+                first = np.lexsort((ids[on], d))[:most]
+                out.append((np.full(len(first), s), ids[on][first], d[first]))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["search", "entry", "score"])
+
+
 def search(
     vectors: DataFrame, *, k: int = 10, every: int = 100, recall: float = 0.96, entries_per_cell: int = 16,
 ) -> DataFrame:
@@ -167,8 +213,8 @@ def search(
     ``vectors`` has ``vec_id, embedding``. Score: Euclidean distance in double precision; ties
     go to the smaller vec_id. A row's own id is no candidate. Rows without an id take no part,
     nor do vectors that are null, zero, hold null or non-finite components or have another
-    length than most. ``recall`` is the share of true neighbours that the walk is measured
-    for. No queries or no other vectors give an empty table.
+    length than most. Of rows that repeat an id one takes part, as ``usable`` says. ``recall`` is the share of true neighbours that the walk is
+    measured for. No queries or no other vectors give an empty table.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -201,8 +247,9 @@ def search(
     # blocks of either side by first centroid: at most MOST_CENTROIDS counts
     per_first = index.counts.reshape(len(index.first), wide).sum(axis=1)
     asked_of = {r["a"]: r["count"] for r in visits.groupBy("a").count().collect()}
-    entry_blocks = [int(-(-c // BLOCK)) or 1 for c in per_first.tolist()]
-    search_blocks = [int(-(-asked_of.get(a, 0) // BLOCK)) or 1 for a in range(len(per_first))]
+    block = max(1, BLOCK_BYTES // (8 * dim))
+    entry_blocks = [int(-(-c // block)) or 1 for c in per_first.tolist()]
+    search_blocks = [int(-(-asked_of.get(a, 0) // BLOCK_SEARCHES)) or 1 for a in range(len(per_first))]
     pick = lambda blocks: F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("a") + 1)
 
     def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,33 +259,20 @@ def search(
 
     placed = entries.select("entry", "v").mapInArrow(first_of, "entry long, a int, second int, v array<double>")
     eb, sb = F.pmod(F.xxhash64("entry"), pick(entry_blocks)).cast("int"), F.sequence(F.lit(0), pick(search_blocks) - 1)
-    left = placed.select("a", eb.alias("eb"), F.explode(sb).alias("sb"), "entry", "second", "v")
+    none = F.lit(None).cast("array<int>").alias("seconds")
+    left = placed.select("a", eb.alias("eb"), F.explode(sb).alias("sb"), F.lit(0).alias("side"), F.col("entry").alias("id"), "second", none, "v")
     both = visits.join(searches, "search")
     eb, sb = F.sequence(F.lit(0), pick(entry_blocks) - 1), F.pmod(F.xxhash64("search"), pick(search_blocks)).cast("int")
-    right = both.select("a", F.explode(eb).alias("eb"), sb.alias("sb"), "search", "seconds", "v")
-
-    def rerank(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if ours.num_rows and theirs.num_rows:
-            x = _matrix(ours["v"].combine_chunks(), dim)
-            second, ids = ours["second"].to_numpy(), ours["entry"].to_numpy()
-            q = _matrix(theirs["v"].combine_chunks(), dim)
-            for i, (s, seconds) in enumerate(zip(theirs["search"].to_pylist(), theirs["seconds"].to_pylist(), strict=True)):
-                mask = np.zeros(wide, bool)
-                mask[seconds] = True
-                on = np.flatnonzero(mask[second])
-                d = _distances(x[on], q[i])
-                near = np.lexsort((ids[on], d))[: k + 1]
-                out.append((np.full(len(near), s), ids[on][near], d[near]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"search": pa.array(cols[0], pa.int64()), "entry": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    near = left.groupBy("a", "eb", "sb").cogroup(right.groupBy("a", "eb", "sb")).applyInArrow(rerank, "search long, entry long, score double")
+    right = both.select("a", F.explode(eb).alias("eb"), sb.alias("sb"), F.lit(1).alias("side"), F.col("search").alias("id"), F.lit(0).alias("second"), "seconds", "v")
+    met = left.unionByName(right).repartition(shuffle_partitions(spark), "a", "eb", "sb").sortWithinPartitions("a", "eb", "sb", "side")
+    near = met.mapInArrow(lambda it: _rerank(it, wide, dim, k + 1), "search long, entry long, score double")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("search").orderBy("score", "entry"))).where(F.col("r") <= k + 1)
     hits = best.select("search", "entry", "score").join(entries.select("entry", "ids"), "entry").select("search", "score", F.explode("ids").alias("vec_id"))
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("search").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
     hits = hits.groupBy("search").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("hits"))
     hits = hits.join(searches, "search").select("v", "hits")
+    if searches.count() <= BROADCAST_SEARCHES:
+        hits = F.broadcast(hits)  # a vector that very many rows ask for gathers in no task
     own = asked.select(F.col("vec_id").alias("query_id"), "v").join(hits, "v")
     others = F.slice(F.filter("hits", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = own.select("query_id", F.posexplode(others).alias("rank", "hit"))

@@ -575,6 +575,26 @@ def test_nearest_vectors_odd_rows(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_blocks_of_entries_and_searches(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    nearest = lambda: [tuple(r) for r in ann.search(df, every=5, recall=1.0).orderBy("query_id", "rank").collect()]
+    whole = nearest()
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 48 * 20)
+    monkeypatch.setattr(ann, "BLOCK_SEARCHES", 30)
+    monkeypatch.setattr(ann, "BROADCAST_SEARCHES", 10)
+    assert nearest() == whole
+    assert len(whole) == 3000
+
+
+def test_repeated_vector_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=1).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 2)]
+    assert ann.search(spark.createDataFrame([*rows, rows[0], rows[2]], "vec_id long, embedding array<double>"), k=1).collect() == got
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(0)
     index = ann.Index(rng.normal(size=(7, 4)), rng.normal(size=(7, 4)), np.ones(49, np.int64), 49)
