@@ -5,6 +5,7 @@ A name or address similarity is 0 where either side is empty and 1 where both ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -156,11 +157,48 @@ def kernels(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(np.asarray(rows, dtype=float).reshape(-1, len(KERNELS)), columns=list(KERNELS))
 
 
-@F.pandas_udf(DoubleType())
-def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_text(x or "", y or "") if x != y or not x else 1.0 for x, y in zip(a, b, strict=True)], dtype=float)
+def _mapped(one: Callable[[str, str], float]) -> Callable:
+    """An Arrow kernel of pairs; a null, a pair that is settled already, costs nothing."""
 
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_text(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, DoubleType())
+
+
+_jaro_winkler, _token_sort, _token_set, _partial = (_mapped(f) for f in (jaro_winkler_text, token_sort_text, token_set_text, partial_text))
+
+
+def _settled(a: Column, b: Column, kernel: Callable, ones: Column | None = None) -> Column:
+    """``kernel`` of pairs that expressions don't settle: 0 where either is empty, 1 where both are equal or ``ones`` holds."""
+    a, b = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (a, b))
+    one = a == b if ones is None else (a == b) | ones
+    done = (a == "") | (b == "") | one
+    return F.when((a == "") | (b == ""), 0.0).when(one, 1.0).otherwise(kernel(F.when(~done, a), F.when(~done, b)))
+
+
+def jaro_winkler(a: Column | str, b: Column | str) -> Column:
+    return _settled(a, b, _jaro_winkler)
+
+
+def _words(c: Column | str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), " "), lambda t: t != "")
+
+
+def token_sort(a: Column | str, b: Column | str) -> Column:
+    """Of single-spaced texts. Pairs with the same tokens are settled in expressions."""
+    return _settled(a, b, _token_sort, (F.size(_words(a)) > 0) & (F.array_sort(_words(a)) == F.array_sort(_words(b))))
+
+
+def token_set(a: Column | str, b: Column | str) -> Column:
+    """Of single-spaced texts. Pairs where one has all tokens of the other are settled in expressions."""
+    x, y = _words(a), _words(b)
+    holds = lambda u, v: (F.size(u) > 0) & (F.size(v) > 0) & (F.size(F.array_except(u, v)) == 0)
+    return _settled(a, b, _token_set, holds(x, y) | holds(y, x))
+
+
+def partial(a: Column | str, b: Column | str) -> Column:
+    """A text that the other holds as it is is settled in expressions."""
+    x, y = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (a, b))
+    return _settled(a, b, _partial, F.contains(x, y) | F.contains(y, x))

@@ -22,6 +22,28 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def normalise_g1(text: Column) -> Column:
+    """The first generation's form: decomposed, without combining marks, lower case, ``&`` as a word, other signs as spaces.
+
+    Neither transliterated nor with the step for ``. / -`` of its own. Texts beyond ASCII
+    need the Unicode tables and so Python; ASCII texts stay in expressions.
+    """
+    text = F.coalesce(text, F.lit(""))
+    beyond = text.rlike("[^ -~\\n\\t]")
+    return F.when(beyond, normalise_g1_unicode(F.when(beyond, text))).otherwise(clean(text))
+
+
+def normalise_g1_text(s: str | None) -> str:
+    s = unicodedata.normalize("NFKD", s or "")
+    s = "".join(c for c in s if not unicodedata.combining(c)).lower().replace("&", " and ")
+    return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in s).split())
+
+
+@F.pandas_udf(StringType())
+def normalise_g1_unicode(s: pd.Series) -> pd.Series:
+    return s.map(normalise_g1_text)
+
+
 def transliteration_table() -> dict[int, str]:
     """From code point to latin letters: ligatures, joiners, Arabic-Indic digits and nine Brahmic blocks."""
     out = {0x152: "oe", 0x153: "oe", 0xC6: "ae", 0xE6: "ae", 0x200C: "", 0x200D: ""} | {0x660 + d: str(d) for d in range(10)}
@@ -57,12 +79,14 @@ def clean_unicode(s: pd.Series) -> pd.Series:
 
 
 _VOWELS = "AEIOU"
+#: How a word may begin, and what it then begins with instead.
+METAPHONE_STARTS = (("AE", "E"), ("GN", "N"), ("KN", "N"), ("PN", "N"), ("WR", "R"), ("X", "S"), ("WH", "W"))
 
 
 def metaphone_text(word: str) -> str:
     """Metaphone of one word: the published rules, four to six symbols for most names."""
     w = "".join(c for c in word.upper() if "A" <= c <= "Z")
-    for start, put in (("AE", "E"), ("GN", "N"), ("KN", "N"), ("PN", "N"), ("WR", "R"), ("X", "S"), ("WH", "W")):
+    for start, put in METAPHONE_STARTS:
         if w.startswith(start):
             w = put + w[len(start) :]
             break
@@ -147,9 +171,55 @@ def metaphone_text(word: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def metaphone(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: metaphone_text(x or ""))
+
+
+def _metaphone_sign(s: Column) -> Column:
+    """The code of a sign: ``c`` is the sign, ``p`` and ``q`` those before, ``n`` and ``m`` those after, empty beyond the word, ``i`` its place."""
+    c, p, q, n, m = (s[x] for x in "cpqnm")
+    vowel, soft = lambda x: x.isin(*_VOWELS), lambda x: x.isin("I", "E", "Y")
+    case = lambda *pairs, other: _cases(pairs, other)
+    return case(
+        ((c == p) & (c != "C"), ""),
+        (vowel(c), F.when(s["i"] == 1, c).otherwise("")),
+        (c == "B", case(((n == "") & (p == "M"), ""), other="B")),
+        (c == "C", case(((n == "H") | ((n == "I") & (m == "A")), "X"), (soft(n) & (p == "S"), ""), (soft(n), "S"), other="K")),
+        (c == "D", case(((n == "G") & soft(m), "J"), other="T")),
+        (c == "G", case(((p == "D") & (q != "D") & soft(n), ""), ((n == "H") & (m != "") & ~vowel(m), ""), ((n == "N") & (m == ""), ""), (soft(n) & (p != "G"), "J"), other="K")),
+        (c == "H", case((vowel(n) & ~p.isin("C", "S", "P", "T", "G"), "H"), other="")),
+        (c == "K", case((p == "C", ""), other="K")),
+        (c == "P", case((n == "H", "F"), other="P")),
+        (c == "Q", "K"),
+        (c == "S", case(((n == "H") | ((n == "I") & m.isin("O", "A")), "X"), other="S")),
+        (c == "T", case((n == "H", "0"), ((n == "I") & m.isin("O", "A"), "X"), other="T")),
+        (c == "V", "F"),
+        (c.isin("W", "Y"), F.when(vowel(n), c).otherwise("")),
+        (c == "X", "KS"),
+        (c == "Z", "S"),
+        other=c,
+    )
+
+
+def _cases(pairs: tuple, other: object) -> Column:
+    out = other if isinstance(other, Column) else F.lit(other)
+    for condition, value in reversed(pairs):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def metaphone(word: Column) -> Column:
+    """Metaphone of a word, as ``metaphone_text``, in expressions: a sign's code depends on the two before and the two after."""
+    w = F.regexp_replace(F.upper(F.coalesce(word, F.lit(""))), "[^A-Z]", "")
+    start = w
+    for old, new in reversed(METAPHONE_STARTS):
+        start = F.when(F.startswith(w, F.lit(old)), F.concat(F.lit(new), F.substr(w, F.lit(len(old) + 1)))).otherwise(start)
+    at = lambda x, i: F.when(i >= 1, F.substr(x, i, F.lit(1))).otherwise("")
+
+    def signs(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.struct(
+            i.alias("i"), at(x, i).alias("c"), at(x, i - 1).alias("p"), at(x, i - 2).alias("q"), at(x, i + 1).alias("n"), at(x, i + 2).alias("m")))
+
+    coded = lambda x: F.when(x == "", F.lit("")).otherwise(F.array_join(F.transform(signs(x), _metaphone_sign), ""))
+    return F.element_at(F.transform(F.array(start), coded), 1)
 
 
 def tokens(cleaned: Column) -> Column:

@@ -79,9 +79,9 @@ def rules_table(spark: SparkSession, rules: tuple = tables.RULES) -> DataFrame:
 
 
 def with_rules(scored: DataFrame, rules: DataFrame, default: tuple = tables.DEFAULT_RULE) -> DataFrame:
-    """``scored`` with its country's ``tag, model, th, mt``, or the default's. ``rules`` has a row a country."""
+    """``scored`` with its country's ``tag, model, th, mt``, or the default's. ``rules`` has a row a country, joined as its size lets it."""
     tag, model, th, mt = default
-    out = scored.join(F.broadcast(rules), "country", "left")
+    out = scored.join(rules, "country", "left")
     return out.withColumns({"tag": F.coalesce("tag", F.lit(tag)), "model": F.coalesce("model", F.lit(model)), "th": F.coalesce("th", F.lit(th)), "mt": F.coalesce("mt", F.lit(mt))})
 
 
@@ -124,5 +124,5 @@ def one_to_one_text(claims: DataFrame, with_address: bool = True) -> DataFrame:
     """By text alone: names, and addresses for two fifths. Needs ``a_`` and ``b_name_norm`` and ``_addr_norm``."""
     score = S.jaro_winkler(F.col("a_name_norm"), F.col("b_name_norm"))
     if with_address:
-        score = 0.6 * score + 0.4 * S.kernels("a_addr_norm", "b_addr_norm")["sort"]
+        score = 0.6 * score + 0.4 * S.token_sort("a_addr_norm", "b_addr_norm")
     return one_to_one(claims, F.round(score, 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
@@ -37,11 +37,7 @@ def recall_at(candidates: DataFrame, truth: DataFrame, caps: tuple[int, ...] = (
     found = truth.select(*EDGE).distinct().join(candidates.select(*EDGE, rank), EDGE, "left")
     sums = found.agg(F.count(F.lit(1)).alias("pairs"), *[F.count(F.when(F.col(rank) <= c, 1)).alias(f"h{c}") for c in caps])
     rows = sums.select("pairs", F.explode(F.array(*[F.struct(F.lit(c).alias("cap"), F.col(f"h{c}").alias("hits")) for c in caps])).alias("x"))
-    return rows.select("x.cap", "x.hits", "pairs", F.round(F.col("x.hits") / F.col("pairs"), 6).alias("recall"))
-
-
-def _grid(spark: SparkSession, ths: tuple[float, ...], mts: tuple[float, ...]) -> DataFrame:
-    return spark.createDataFrame([(t, m) for t in ths for m in mts], "th double, mt double")
+    return rows.select("x.cap", "x.hits", "pairs", F.round(F.try_divide(F.col("x.hits"), F.col("pairs")), 6).alias("recall"))
 
 
 def grid_one_to_one(
@@ -49,54 +45,81 @@ def grid_one_to_one(
 ) -> DataFrame:
     """(th, mt, macro_f05) for every pair of thresholds, each after its own one-to-one assignment.
 
-    With ``by`` = ("country",) for every country by itself; ``spine`` has the column then. The
-    grid has at most a few hundred rows and is joined to the pairs that some threshold
-    accepts; a target's claims are ranked within each pair of thresholds.
+    With ``by`` = ("country",) for every country by itself; ``spine`` has the column then.
+    Assignments aren't made one by one: of a target's claims in order, one wins for all ``mt``
+    up to its record's best probability and above those of the claims before it. So a claim
+    is accepted in one rectangle of the grid, found by a running maximum.
     """
-    accepted = _accepted(scored, ths, mts)
-    w = Window.partitionBy("th", "mt", "country", "target_id").orderBy(F.desc(F.round("prob", 6)), "s1_id")
-    won = accepted.withColumn("place", F.row_number().over(w)).where("place = 1").select("th", "mt", *EDGE)
-    return _macro_by(won, spine, truth, ths, mts, by)
+    ahead = Window.partitionBy("country", "target_id").orderBy(F.desc("prob"), "s1_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _with_best(scored).withColumn("low", F.coalesce(F.max("best").over(ahead), F.lit(-1.0))).where("low < best")
+    return _macro_by(rows, spine, truth, ths, mts, by=by)
 
 
 def sweep(scored: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """The same without the assignment."""
-    return _macro_by(_accepted(scored, ths, mts).select("th", "mt", *EDGE), spine, truth, ths, mts, by)
+    return _macro_by(_with_best(scored).withColumn("low", F.lit(-1.0)), spine, truth, ths, mts, by=by)
+
+
+def cap_sweep(scored: DataFrame, spine: DataFrame, truth: DataFrame, caps: tuple[int, ...] = (12, 16, 20), ths: tuple[float, ...] = tables.GRID, mts: tuple[float, ...] = tables.GRID) -> DataFrame:
+    """(cap, th, mt, macro_f05) over the first ``cap`` candidates by probability, for ``mt`` from ``th`` on; all caps in one pass."""
+    rows = _with_best(scored).withColumn("low", F.lit(-1.0))
+    return _macro_by(rows, spine, truth, ths, mts, caps=caps).where("mt >= th").select("cap", "th", "mt", "macro_f05")
+
+
+def rescue_sweep(
+    scored: DataFrame, spine: DataFrame, truth: DataFrame, rescued: Column, caps: tuple[int, ...] = (12, 16, 20), ths: tuple[float, ...] = tables.GRID, mts: tuple[float, ...] = tables.GRID,
+) -> DataFrame:
+    """(cap, rescue, th, mt, macro_f05): the same with and without raising the pairs that ``rescued`` says to the threshold.
+
+    Such a pair is over every ``th``, and its record's best is then at least ``th``, which
+    opens the gate where ``mt`` is ``th``.
+    """
+    rows = _with_best(scored.withColumn("raised", rescued)).withColumn("low", F.lit(-1.0))
+    rows = rows.withColumn("any_raised", F.max("raised").over(Window.partitionBy("country", "s1_id")))
+    return _macro_by(rows, spine, truth, ths, mts, caps=caps, rescue=True).where("mt >= th").select("cap", "rescue", "th", "mt", "macro_f05")
 
 
-def _accepted(scored: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...]) -> DataFrame:
-    best = F.max("prob").over(Window.partitionBy("country", "s1_id"))
-    rows = scored.withColumn("best", best).where((F.col("prob") >= min(ths)) & (F.col("best") >= min(mts)))
-    grid = F.broadcast(_grid(scored.sparkSession, ths, mts))
-    return rows.join(grid, (F.col("prob") >= F.col("th")) & (F.col("best") >= F.col("mt")))
+def _with_best(scored: DataFrame) -> DataFrame:
+    """Probabilities to six places, as ranking compares them, with the record's best and the place among its candidates."""
+    rows = scored.withColumn("prob", F.round("prob", 6))
+    w = Window.partitionBy("country", "s1_id")
+    return rows.withColumn("best", F.max("prob").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("prob"), "target_id")))
 
 
-def _macro_by(won: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...], by: tuple[str, ...]) -> DataFrame:
-    """Macro F0.5 for each pair of thresholds. A record without a prediction adds 1 if nothing is true of it, else 0.
+def _macro_by(
+    claims: DataFrame, spine: DataFrame, truth: DataFrame, ths: tuple[float, ...], mts: tuple[float, ...], by: tuple[str, ...] = (), caps: tuple[int, ...] | None = None, rescue: bool = False,
+) -> DataFrame:
+    """Macro F0.5 for each cell of the grid. A record without a prediction adds 1 if nothing is true of it, else 0.
 
-    Those are counted once and not listed for each pair of thresholds.
+    Those are counted once and not listed for each cell. Claims are dealt by record once; a
+    record's cells are made, counted and scored there, and only sums by cell are shuffled.
     """
+    cells = [*(["cap"] if caps else []), *(["rescue"] if rescue else []), "th", "mt"]
+    numbers = lambda xs: F.array(*[F.lit(x) for x in xs])
     t = truth.select(*EDGE).distinct().withColumn("t", F.lit(1))
     counts = t.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
     n_true = spine.select("s1_id", *by).distinct().join(counts, "s1_id", "left").na.fill(0, ["n_true"])
     whole = n_true.groupBy(*by).agg(F.count(F.lit(1)).alias("entities"), F.count(F.when(F.col("n_true") == 0, 1)).alias("alone"))
-    per = won.join(t, EDGE, "left").groupBy("th", "mt", "s1_id").agg(F.count("t").alias("tp"), F.count(F.lit(1)).alias("n_pred")).join(n_true, "s1_id")
+    rows = claims.where(F.col("place") <= max(caps)) if caps else claims
+    rows = rows.join(t, EDGE, "left").repartition("s1_id")
+    if caps:
+        rows = rows.withColumn("cap", F.explode(numbers(caps))).where("place <= cap")
+    raised = F.lit(False)
+    if rescue:
+        rows = rows.withColumn("rescue", F.explode(numbers((False, True))))
+        raised = F.col("rescue") & F.col("raised")
+    rows = rows.withColumn("th", F.explode(F.filter(numbers(ths), lambda x: (x <= F.col("prob")) | raised)))
+    opened = F.col("rescue") & F.col("any_raised") & (F.col("th") >= F.col("best")) if rescue else F.lit(False)
+    rows = rows.withColumn("mt", F.explode(F.filter(numbers(mts), lambda x: (x > F.col("low")) & ((x <= F.col("best")) | (opened & (x <= F.col("th")))))))
+    per = rows.groupBy("s1_id", *cells).agg(F.count("t").alias("tp"), F.count(F.lit(1)).alias("n_pred")).join(n_true, "s1_id")
     score = f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))
-    sums = per.groupBy("th", "mt", *by).agg(F.sum(score).alias("s"), F.count(F.when(F.col("n_true") == 0, 1)).alias("wrong"))
-    grid = F.broadcast(_grid(won.sparkSession, ths, mts))
-    rows = whole.join(grid).join(sums, ["th", "mt", *by], "left").na.fill(0, ["s", "wrong"])
-    return rows.select(*by, "th", "mt", F.round((F.col("s") + F.col("alone") - F.col("wrong")) / F.col("entities"), 6).alias("macro_f05"))
-
-
-def cap_sweep(scored: DataFrame, spine: DataFrame, truth: DataFrame, caps: tuple[int, ...], ths: tuple[float, ...], mts: tuple[float, ...]) -> DataFrame:
-    """(cap, th, mt, macro_f05): the same over the first ``cap`` candidates by probability."""
-    place = F.row_number().over(Window.partitionBy("country", "s1_id").orderBy(F.desc("prob"), "target_id"))
-    ranked = scored.withColumn("place", place)
-    parts = [sweep(ranked.where(F.col("place") <= c), spine, truth, ths, mts).withColumn("cap", F.lit(c)) for c in caps]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("mt >= th").select("cap", "th", "mt", "macro_f05")
+    sums = per.groupBy(*cells, *by).agg(F.sum(score).alias("s"), F.count(F.when(F.col("n_true") == 0, 1)).alias("wrong"))
+    lists = {"cap": caps or (), "rescue": (False, True), "th": ths, "mt": mts}
+    grid = whole
+    for c in cells:
+        grid = grid.withColumn(c, F.explode(numbers(lists[c])))
+    out = grid.join(sums, [*cells, *by], "left").na.fill(0, ["s", "wrong"])
+    return out.select(*by, *cells, F.round((F.col("s") + F.col("alone") - F.col("wrong")) / F.col("entities"), 6).alias("macro_f05"))
 
 
 def best_rule(per_country: DataFrame) -> DataFrame:
@@ -107,7 +130,7 @@ def best_rule(per_country: DataFrame) -> DataFrame:
 
 def weighted(per_country: DataFrame, shares: DataFrame) -> DataFrame:
     """One figure of several countries', weighted by their shares of the test records."""
-    rows = per_country.join(F.broadcast(shares), "country")
+    rows = per_country.join(shares, "country")
     return rows.agg(F.round(F.sum(F.col("macro_f05") * F.col("share")) / F.sum("share"), 6).alias("combined"))
 
 
@@ -152,16 +175,24 @@ def missing_truth(candidates: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def extension(scored: DataFrame, accepted: DataFrame, prints: DataFrame, spine: DataFrame, truth: DataFrame, floors: tuple[float, ...] = (0.3, 0.4, 0.5)) -> DataFrame:
-    """(floor, added, added_good, macro_f05) of accepting siblings from each floor."""
-    out = None
+    """(floor, added, added_good, macro_f05) of accepting siblings from each floor; what the least floor adds holds all others."""
     t = truth.select(*EDGE).distinct().withColumn("t", F.lit(1))
-    for floor in floors:
-        more = propagate(scored, accepted, prints, floor)
-        added = more.join(accepted.select(*EDGE), EDGE, "left_anti").join(t, EDGE, "left")
-        row = added.agg(F.lit(floor).alias("floor"), F.count(F.lit(1)).alias("added"), F.count("t").alias("added_good"))
-        row = row.join(F.broadcast(macro_f05(entity_f05(spine, more, truth)).select("macro_f05")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    first = accepted.select(*EDGE).distinct().withColumn("accepted", F.lit(1))
+    wide = propagate(scored, accepted, prints, min(floors)).join(first, EDGE, "left").join(t, EDGE, "left")
+    rows = wide.repartition("s1_id").withColumn("floor", F.explode(F.filter(F.array(*[F.lit(f) for f in floors]), lambda f: F.col("accepted").isNotNull() | (F.col("prob") >= f))))
+    new = F.col("accepted").isNull()
+    per = rows.groupBy("s1_id", "floor").agg(
+        F.count(F.when(new, 1)).alias("added"), F.count(F.when(new, F.col("t"))).alias("added_good"), F.countDistinct("target_id").alias("n_pred"),
+        F.countDistinct(F.when(F.col("t").isNotNull(), F.col("target_id"))).alias("tp"),
+    )
+    n_true = spine.select("s1_id").distinct().join(t.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true")), "s1_id", "left").na.fill(0, ["n_true"])
+    whole = n_true.agg(F.count(F.lit(1)).alias("entities"), F.count(F.when(F.col("n_true") == 0, 1)).alias("alone"))
+    score = F.round(f05(F.col("tp"), F.col("n_pred"), F.col("n_true")), 6)
+    sums = per.join(n_true, "s1_id").groupBy("floor").agg(
+        F.sum("added").alias("added"), F.sum("added_good").alias("added_good"), F.sum(score).alias("s"), F.count(F.when(F.col("n_true") == 0, 1)).alias("wrong")
+    )
+    out = whole.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in floors]))).join(sums, "floor", "left").na.fill(0, ["added", "added_good", "s", "wrong"])
+    return out.select("floor", "added", "added_good", F.round((F.col("s") + F.col("alone") - F.col("wrong")) / F.col("entities"), 6).alias("macro_f05"))
 
 
 def cluster_rule(scored: DataFrame, prints: DataFrame, truth: DataFrame, floors: tuple[float, ...] = (0.5, 0.6, 0.7)) -> DataFrame:
@@ -185,6 +216,18 @@ def profile(records: DataFrame) -> DataFrame:
     )
 
 
+def top_countries(records: DataFrame, n: int = 10) -> DataFrame:
+    """(source, country, n, repeated_ids, empty_names, empty_addresses, place): each source's largest countries; ties by name."""
+    source = F.substring("entity_id", 1, 2).alias("source")
+    empty = lambda c: F.round(100 * F.avg(F.when(F.trim(c) == "", 1).otherwise(0)), 4)
+    rows = records.groupBy(source, "country").agg(
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.countDistinct("entity_id")).alias("repeated_ids"),
+        empty("business_name").alias("empty_names"), empty("business_address").alias("empty_addresses"),
+    )
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "country"))
+    return rows.withColumn("place", place).where(F.col("place") <= n)
+
+
 def truth_histogram(spine: DataFrame, truth: DataFrame) -> DataFrame:
     """(matches, entities, s2, s3): how many records have how many matches, and of which source these are."""
     t = truth.select(*EDGE).distinct()

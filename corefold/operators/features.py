@@ -17,8 +17,11 @@ NAMES = (
     "x_sort_num", "x_set_jw", "is_s2", "first_eq", "name_eq", "core_eq", "n_char4", "a_char4",
 )
 
-#: The vectors of the generations: names of features by position; a cosine's slot may hold something else, as ``pair_features`` says.
-VECTORS = {"v8": NAMES, "v4": NAMES[:33], "boost": NAMES[:33], "baseline": tuple(n for n in NAMES[:33] if n not in ("pin_both", "num_conflict"))}
+#: The vectors of the generations: names of features by position. The baseline has whether countries are equal and no conflicts.
+VECTORS = {
+    "v8": NAMES, "v4": NAMES[:33], "boost": NAMES[:33],
+    "baseline": (*(n for n in NAMES[:33] if n not in ("pin_conflict", "num_conflict")), "country_eq"),
+}
 
 
 def _flag(c: Column) -> Column:

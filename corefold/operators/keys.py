@@ -10,6 +10,9 @@ from ..functions import text as T
 
 #: Bands of the minhash family, and the fewest grams it needs.
 MINHASHES, LEAST_GRAMS = 16, 6
+PRIME = (1 << 31) - 1
+#: Factor and shift of each band's function.
+LINEAR = tuple(((b + 1) * 1_640_531_527 % PRIME, (b + 1) * 362_437_069 % PRIME) for b in range(MINHASHES))
 
 
 def _none() -> Column:
@@ -30,13 +33,19 @@ def _with_prefix(items: Column) -> Column:
 
 
 def minhash() -> Column:
-    """The least hash of the record's grams under each of 16 seeds; a record with few grams has none."""
+    """The least hash of the record's grams under each of 16 functions; a record with few grams has none.
+
+    A gram's hash is 28 bits of its md5, which other engines have too; the functions are
+    linear in it modulo ``PRIME``.
+    """
     shingles = T.grams(F.concat("name_norm", F.lit("|"), "addr_norm"))
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(MINHASHES - 1)),
-        lambda b: F.concat(b.cast("string"), F.lit(" "), F.array_min(F.transform(shingles, lambda g: F.xxhash64(b, g))).cast("string")),
-    )
-    return F.when(F.size(shingles) >= LEAST_GRAMS, bands).otherwise(_none())
+    hashes = F.transform(shingles, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 7), 16, 10).cast("bigint"))
+
+    def bands(hs: Column) -> Column:
+        least = lambda a, c: F.array_min(F.transform(hs, lambda h: (a * h + c) % PRIME))
+        return F.array(*[F.concat(F.lit(f"{b} "), least(F.lit(a), F.lit(c)).cast("string")) for b, (a, c) in enumerate(LINEAR)])
+
+    return F.when(F.size(shingles) >= LEAST_GRAMS, F.element_at(F.transform(F.array(hashes), bands), 1)).otherwise(_none())
 
 
 def families() -> dict[str, Column]:
@@ -69,7 +78,7 @@ def families_g1() -> dict[str, Column]:
         "pin": T.pins_g1(F.col("addr_all")),
         "s": _one(F.size(core) >= 2, T.signature(core, 4)),
         "p": _one(F.length("name_norm") >= 3, F.substring("name_norm", 1, 3)),
-        "m": F.when(F.size(core) > 0, F.array(F.soundex(longest))).otherwise(_none()),
+        "m": F.when(F.size(core) > 0, _one(T.metaphone(longest) != "", T.metaphone(longest))).otherwise(_none()),
         "a": _longer(T.addr_tokens_g1(F.col("addr_all")), 5),
     }
 
@@ -95,7 +104,7 @@ def families_wide() -> dict[str, Column]:
         "pin": F.col("pins"),
         "sig": _one(F.size(core) >= 2, T.signature(F.col("core_toks"))),
         "pref": _one(F.length("name_norm") >= 3, F.substring("name_norm", 1, 3)),
-        "mph": _one(F.col("first_tok") != "", F.soundex("first_tok")),
+        "mph": _one(T.metaphone(F.col("first_tok")) != "", T.metaphone(F.col("first_tok"))),
         "addr": F.col("addr_toks"),
         "first": _one(F.col("first_tok") != "", F.col("first_tok")),
         "bg": F.when(F.size(core) >= 2, pairs).otherwise(_none()),

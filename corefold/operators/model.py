@@ -28,6 +28,28 @@ def hard_negatives(labelled: DataFrame, most: int = 10, among: int = 20, rank: s
     return rows.where((F.col("label") == 1) | ((F.col(rank) <= among) & (F.col("__place") <= most))).drop("__place")
 
 
+def label_all(labelled: DataFrame, cap: int = 40, rank: str = "rn") -> DataFrame:
+    """Every candidate up to ``cap``, with its label; true pairs that retrieval doesn't have are not added."""
+    return labelled.where(F.col(rank) <= cap)
+
+
+def sampled_negatives(labelled: DataFrame, most: int = 6, among: int = 25, rank: str = "rn") -> DataFrame:
+    """All positives, and of each record's negatives among its first ``among`` candidates ``most`` by a hash of the pair: the same ones every time."""
+    h = F.md5(F.concat_ws("|", "s1_id", "target_id").cast("binary"))
+    inside = (F.col("label") == 0) & (F.col(rank) <= among)
+    place = F.row_number().over(Window.partitionBy("country", "s1_id", inside).orderBy(h, "target_id"))
+    rows = labelled.withColumn("__in", inside).withColumn("__place", place)
+    return rows.where((F.col("label") == 1) | (F.col("__in") & (F.col("__place") <= most))).drop("__in", "__place")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def with_weights(labelled: DataFrame, most: float = 20.0) -> DataFrame:
     """``weight``: positives weigh as many times more as there are more negatives, up to ``most``."""
     n = labelled.agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).first()

@@ -161,10 +161,23 @@ def _grams(n: int) -> Column:
 
 
 def cosine(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("gram",)) -> DataFrame:
-    """(a, b, cos) of documents that share a gram."""
+    """(a, b, cos) of documents that share a gram, and what else they are joined on."""
     left = a.select(*[F.col(c) for c in on], F.col("doc").alias("a"), F.col("w").alias("wa"))
     right = b.select(*[F.col(c) for c in on], F.col("doc").alias("b"), F.col("w").alias("wb"))
-    return left.join(right, list(on)).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cos"))
+    return left.join(right, list(on)).groupBy(*[c for c in on if c != "gram"], "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cos"))
+
+
+def union_probe(queries: DataFrame, postings: list[DataFrame], k: int) -> DataFrame:
+    """Several indexes probed as one: each ranks its own candidates and keeps ``max(k // n + 20, 60)``; a pair found by several counts with the first.
+
+    ``queries``: (country, ktype, key, s1_id); ``postings``: the targets' keys with their ``df``.
+    """
+    share, found = max(k // max(len(postings), 1) + 20, 60), None
+    for i, index in enumerate(postings):
+        part = top(idf_scores(queries.join(index, ["country", "ktype", "key"])), share, rank="__rank").withColumn("index", F.lit(i))
+        found = part if found is None else found.unionByName(part)
+    first = found.groupBy(*PAIR).agg(F.min_by(F.struct("idf", "hits"), "index").alias("x"), F.min("index").alias("index"))
+    return top(first.select(*PAIR, "x.idf", "x.hits", "index"), k)
 
 
 def compact(candidates: DataFrame, matches: DataFrame, most: int) -> DataFrame:

@@ -24,7 +24,7 @@ from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-GRID = (0.3, 0.45, 0.6)
+GRID = tables.GRID
 
 
 def query(name: str, sql: str | None = None, with_: str | None = None) -> Callable:
@@ -56,7 +56,7 @@ class Pages:
 
     @functools.cached_property
     def keyed(self) -> DataFrame:
-        return keys.make(self.norm, {k: v for k, v in keys.families().items() if k != "mh"})
+        return keys.make(self.norm)
 
     @functools.cached_property
     def shared(self) -> DataFrame:
@@ -153,9 +153,9 @@ def _(spark, sf):
     return files.id_lists(p.spine, p.truth)
 
 
-@query("io_first_per_country", "SELECT * EXCLUDE (position), position::INT AS position FROM (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY entity_id) AS position FROM rec) WHERE position <= 25", O.REC)
+@query("io_first_per_country", "SELECT * EXCLUDE (position), position::INT AS position FROM (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY entity_id) AS position FROM rec) WHERE position <= 25000", O.REC)
 def _(spark, sf):
-    return files.first_per_country(Pages(spark, sf).rec.select("entity_id", "country"), 25)
+    return files.first_per_country(Pages(spark, sf).rec.select("entity_id", "country"), 25_000)
 
 
 @query("io_shards", "SELECT page_id, ((row_number() OVER (ORDER BY page_id) - 1) // ceil(count(*) OVER () / 7.0)::INT)::INT AS shard FROM pages")
@@ -175,12 +175,21 @@ def _(spark, sf):
     return files.claims(Pages(spark, sf).scored)
 
 
-@query("io_sample")
+@query("io_sample", """SELECT entity_id, country FROM rec WHERE entity_id IN (SELECT target_id FROM truth)
+    OR ('0x' || substr(md5(entity_id), 1, 8))::BIGINT % 1000000 < 200000""", f"{O.REC}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return files.sample(p.rec, p.truth.select(F.col("target_id").alias("entity_id")), 0.2).select("entity_id", "country")
 
 
+@query("io_sample_capped", """SELECT entity_id, country FROM rec WHERE entity_id IN (SELECT target_id FROM truth) UNION ALL SELECT entity_id, country FROM (
+    SELECT *, row_number() OVER (ORDER BY h, entity_id) AS place FROM (SELECT *, ('0x' || substr(md5(entity_id), 1, 8))::BIGINT AS h FROM rec)
+    WHERE entity_id NOT IN (SELECT target_id FROM truth) AND h % 1000000 < 500000) WHERE place <= 30""", f"{O.REC}, {O.TRUTH}")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return files.sample(p.rec, p.truth.select(F.col("target_id").alias("entity_id")), 0.5, most=30).select("entity_id", "country")
+
+
 # text
 
 
@@ -221,23 +230,35 @@ def _phonetic(x: str) -> str:
     return f"CASE WHEN regexp_matches({w}, '^[0-9]+$') THEN {w} ELSE {doubles(f'({x})')} END"
 
 
+def _phonetic_text(x: str) -> str:
+    words = f"list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda t: t <> '')"
+    return f"array_to_string(list_filter(list_transform({words}, lambda t: {_phonetic('t')}), lambda t: t <> ''), ' ')"
+
+
 text_query(
-    "tx_phonetic", f"array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(lower(business_name), '\\s+'), lambda t: t <> ''), lambda t: {_phonetic('t')}), lambda t: t <> ''), ' ')",
+    "tx_phonetic", _phonetic_text("business_name"),
     lambda: T.phonetic_collapse(F.col("business_name")), "rec", O.REC,
 )
 
 
-@query("tx_transliterate")
+@query("tx_transliterate", f"SELECT entity_id, {O.transliterated('business_name', T.transliteration_table())} AS value FROM rec", O.REC)
 def _(spark, sf):
     return Pages(spark, sf).rec.select("entity_id", T.transliterate("business_name").alias("value"))
 
 
-@query("tx_clean_unicode")
+UNICODE = O.plain_unicode(O.transliterated("business_name", T.transliteration_table()))
+
+
+@query("tx_clean_unicode", f"SELECT entity_id, {UNICODE} AS value FROM rec", O.REC)
 def _(spark, sf):
     return Pages(spark, sf).rec.select("entity_id", T.clean_unicode("business_name").alias("value"))
 
 
-@query("tx_metaphone")
+text_query("tx_normalise_g1", O.plain_unicode("business_name"), lambda: T.normalise_g1(F.col("business_name")), "rec", O.REC)
+LONGEST = "list_sort(list_transform(core_toks, lambda t: struct_pack(n := -length(t), t := t)))[1].t"
+
+
+@query("tx_metaphone", f"SELECT entity_id, {O.metaphone(LONGEST)} AS value FROM norm WHERE len(core_toks) > 0", O.NORM)
 def _(spark, sf):
     longest = F.element_at(F.array_sort(F.transform("core_toks", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)
     return Pages(spark, sf).norm.where(F.size("core_toks") > 0).select("entity_id", T.metaphone(longest["t"]).alias("value"))
@@ -246,56 +267,70 @@ def _(spark, sf):
 # similarity
 
 
-def pair_query(name: str, sql: str, made: Callable[[], F.Column], exact: bool = True) -> None:
-    @query(name, f"SELECT s1_id, target_id, round({sql}, 6) AS value FROM pairs" if exact else None, O.POOL)
+def pair_query(name: str, sql: str, made: Callable[[], F.Column], source: str = "pairs", with_: str = O.POOL) -> None:
+    @query(name, f"SELECT s1_id, target_id, round({sql}, 6) AS value FROM {source}", with_)
     def _(spark, sf):
         return Pages(spark, sf).pairs.select("s1_id", "target_id", F.round(made(), 6).alias("value"))
 
 
-def ascii_only(x: str) -> F.Column:
-    return F.regexp_replace(x, "[^ -~]", "")
-
-
-def _ascii(x: str) -> str:
-    return f"regexp_replace({x}, '[^ -~]', '', 'g')"
-
-
-AN, BN = _ascii("a_name_norm"), _ascii("b_name_norm")
-pair_query("sm_levenshtein", O.guarded(AN, BN, f"1 - levenshtein({AN}, {BN})::DOUBLE / greatest(length({AN}), length({BN}))"), lambda: S.guarded(ascii_only("a_name_norm"), ascii_only("b_name_norm"), S.levenshtein(ascii_only("a_name_norm"), ascii_only("b_name_norm"))))
-pair_query("sm_jaro_winkler", O.guarded(AN, BN, f"jaro_winkler_similarity({AN}, {BN})"), lambda: S.jaro_winkler(ascii_only("a_name_norm"), ascii_only("b_name_norm")))
+NAMES, ADDRESSES = ("a_name_norm", "b_name_norm"), ("a_addr_norm", "b_addr_norm")
+pair_query("sm_levenshtein", O.levenshtein(*NAMES), lambda: S.levenshtein(*map(F.col, NAMES)))
+pair_query("sm_jaro_winkler", O.jaro_winkler(*NAMES), lambda: S.jaro_winkler(*NAMES))
 pair_query("sm_jaccard", O.jaccard("a_core_toks", "b_core_toks"), lambda: S.jaccard(F.col("a_core_toks"), F.col("b_core_toks")))
 LEAST = "least(len(list_distinct(a_core_toks)), len(list_distinct(b_core_toks)))"
 pair_query("sm_containment", f"CASE WHEN {LEAST} = 0 THEN 0.0 ELSE len(list_intersect(a_core_toks, b_core_toks))::DOUBLE / {LEAST} END", lambda: S.containment(F.col("a_core_toks"), F.col("b_core_toks")))
 pair_query("sm_length_ratio", "least(length(a_addr_norm), length(b_addr_norm))::DOUBLE / greatest(length(a_addr_norm), length(b_addr_norm), 1)", lambda: S.length_ratio(F.col("a_addr_norm"), F.col("b_addr_norm")))
 pair_query("sm_char4_jaccard", O.jaccard(O.grams("a_name_norm"), O.grams("b_name_norm")), lambda: S.jaccard(T.grams(F.col("a_name_norm")), T.grams(F.col("b_name_norm"))))
-pair_query("sm_token_sort", "", lambda: S.kernels("a_name_norm", "b_name_norm")["sort"], False)
-pair_query("sm_token_set", "", lambda: S.token_set("a_name_norm", "b_name_norm"), False)
-pair_query("sm_partial", "", lambda: S.kernels("a_name_norm", "b_name_norm")["partial"], False)
+for _kernel, _made in (("sort", S.token_sort), ("set", S.token_set), ("partial", S.partial)):
+    pair_query({"partial": "sm_partial"}.get(_kernel, f"sm_token_{_kernel}"), f"n_{_kernel}", lambda made=_made: made(*NAMES), "k", f"{O.POOL}, {O.kernels('pairs', 'k', {'n': NAMES}, (_kernel,))}")
+pair_query("sm_char3_jaccard", O.jaccard(*(O.grams(f"replace({c}, ' ', '')", 3) for c in NAMES)), lambda: S.jaccard(*(T.grams(F.replace(c, F.lit(" "), F.lit("")), 3) for c in NAMES)))
+
 
-GRAMS = " UNION ALL ".join(f"SELECT doc, unnest(CASE WHEN length(w) >= {n} THEN list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n})) ELSE []::VARCHAR[] END) AS gram FROM ws" for n in (3, 4, 5))
-TFIDF = f"""{O.NORM}, ws AS (SELECT entity_id AS doc, ' ' || unnest(name_toks) || ' ' AS w FROM norm), g AS ({GRAMS}
-), tf AS (SELECT doc, gram, count(*) AS tf FROM g GROUP BY ALL), gdf AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2
-), raw AS (SELECT doc, gram, tf * (ln((1 + (SELECT count(*) FROM norm)) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN gdf USING (gram)
-), unit AS (SELECT doc, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS w FROM raw
-), cos AS (SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS cos FROM unit a JOIN unit b USING (gram) WHERE a.doc LIKE 'S1-%' AND b.doc NOT LIKE 'S1-%' GROUP BY ALL)"""
 
+def tfidf_sql(column: str, out: str, sizes: tuple[int, ...] = (3, 4, 5), most: int | None = None, sublinear: bool = False) -> str:
+    """Common table expressions up to ``out``: (country, a, b, cos) of records of one country that share a gram."""
+    made = " UNION ALL ".join(
+        f"SELECT doc, unnest(CASE WHEN length(w) >= {n} THEN list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n})) ELSE []::VARCHAR[] END) AS gram FROM {out}_w" for n in sizes
+    )
+    count = "1 + ln(tf)" if sublinear else "tf"
+    limit = f" ORDER BY sum(tf) DESC, gram LIMIT {most}" if most else ""
+    return f"""{out}_w AS (SELECT entity_id AS doc, ' ' || unnest(list_filter(string_split({column}, ' '), lambda t: t <> '')) || ' ' AS w FROM norm
+    ), {out}_tf AS (SELECT doc, gram, count(*) AS tf FROM ({made}) GROUP BY ALL
+    ), {out}_df AS (SELECT gram, count(*) AS df FROM {out}_tf GROUP BY gram HAVING count(*) >= 2{limit}
+    ), {out}_raw AS (SELECT doc, gram, ({count}) * (ln((1 + (SELECT count(*) FROM norm)) / (1 + df)::DOUBLE) + 1) AS raw FROM {out}_tf JOIN {out}_df USING (gram)
+    ), {out}_unit AS (SELECT doc, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS w FROM {out}_raw
+    ), {out}_side AS (SELECT u.*, norm.country, norm.is_s1 FROM {out}_unit u JOIN norm ON norm.entity_id = doc
+    ), {out} AS (
+        SELECT country, a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS cos FROM {out}_side a JOIN {out}_side b USING (country, gram) WHERE a.is_s1 AND NOT b.is_s1 GROUP BY ALL)"""
 
-def _cosine(spark: SparkSession, sf: str) -> DataFrame:
-    docs = Pages(spark, sf).norm.select(F.col("entity_id").alias("doc"), F.col("name_norm").alias("text"))
-    unit = retrieval.tfidf(docs)
-    first = F.startswith("doc", F.lit("S1-"))
-    return retrieval.cosine(unit.where(first), unit.where(~first))
+
+TFIDF = f"{O.NORM}, {tfidf_sql('name_norm', 'cos')}"
+
+
+def _cosine(p: Pages, column: str = "name_norm", **options: object) -> DataFrame:
+    """(country, a, b, cos) of records of the first source and targets of the same country."""
+    unit = retrieval.tfidf(p.norm.select(F.col("entity_id").alias("doc"), F.col(column).alias("text")), **options)
+    unit = unit.join(p.norm.select(F.col("entity_id").alias("doc"), "country", "is_s1"), "doc")
+    return retrieval.cosine(unit.where("is_s1"), unit.where("not is_s1"), ("country", "gram"))
 
 
 @query("sm_tfidf_cosine", "SELECT a, b, cos FROM cos WHERE cos > 0.05", TFIDF)
 def _(spark, sf):
-    return _cosine(spark, sf).where("cos > 0.05")
+    return _cosine(Pages(spark, sf)).where("cos > 0.05").select("a", "b", "cos")
+
+
+WIDE = {"sizes": (2, 3, 4, 5), "most_features": 2000, "sublinear": True}
+
+
+@query("sm_tfidf_cosine_wide", "SELECT a, b, cos FROM cos WHERE cos > 0.05", f"{O.NORM}, {tfidf_sql('addr_norm', 'cos', (2, 3, 4, 5), 2000, True)}")
+def _(spark, sf):
+    return _cosine(Pages(spark, sf), "addr_norm", **WIDE).where("cos > 0.05").select("a", "b", "cos")
 
 
 @query("jn_tfidf_topk", "SELECT a, b, cos, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS rn FROM cos WHERE cos > 0.000001) WHERE rn <= 10", TFIDF)
 def _(spark, sf):
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    return _cosine(spark, sf).where("cos > 0.000001").withColumn("rn", F.row_number().over(w)).where("rn <= 10")
+    return _cosine(Pages(spark, sf)).where("cos > 0.000001").withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("a", "b", "cos", "rn")
 
 
 # blocking keys
@@ -307,11 +342,11 @@ def _family(name: str) -> None:
         return keys.make(Pages(spark, sf).norm, {name: keys.families()[name]}).select("entity_id", "key")
 
 
-for _name in O.FAMILY:
+for _name in (n for n in O.FAMILY if n != "mh"):
     _family(_name)
 
 
-@query("bk_minhash")
+@query("bk_minhash", "SELECT entity_id, key FROM keys WHERE ktype = 'mh'", O.KEYS)
 def _(spark, sf):
     return keys.make(Pages(spark, sf).norm, {"mh": keys.families()["mh"]}).select("entity_id", "key")
 
@@ -324,14 +359,18 @@ def _(spark, sf):
 G1 = f"list_sort(list_distinct({O.without('name_toks', tables.LEGAL_TOKENS_G1, 2)}))"
 
 
-@query("bk_generation_1", f"""SELECT DISTINCT entity_id, ktype, key FROM (
+GENERATION_1 = f"""SELECT DISTINCT entity_id, ktype, key FROM (
     SELECT entity_id, 't' AS ktype, unnest({G1}) AS key FROM norm UNION ALL SELECT entity_id, 'n', unnest(list_filter(numbers, lambda n: length(n) >= 2)) FROM norm
     UNION ALL SELECT entity_id, 'pin', unnest(list_distinct(list_filter(addr_all, lambda t: regexp_matches(t, '^[0-9]{{5,6}}$')))) FROM norm
     UNION ALL SELECT entity_id, 's', array_to_string({G1}[1:4], ' ') FROM norm WHERE len({G1}) >= 2
     UNION ALL SELECT entity_id, 'p', substr(name_norm, 1, 3) FROM norm WHERE length(name_norm) >= 3
-    UNION ALL SELECT entity_id, 'a', unnest(list_filter({O.without('addr_all', tables.ADDR_STOP_G1, 2)}, lambda t: length(t) >= 5)) FROM norm)""", O.NORM)
+    UNION ALL SELECT entity_id, 'a', unnest(list_filter({O.without('addr_all', tables.ADDR_STOP_G1, 2)}, lambda t: length(t) >= 5)) FROM norm
+    UNION ALL SELECT entity_id, 'm', code FROM (SELECT entity_id, {O.metaphone(f"list_sort(list_transform({G1}, lambda t: struct_pack(n := -length(t), t := t)))[1].t")} AS code FROM norm WHERE len({G1}) > 0) WHERE code <> '')"""
+
+
+@query("bk_generation_1", GENERATION_1, O.NORM)
 def _(spark, sf):
-    return keys.make(Pages(spark, sf).norm, {k: v for k, v in keys.families_g1().items() if k != "m"}).select("entity_id", "ktype", "key")
+    return keys.make(Pages(spark, sf).norm, keys.families_g1()).select("entity_id", "ktype", "key")
 
 
 CORE = "list_sort(list_distinct(core_toks))"
@@ -348,9 +387,10 @@ def _(spark, sf):
     SELECT entity_id, 'tc' AS ktype, unnest(core_toks) AS key FROM norm UNION ALL SELECT entity_id, 'num', unnest(numbers) FROM norm UNION ALL SELECT entity_id, 'pin', unnest(pins) FROM norm
     UNION ALL SELECT entity_id, 'sig', sig FROM norm WHERE len({CORE}) >= 2 UNION ALL SELECT entity_id, 'pref', substr(name_norm, 1, 3) FROM norm WHERE length(name_norm) >= 3
     UNION ALL SELECT entity_id, 'addr', unnest(addr_toks) FROM norm UNION ALL SELECT entity_id, 'first', first_tok FROM norm WHERE first_tok <> ''
+    UNION ALL SELECT entity_id, 'mph', code FROM (SELECT entity_id, {O.metaphone('first_tok')} AS code FROM norm) WHERE code <> ''
     UNION ALL SELECT entity_id, 'bg', unnest(list_transform(range(1, len({CORE})), lambda i: ({CORE})[i] || ' ' || ({CORE})[i + 1])) FROM norm)""", O.NORM)
 def _(spark, sf):
-    return keys.make(Pages(spark, sf).norm, {k: v for k, v in keys.families_wide().items() if k != "mph"}).select("entity_id", "ktype", "key")
+    return keys.make(Pages(spark, sf).norm, keys.families_wide()).select("entity_id", "ktype", "key")
 
 
 # frequencies, joins, scores
@@ -393,25 +433,39 @@ def _(spark, sf):
     return Pages(spark, sf).idf.select("s1_id", "target_id", "hits")
 
 
-UNION = f"{TFIDF}, {O.POOL[len(O.NORM) + 2:]}, vec AS (SELECT norm.country, a AS s1_id, b AS target_id FROM cos JOIN norm ON norm.entity_id = a WHERE cos > 0.05)"
+UNION = f"{O.POOL}, {tfidf_sql('name_norm', 'cos')}, vec AS (SELECT country, a AS s1_id, b AS target_id, cos FROM cos WHERE cos > 0.05)"
+
+
+def _near(p: Pages) -> DataFrame:
+    return _cosine(p).where("cos > 0.05").select("country", F.col("a").alias("s1_id"), F.col("b").alias("target_id"), "cos")
 
 
 @query("jn_union_candidates", "SELECT country, s1_id, target_id FROM pool UNION SELECT country, s1_id, target_id FROM vec", UNION)
 def _(spark, sf):
     p = Pages(spark, sf)
-    country = p.norm.select(F.col("entity_id").alias("a"), "country")
-    vec = _cosine(spark, sf).where("cos > 0.05").join(country, "a").select("country", F.col("a").alias("s1_id"), F.col("b").alias("target_id"))
-    return retrieval.union_candidates(p.pool, vec)
+    return retrieval.union_candidates(p.pool, _near(p))
+
+
+PROBES = """half AS (SELECT entity_id, ('0x' || substr(md5(entity_id), 1, 8))::BIGINT % 1000 % 2 AS part FROM rec WHERE entity_id NOT LIKE 'S1-%'
+), probed AS (SELECT * FROM (SELECT idf.*, part, row_number() OVER (PARTITION BY country, s1_id, part ORDER BY idf DESC, target_id) AS place FROM idf JOIN half ON entity_id = target_id) WHERE place <= 60)"""
+
+
+@query("jn_union_probe", f"SELECT s1_id, target_id, idf, hits, part::INT AS index, rn::INT AS rn FROM ({O.top('probed', 50)})", f"{O.SHARED}, {PROBES}")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    asked, _targets = retrieval.split_sides(p.keyed)
+    postings = retrieval.prune(p.keyed.where("not is_s1")).withColumnRenamed("entity_id", "target_id").withColumn("part", T.md5_bucket(F.col("target_id")) % 2)
+    halves = [postings.where(F.col("part") == k).select("country", "ktype", "key", "target_id", "df") for k in (0, 1)]
+    return retrieval.union_probe(asked, halves, 50).select("s1_id", "target_id", "idf", "hits", "index", "rn")
 
 
-SIBLINGS = """fps AS (SELECT entity_id, country, fp, row_number() OVER (PARTITION BY country, fp ORDER BY entity_id) AS place FROM norm WHERE NOT is_s1 AND fp <> ''),
-few AS (SELECT * FROM pool WHERE rn <= 5)"""
+SIBLINGS = """fps AS (SELECT entity_id, country, fp, row_number() OVER (PARTITION BY country, fp ORDER BY entity_id) AS place FROM norm WHERE NOT is_s1 AND fp <> '')"""
 
 
-@query("jn_siblings", "SELECT country, s1_id, target_id FROM few UNION SELECT few.country, s1_id, m.entity_id FROM few JOIN fps o ON o.entity_id = target_id JOIN fps m ON m.country = o.country AND m.fp = o.fp WHERE m.place <= 16", f"{O.POOL}, {SIBLINGS}")
+@query("jn_siblings", "SELECT country, s1_id, target_id FROM pool UNION SELECT pool.country, s1_id, m.entity_id FROM pool JOIN fps o ON o.entity_id = target_id JOIN fps m ON m.country = o.country AND m.fp = o.fp WHERE m.place <= 16", f"{O.POOL}, {SIBLINGS}")
 def _(spark, sf):
     p = Pages(spark, sf)
-    return retrieval.with_siblings(p.pool.where("rn <= 5"), p.prints, 16)
+    return retrieval.with_siblings(p.pool, p.prints, 16)
 
 
 @query("jn_label", "SELECT s1_id, target_id, (t.s1_id IS NOT NULL)::INT AS label FROM pool LEFT JOIN truth t USING (s1_id, target_id)", f"{O.POOL}, {O.TRUTH}")
@@ -420,10 +474,10 @@ def _(spark, sf):
     return evaluate.label(p.pool, p.truth).select("s1_id", "target_id", "label")
 
 
-@query("jn_missing_truth", "SELECT s1_id, target_id FROM truth WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.s1_id = truth.s1_id AND p.target_id = truth.target_id AND rn <= 3)", f"{O.POOL}, {O.TRUTH}")
+@query("jn_missing_truth", "SELECT s1_id, target_id FROM truth WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.s1_id = truth.s1_id AND p.target_id = truth.target_id)", f"{O.POOL}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
-    return evaluate.missing_truth(p.pool.where("rn <= 3"), p.truth)
+    return evaluate.missing_truth(p.pool, p.truth)
 
 
 # ranking
@@ -471,21 +525,56 @@ def _(spark, sf):
     return hits(p.pool, "keys only").unionByName(hits(_rescored(p, retrieval.VARIANTS["n4"]), "two stages"))
 
 
-@query("tk_rescore_all")
+
+
+def found_sql(tag: str, out: str) -> str:
+    """``out``: the variant's candidates, all of its ``k0`` by key score rescored by overlap, and its cap applied after that."""
+    v = retrieval.VARIANTS[tag]
+    sides = ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in O.SIDES)
+    both = f"SELECT x.*, {sides} FROM ({O.top('idf', v.k0, rank='rn0')}) x JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = target_id"
+    combined = _combined(v).replace("SELECT country, s1_id, target_id,", "SELECT *,").replace("FROM pairs", f"FROM {out}_pairs")
+    return f"{out}_pairs AS ({both}), {out} AS ({O.top(f'({combined})', v.cap, 'combined')})"
+
+
+@query("tk_rescore_all", " UNION ALL ".join(f"SELECT '{t}' AS tag, s1_id, target_id, combined, rn::INT AS rn FROM f_{t}" for t in retrieval.VARIANTS), f"{O.SHARED}, {', '.join(found_sql(t, f'f_{t}') for t in retrieval.VARIANTS)}")
 def _(spark, sf):
     p = Pages(spark, sf)
     parts = [p.found(t).select(F.lit(t).alias("tag"), "s1_id", "target_id", "combined", "rn") for t in retrieval.VARIANTS]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-@query("ev_ab_cascade_all")
+def _hits(p: Pages, plans: dict[str, DataFrame]) -> DataFrame:
+    """(plan, hits): true pairs among each plan's candidates."""
+    count = lambda found, plan: p.truth.join(found.select("s1_id", "target_id"), ["s1_id", "target_id"]).agg(F.lit(plan).alias("plan"), F.count(F.lit(1)).alias("hits"))
+    return functools.reduce(DataFrame.unionByName, [count(found, plan) for plan, found in plans.items()])
+
+
+def _hits_sql(plans: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{plan}' AS plan, count(*) AS hits FROM truth JOIN {found} USING (s1_id, target_id)" for plan, found in plans.items())
+
+
+@query("ev_ab_cascade_all", _hits_sql({"keys only": f"({O.top('idf', 40)})", "two stages": "f"}), f"{O.SHARED}, {O.TRUTH}, {found_sql('n4', 'f')}")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return _hits(p, {"keys only": retrieval.top(p.idf, retrieval.VARIANTS["n4"].cap), "two stages": p.found("n4")})
+
+
+@query("ev_ab_vectors", _hits_sql({"keys": "pool", "keys and vectors": "(SELECT s1_id, target_id FROM pool UNION SELECT s1_id, target_id FROM vec)"}), f"{UNION}, {O.TRUTH}")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return _hits(p, {"keys": p.pool, "keys and vectors": retrieval.union_candidates(p.pool, _near(p))})
+
+
+@query("ev_ab_trimming", _hits_sql({f"{k} by {what}": f"({O.top(source, k, score)})" for k in (10, 20) for what, source, score in (("cosine", "vec", "cos"), ("hits", "idf", "hits"))}), f"{UNION}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
-    hits = lambda found, plan: p.truth.join(found, ["s1_id", "target_id"]).agg(F.lit(plan).alias("plan"), F.count(F.lit(1)).alias("hits"))
-    return hits(retrieval.top(p.idf, retrieval.VARIANTS["n4"].cap), "keys only").unionByName(hits(p.found("n4"), "two stages"))
+    return _hits(p, {f"{k} by {what}": retrieval.top(rows, k, score) for k in (10, 20) for what, rows, score in (("cosine", _near(p), "cos"), ("hits", p.idf, "hits"))})
+
+
+PHONETIC = {"p": (_phonetic_text("a_name_norm"), _phonetic_text("b_name_norm"))}
 
 
-@query("tk_phonetic_boost")
+@query("tk_phonetic_boost", "SELECT s1_id, target_id, round(combined + 0.1 * p_set, 6) AS combined FROM k", f"{O.SHARED}, {found_sql('n4', 'f')}, {O.kernels('f', 'k', PHONETIC, ('set',))}")
 def _(spark, sf):
     p = Pages(spark, sf)
     alike = S.token_set(T.phonetic_collapse(F.col("a_name_norm")), T.phonetic_collapse(F.col("b_name_norm")))
@@ -493,7 +582,18 @@ def _(spark, sf):
     return rows.select("s1_id", "target_id", F.round(retrieval.phonetic_boost(F.col("combined"), alike, 0.1), 6).alias("combined"))
 
 
-@query("tk_retrieve")
+def retrieved_sql(tag: str, out: str, sources: str = "idf") -> str:
+    """``out``: both stages with the real scorer, token sets in whole percents."""
+    v = retrieval.VARIANTS[tag]
+    pairs = f"""{out}_pairs AS (SELECT x.*, a.name_norm AS a_name_norm, b.name_norm AS b_name_norm, a.addr_norm AS a_addr_norm, b.addr_norm AS b_addr_norm
+        FROM ({O.top(sources, v.k0, rank='rn0')}) x JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = target_id)"""
+    percent = lambda x: f"round(({x}) * 100) / 100"
+    address = f"CASE WHEN a_addr_norm = '' OR b_addr_norm = '' THEN {v.neutral} ELSE {percent('a_set')} END"
+    combined = f"(SELECT *, round({v.name} * ({percent('n_set')}) + {v.address} * ({address}) + {v.idf} * idf / max(idf) OVER (PARTITION BY country, s1_id), 6) AS combined FROM {out}_k)"
+    return f"{pairs}, {O.kernels(f'{out}_pairs', f'{out}_k', {'n': NAMES, 'a': ADDRESSES}, ('set',))}, {out} AS ({O.top(combined, v.cap, 'combined')})"
+
+
+@query("tk_retrieve", "SELECT s1_id, target_id, combined, rn::INT AS rn FROM f", f"{O.SHARED}, {retrieved_sql('x2', 'f')}")
 def _(spark, sf):
     return linkage.candidates(Pages(spark, sf).norm, "x2").select("s1_id", "target_id", "combined", "rn")
 
@@ -507,13 +607,15 @@ def _(spark, sf):
 # features
 
 
-def _exact_sql() -> str:
+def _exact_parts() -> dict[str, str]:
+    """The features that need no kernel, by name."""
     meet = lambda c: f"list_has_any(a_{c}, b_{c})"
     both = lambda c: f"(len(a_{c}) > 0 AND len(b_{c}) > 0)"
     flag = lambda x: f"CASE WHEN {x} THEN 1.0 ELSE 0.0 END"
     ratio = lambda c: f"CASE WHEN a_{c} = '' OR b_{c} = '' THEN 0.0 ELSE least(length(a_{c}), length(b_{c}))::DOUBLE / greatest(length(a_{c}), length(b_{c}), 1) END"
-    made = {
-        "core_jac": O.jaccard("a_core_toks", "b_core_toks"), "core_cont": f"CASE WHEN {LEAST} = 0 THEN 0.0 ELSE len(list_intersect(a_core_toks, b_core_toks))::DOUBLE / {LEAST} END",
+    return {
+        "n_lev": O.levenshtein(*NAMES), "a_lev": O.levenshtein(*ADDRESSES), "core_jac": O.jaccard("a_core_toks", "b_core_toks"),
+        "core_cont": f"CASE WHEN {LEAST} = 0 THEN 0.0 ELSE len(list_intersect(a_core_toks, b_core_toks))::DOUBLE / {LEAST} END",
         "n_len": ratio("name_norm"), "a_jac": O.jaccard("a_addr_toks", "b_addr_toks"), "a_len": ratio("addr_norm"), "num_ov": O.jaccard("a_numbers", "b_numbers"),
         "num_a": "len(a_numbers)::DOUBLE", "num_b": "len(b_numbers)::DOUBLE", "pin_match": flag(f"{both('pins')} AND {meet('pins')}"), "pin_both": flag(both("pins")),
         "pin_conflict": flag(f"{both('pins')} AND NOT {meet('pins')}"), "num_conflict": flag(f"{both('numbers')} AND NOT {meet('numbers')}"), "is_s2": flag("b_is_s2"),
@@ -521,26 +623,68 @@ def _exact_sql() -> str:
         "core_eq": flag("len(a_core_toks) > 0 AND list_sort(list_distinct(a_core_toks)) = list_sort(list_distinct(b_core_toks))"),
         "n_char4": O.jaccard(O.grams("a_name_norm"), O.grams("b_name_norm")), "a_char4": O.jaccard(O.grams("a_addr_norm"), O.grams("b_addr_norm")),
     }
-    return ", ".join(f"round({v}, 6)::DOUBLE AS {k}" for k, v in made.items())
 
 
-@query("ft_exact_features", f"SELECT country, s1_id, target_id, {_exact_sql()} FROM pairs", O.POOL)
+EXACT = ", ".join(f"round({v}, 6)::DOUBLE AS {k}" for k, v in _exact_parts().items())
+KERNELS = O.kernels("pairs", "k", {"n": NAMES, "a": ADDRESSES})
+
+
+def _vector_sql(names: tuple[str, ...], n_cos: str, a_cos: str) -> str:
+    """A generation's features in order, rounded."""
+    made = _exact_parts() | {f"{side}_{k}": f"{side}_{k}" for side in "na" for k in S.KERNELS} | {
+        "n_cos": n_cos, "a_cos": a_cos, "x_sort": "n_sort * a_sort", "x_min_set": "least(n_set, a_set)", "x_mean_set": "(n_set + a_set) / 2", "country_eq": "1.0",
+        "x_set_jw": "a_set * n_jw",
+    }
+    made["x_sort_num"] = f"n_sort * ({made['num_ov']})"
+    return ", ".join(f"round({made[c]}, 6)::DOUBLE AS {c}" for c in names)
+
+
+def _rounded(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return rows.select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query("ft_exact_features", f"SELECT country, s1_id, target_id, {EXACT} FROM pairs", O.POOL)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return features.exact_pair_features(p.pool, p.norm)
+
+
+@query("ft_pair_features", f"SELECT s1_id, target_id, {_vector_sql(features.NAMES, 'n_sort', 'a_sort')} FROM k", f"{O.POOL}, {KERNELS}")
 def _(spark, sf):
     p = Pages(spark, sf)
-    return features.exact_pair_features(p.pool, p.norm).drop("n_lev", "a_lev")
+    return _rounded(features.pair_features(p.pool.select(*retrieval.PAIR), p.norm), features.NAMES)
 
 
-@query("ft_pair_features")
+COSINES = f"{O.POOL}, {KERNELS}, {tfidf_sql('name_norm', 'nc')}, {tfidf_sql('addr_norm', 'ac')}"
+WITH_COSINES = """k LEFT JOIN (SELECT a AS s1_id, b AS target_id, cos AS nc FROM nc) USING (s1_id, target_id)
+    LEFT JOIN (SELECT a AS s1_id, b AS target_id, cos AS ac FROM ac) USING (s1_id, target_id)"""
+
+
+def _cosines(p: Pages) -> DataFrame:
+    """(s1_id, target_id, n_cos, a_cos), of names and of addresses."""
+    sides = [_cosine(p, c).select(F.col("a").alias("s1_id"), F.col("b").alias("target_id"), F.col("cos").alias(name)) for c, name in (("name_norm", "n_cos"), ("addr_norm", "a_cos"))]
+    return sides[0].join(sides[1], ["s1_id", "target_id"], "full").na.fill(0.0, ["n_cos", "a_cos"])
+
+
+@query("ft_features_with_cosines", f"SELECT s1_id, target_id, {_vector_sql(features.NAMES, 'coalesce(nc, 0.0)', 'coalesce(ac, 0.0)')} FROM {WITH_COSINES}", COSINES)
 def _(spark, sf):
     p = Pages(spark, sf)
-    return features.pair_features(p.pool.select(*retrieval.PAIR), p.norm)
+    return _rounded(features.pair_features(p.pool.select(*retrieval.PAIR), p.norm, _cosines(p)), features.NAMES)
 
 
-@query("ft_features_with_cosines")
+@query("ft_vector_baseline", f"SELECT s1_id, target_id, {_vector_sql(features.VECTORS['baseline'], 'coalesce(nc, 0.0)', 'coalesce(ac, 0.0)')} FROM {WITH_COSINES}", COSINES)
 def _(spark, sf):
     p = Pages(spark, sf)
-    cos = _cosine(spark, sf).select(F.col("a").alias("s1_id"), F.col("b").alias("target_id"), F.col("cos").alias("n_cos"), F.lit(0.0).alias("a_cos"))
-    return features.pair_features(p.pool.select(*retrieval.PAIR), p.norm, cos)
+    made = features.pair_features(p.pool.select(*retrieval.PAIR), p.norm, _cosines(p)).withColumn("country_eq", F.lit(1.0))
+    return _rounded(made, features.VECTORS["baseline"])
+
+
+@query("ft_vector_boost", f"SELECT s1_id, target_id, {_vector_sql(features.VECTORS['boost'], 'CASE WHEN coalesce(nc, 0.0) = 0 THEN n_sort ELSE nc END', 'CASE WHEN coalesce(ac, 0.0) = 0 THEN a_sort ELSE ac END')} FROM {WITH_COSINES}", COSINES)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    made = features.pair_features(p.pool.select(*retrieval.PAIR), p.norm, _cosines(p))
+    made = made.withColumns({f"{side}_cos": F.when(F.col(f"{side}_cos") == 0, F.col(f"{side}_sort")).otherwise(F.col(f"{side}_cos")) for side in "na"})
+    return _rounded(made, features.VECTORS["boost"])
 
 
 @query("ft_probability", "SELECT s1_id, target_id, prob FROM scored", O.SCORED)
@@ -561,13 +705,27 @@ def _(spark, sf):
     return decide.filter_then_gate(Pages(spark, sf).scored, 0.45, 0.5).select("s1_id", "target_id", "prob")
 
 
-VETO = "CASE WHEN a_jac >= 0.9 AND (pin_match = 1 OR num_ov >= 0.5) THEN greatest(CASE WHEN pin_conflict = 1 AND a_jac < 0.9 THEN 0.0 ELSE prob END, 0.6) WHEN pin_conflict = 1 AND a_jac < 0.9 THEN 0.0 ELSE prob END"
+SORTS = O.kernels("scored_texts", "k", {"n": NAMES, "a": ADDRESSES}, ("sort", "set", "jw"))
+SORTED = f"""{O.SCORED}, scored_texts AS (SELECT s.*, a.name_norm AS a_name_norm, b.name_norm AS b_name_norm, a.addr_norm AS a_addr_norm, b.addr_norm AS b_addr_norm
+    FROM scored s JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = target_id), {SORTS}"""
+NEAR, ENOUGH = "a_sort >= 0.9", "(pin_match = 1 OR num_ov >= 0.5)"
+VETO = f"""CASE WHEN {NEAR} AND {ENOUGH} THEN greatest(CASE WHEN pin_conflict = 1 AND NOT {NEAR} THEN 0.0 ELSE prob END, 0.6)
+    WHEN pin_conflict = 1 AND NOT {NEAR} THEN 0.0 ELSE prob END"""
+
 
+def _with_sorts(p: Pages) -> DataFrame:
+    rows = retrieval.with_texts(p.scored, p.norm, ("name_norm", "addr_norm"))
+    return rows.withColumn("n_sort", S.token_sort(*NAMES)).withColumn("a_sort", S.token_sort(*ADDRESSES))
 
-@query("dc_veto_rescue", f"SELECT s1_id, target_id, {VETO} AS prob FROM scored", O.SCORED)
+
+@query("dc_veto_rescue", f"SELECT s1_id, target_id, {VETO} AS prob FROM k", SORTED)
 def _(spark, sf):
-    scored = Pages(spark, sf).scored.withColumn("a_sort", F.col("a_jac"))
-    return decide.veto_and_rescue(scored, 0.6).select("s1_id", "target_id", "prob")
+    return decide.veto_and_rescue(_with_sorts(Pages(spark, sf)), 0.6).select("s1_id", "target_id", "prob")
+
+
+@query("dc_gated_rescue", f"SELECT s1_id, target_id, CASE WHEN {NEAR} AND {ENOUGH} AND n_sort >= 0.85 THEN greatest(prob, 0.6) ELSE prob END AS prob FROM k", SORTED)
+def _(spark, sf):
+    return decide.gated_rescue(_with_sorts(Pages(spark, sf)), 0.6).select("s1_id", "target_id", "prob")
 
 
 PRINTS = "prints AS (SELECT entity_id, country, fp FROM norm WHERE NOT is_s1)"
@@ -598,13 +756,24 @@ def _(spark, sf):
     return decide.gate(ruled, F.col("th"), F.col("mt")).select("s1_id", "target_id", "th", "prob")
 
 
-@query("dc_phonetic_rescue")
+RESCUE = "prob >= 0.45 OR (prob >= 0.3 AND p_set >= 0.9)"
+ALIKE = f"{SORTED}, {O.kernels('scored_texts', 'q', PHONETIC, ('set',))}, band AS (SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM q)"
+
+
+@query("dc_phonetic_rescue", f"SELECT s1_id, target_id, prob FROM band WHERE ({RESCUE}) AND best >= 0.5", ALIKE)
 def _(spark, sf):
     p = Pages(spark, sf)
     rows = retrieval.with_texts(p.scored.select("country", "s1_id", "target_id", "prob"), p.norm, ("name_norm",))
     return decide.phonetic_rescue(rows, 0.3, 0.45, 0.9, 0.5).select("s1_id", "target_id", "prob")
 
 
+@query("dc_phonetic_rescue_ungated", f"SELECT s1_id, target_id, prob FROM band WHERE {RESCUE}", ALIKE)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    rows = retrieval.with_texts(p.scored.select("country", "s1_id", "target_id", "prob"), p.norm, ("name_norm",))
+    return decide.phonetic_rescue(rows, 0.3, 0.45, 0.9, None).select("s1_id", "target_id", "prob")
+
+
 def _streets(p: Pages, claims: DataFrame) -> DataFrame:
     street = p.rec.select("entity_id", T.street_tokens(F.col("business_address")).alias("street"))
     return retrieval.with_texts(claims, street, ("street",))
@@ -634,12 +803,26 @@ def _(spark, sf):
     return decide.one_to_one_street(_streets(p, p.gated)).select("s1_id", "target_id")
 
 
-@query("tk_one_to_one_text")
+def _by_text(score: str) -> str:
+    return f"""SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY country, target_id ORDER BY round({score}, 6) DESC, s1_id) AS place
+        FROM k JOIN (SELECT s1_id, target_id FROM gated) USING (s1_id, target_id)) WHERE place = 1"""
+
+
+BY_TEXT = f"{SORTED}, gated AS (SELECT * FROM (SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM scored) WHERE best >= 0.5 AND prob >= 0.45)"
+
+
+@query("tk_one_to_one_text", _by_text("0.6 * n_jw + 0.4 * a_sort"), BY_TEXT)
 def _(spark, sf):
     p = Pages(spark, sf)
     return decide.one_to_one_text(retrieval.with_texts(p.gated, p.norm, ("name_norm", "addr_norm"))).select("s1_id", "target_id")
 
 
+@query("tk_one_to_one_name", _by_text("n_jw"), BY_TEXT)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return decide.one_to_one_text(retrieval.with_texts(p.gated, p.norm, ("name_norm",)), with_address=False).select("s1_id", "target_id")
+
+
 # evaluation
 
 EVAL = f"{O.MATCHED}, {O.TRUTH}, {O.ENTITY}"
@@ -663,7 +846,7 @@ def _(spark, sf):
 
 def _grid_sql(one: bool, cap: bool = False) -> str:
     place = "row_number() OVER (PARTITION BY th, mt, country, target_id ORDER BY round(prob, 6) DESC, s1_id)" if one else "1"
-    caps = "(SELECT unnest([2, 5]) AS cap)" if cap else "(SELECT 0 AS cap)"
+    caps = "(SELECT unnest([12, 16, 20]) AS cap)" if cap else "(SELECT 0 AS cap)"
     rows = "SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best, row_number() OVER (PARTITION BY country, s1_id ORDER BY prob DESC, target_id) AS pl FROM scored"
     limit = "pl <= cap" if cap else "true"
     return f"""won AS (
@@ -693,7 +876,24 @@ def _(spark, sf):
 @query("ev_cap_sweep", "SELECT cap::INT AS cap, th, mt, macro_f05 FROM grid WHERE mt >= th", f"{O.SCORED}, {O.TRUTH}, {_grid_sql(False, True)}")
 def _(spark, sf):
     p = Pages(spark, sf)
-    return evaluate.cap_sweep(p.scored, p.spine, p.truth, (2, 5), GRID, GRID)
+    return evaluate.cap_sweep(p.scored, p.spine, p.truth, (12, 16, 20), GRID, GRID)
+
+
+LISTS = f"(SELECT unnest({list(GRID)}) AS th), (SELECT unnest({list(GRID)}) AS mt), (SELECT unnest([12, 16, 20]) AS cap), (SELECT unnest([false, true]) AS rescue)"
+RESCUED = f"""{O.SCORED}, {O.TRUTH}, flagged AS (SELECT *, a_jac >= 0.9 AND {ENOUGH} AS raised, row_number() OVER (PARTITION BY country, s1_id ORDER BY prob DESC, target_id) AS pl FROM scored
+), raised AS (SELECT f.*, cap, rescue, th, mt, CASE WHEN rescue AND raised THEN greatest(prob, th) ELSE prob END AS up FROM flagged f, {LISTS}
+), won AS (SELECT * FROM (SELECT *, max(up) OVER (PARTITION BY country, s1_id, cap, rescue, th, mt) AS best FROM raised) WHERE up >= th AND best >= mt AND pl <= cap AND mt >= th
+), cells AS (SELECT entity_id AS s1_id, cap, rescue, th, mt FROM rec, {LISTS} WHERE entity_id LIKE 'S1-%' AND mt >= th
+), per AS (SELECT cap, rescue, th, mt, s1_id, count(*) AS n_pred, count(t.target_id) AS tp FROM won LEFT JOIN truth t USING (s1_id, target_id) GROUP BY ALL
+), n AS (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY ALL)"""
+
+
+@query("ev_rescue_sweep", f"""SELECT cap::INT AS cap, rescue, th::DOUBLE AS th, mt::DOUBLE AS mt, round(avg({O.f05("coalesce(tp, 0)", "coalesce(n_pred, 0)", "coalesce(n_true, 0)")}), 6) AS macro_f05
+    FROM cells LEFT JOIN per USING (cap, rescue, th, mt, s1_id) LEFT JOIN n USING (s1_id) GROUP BY cap, rescue, th, mt""", RESCUED)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    rescued = (F.col("a_jac") >= 0.9) & ((F.col("pin_match") == 1) | (F.col("num_ov") >= 0.5))
+    return evaluate.rescue_sweep(p.scored, p.spine, p.truth, rescued)
 
 
 BY_COUNTRY = f"{O.SCORED}, {O.TRUTH}, {_grid_sql(True).replace('GROUP BY cap, th, mt)', 'JOIN rec ON rec.entity_id = s1_id GROUP BY cap, th, mt, rec.country)').replace('SELECT cap, th::DOUBLE', 'SELECT rec.country AS country, cap, th::DOUBLE')}"
@@ -735,11 +935,11 @@ def _(spark, sf):
 
 
 @query("ev_misses", """SELECT count(CASE WHEN hit THEN 1 END) AS hit, count(CASE WHEN NOT hit AND NOT k THEN 1 END) AS no_key, count(CASE WHEN NOT hit AND k THEN 1 END) AS ranked_out FROM (
-    SELECT EXISTS (SELECT 1 FROM pool p WHERE p.s1_id = t.s1_id AND p.target_id = t.target_id AND rn <= 3) AS hit,
+    SELECT EXISTS (SELECT 1 FROM pool p WHERE p.s1_id = t.s1_id AND p.target_id = t.target_id) AS hit,
     EXISTS (SELECT 1 FROM shared p WHERE p.s1_id = t.s1_id AND p.target_id = t.target_id) AS k FROM truth t)""", f"{O.POOL}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
-    return evaluate.misses(p.truth, p.pool.where("rn <= 3"), p.shared)
+    return evaluate.misses(p.truth, p.pool, p.shared)
 
 
 @query("ev_candidate_precision", "SELECT round(avg(label), 6) AS candidate_precision, sum(label)::BIGINT AS positives, count(*) AS candidates FROM (SELECT (t.s1_id IS NOT NULL)::INT AS label FROM pool LEFT JOIN truth t USING (s1_id, target_id))", f"{O.POOL}, {O.TRUTH}")
@@ -758,10 +958,10 @@ def _extension_sql(floor: float) -> str:
             LEFT JOIN (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY s1_id) USING (s1_id))) AS macro_f05"""
 
 
-@query("ev_extension", " UNION ALL ".join(_extension_sql(f) for f in (0.3, 0.4)), f"{O.GATED}, {PRINTS}, {O.TRUTH}, spine AS (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%')")
+@query("ev_extension", " UNION ALL ".join(_extension_sql(f) for f in (0.3, 0.4, 0.5)), f"{O.GATED}, {PRINTS}, {O.TRUTH}, spine AS (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%')")
 def _(spark, sf):
     p = Pages(spark, sf)
-    return evaluate.extension(p.scored, p.gated, p.prints, p.spine, p.truth, (0.3, 0.4))
+    return evaluate.extension(p.scored, p.gated, p.prints, p.spine, p.truth, (0.3, 0.4, 0.5))
 
 
 @query("ev_cluster_rule", "SELECT floor::DOUBLE AS floor, count(CASE WHEN prob >= floor THEN 1 END) AS accepted, count(CASE WHEN prob >= floor AND label THEN 1 END) AS good FROM (SELECT b.prob, t.s1_id IS NOT NULL AS label FROM (SELECT s.s1_id, max(s.prob) AS prob, max(struct_pack(p := s.prob, t := s.target_id)).t AS target_id FROM scored s JOIN prints f ON f.entity_id = s.target_id GROUP BY s.country, s.s1_id, f.fp) b LEFT JOIN truth t USING (s1_id, target_id)), (SELECT unnest([0.3, 0.45]) AS floor) GROUP BY floor", f"{O.SCORED}, {PRINTS}, {O.TRUTH}")
@@ -777,6 +977,15 @@ def _(spark, sf):
     return evaluate.profile(Pages(spark, sf).rec)
 
 
+@query("ev_top_countries", """SELECT source, country, n, repeated_ids, empty_names, empty_addresses, place::INT AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, country) AS place FROM (
+    SELECT substr(entity_id, 1, 2) AS source, country, count(*) AS n, count(*) - count(DISTINCT entity_id) AS repeated_ids,
+        round(100 * avg(CASE WHEN trim(business_name) = '' THEN 1 ELSE 0 END), 4) AS empty_names, round(100 * avg(CASE WHEN trim(business_address) = '' THEN 1 ELSE 0 END), 4) AS empty_addresses
+    FROM rec GROUP BY ALL)) WHERE place <= 10""", O.REC)
+def _(spark, sf):
+    return evaluate.top_countries(Pages(spark, sf).rec)
+
+
 @query("ev_truth_histogram", "SELECT matches, count(*) AS entities, sum(s2)::BIGINT AS s2, sum(s3)::BIGINT AS s3 FROM (SELECT s1_id, count(target_id) AS matches, count(CASE WHEN target_id LIKE 'S2-%' THEN 1 END) AS s2, count(CASE WHEN target_id LIKE 'S3-%' THEN 1 END) AS s3 FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id) GROUP BY matches", f"{O.REC}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
@@ -793,20 +1002,55 @@ def _(spark, sf):
     return t.intersect(m).select(F.lit("both").alias("part"), "s1_id", "target_id").unionByName(t.subtract(m).select(F.lit("lost").alias("part"), "s1_id", "target_id"))
 
 
-VALID = """SELECT 'repeated record' AS rule, 0::BIGINT AS n UNION ALL SELECT 'repeated target in a list', 0 UNION ALL SELECT 'target of the first source', 0 UNION ALL SELECT 'unknown prefix', 0
-    UNION ALL SELECT 'missing record', count(*) FROM (SELECT entity_id FROM rec WHERE entity_id LIKE 'S1-%' EXCEPT SELECT s1_id FROM truth) UNION ALL SELECT 'unknown record', 0
-    UNION ALL SELECT 'match that is no candidate', count(*) FROM (SELECT s1_id, target_id FROM truth EXCEPT SELECT s1_id, target_id FROM pool WHERE rn <= 5)
-    UNION ALL SELECT 'target claimed twice', count(*) FROM (SELECT target_id FROM truth GROUP BY target_id HAVING count(*) > 1) UNION ALL SELECT 'target that doesn''t exist', 0"""
+#: Faults planted in the lists, by the bucket of the record's id: what is added, or left out.
+FAULTS = {"again": (0, 150), "twice": (150, 300), "first": (300, 450), "prefix": (450, 600), "lost": (600, 700), "nowhere": (700, 850)}
+BUCKET = "('0x' || substr(md5(s1_id), 1, 8))::BIGINT % 1000"
+
+
+def _in(fault: str) -> str:
+    low, high = FAULTS[fault]
+    return f"{BUCKET} >= {low} AND {BUCKET} < {high}"
+
+
+PLANTED = f"""true_lists AS (SELECT s1_id, string_agg(target_id, ',' ORDER BY target_id) AS ids FROM (SELECT DISTINCT s1_id, target_id FROM pool WHERE rn <= 2) GROUP BY s1_id
+), faulty AS (
+    SELECT s1_id, ids || CASE WHEN {_in("twice")} THEN ',' || string_split(ids, ',')[1] WHEN {_in("first")} THEN ',S1-000000001' WHEN {_in("prefix")} THEN ',X9-7'
+        WHEN {_in("nowhere")} THEN ',S2-nowhere' ELSE '' END AS ids FROM true_lists WHERE NOT ({_in("lost")})
+    UNION ALL SELECT s1_id, ids FROM true_lists WHERE {_in("again")} UNION ALL SELECT 'S1-unknown', 'S2-000000001'
+), items AS (SELECT s1_id, trim(unnest(string_split(ids, ','))) AS id FROM faulty), known AS (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%')"""
+VALID = """SELECT 'repeated record' AS rule, count(*) AS n FROM (SELECT s1_id FROM faulty GROUP BY s1_id HAVING count(*) > 1)
+    UNION ALL SELECT 'repeated target in a list', count(*) FROM (SELECT s1_id, id FROM items GROUP BY ALL HAVING count(*) > 1)
+    UNION ALL SELECT 'target of the first source', count(*) FROM items WHERE id LIKE 'S1-%'
+    UNION ALL SELECT 'unknown prefix', count(*) FROM items WHERE id NOT LIKE 'S2-%' AND id NOT LIKE 'S3-%'
+    UNION ALL SELECT 'missing record', count(*) FROM (SELECT s1_id FROM known EXCEPT SELECT s1_id FROM faulty)
+    UNION ALL SELECT 'unknown record', count(*) FROM faulty WHERE s1_id NOT IN (SELECT s1_id FROM known)
+    UNION ALL SELECT 'match that is no candidate', count(*) FROM (SELECT s1_id, id FROM items EXCEPT SELECT s1_id, target_id FROM pool)
+    UNION ALL SELECT 'target claimed twice', count(*) FROM (SELECT id FROM (SELECT DISTINCT s1_id, id FROM items) GROUP BY id HAVING count(*) > 1)
+    UNION ALL SELECT 'target that doesn''t exist', count(*) FROM (SELECT DISTINCT id FROM items WHERE id NOT IN (SELECT entity_id FROM rec))"""
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("target_id")), ",").alias("ids"))
 
 
-@query("va_rules", VALID, f"{O.POOL}, {O.TRUTH}")
+def _planted(lists: DataFrame) -> DataFrame:
+    at = lambda fault: T.md5_bucket(F.col("s1_id")).between(FAULTS[fault][0], FAULTS[fault][1] - 1)
+    extra = F.when(at("twice"), F.concat(F.lit(","), F.split("ids", ",")[0])).when(at("first"), ",S1-000000001").when(at("prefix"), ",X9-7").when(at("nowhere"), ",S2-nowhere").otherwise("")
+    strange = lists.sparkSession.range(1).select(F.lit("S1-unknown").alias("s1_id"), F.lit("S2-000000001").alias("ids"))
+    return lists.where(~at("lost")).select("s1_id", F.concat("ids", extra).alias("ids")).unionByName(lists.where(at("again"))).unionByName(strange)
+
+
+@query("va_rules", VALID, f"{O.POOL}, {PLANTED}")
 def _(spark, sf):
     p = Pages(spark, sf)
-    return validate.violations(_lists(p.truth), _lists(p.pool.where("rn <= 5")), p.spine, p.rec)
+    return validate.violations(_planted(_lists(p.pool.where("rn <= 2"))), _lists(p.pool), p.spine, p.rec)
+
+
+@query("va_header", """SELECT 'exact' AS header, NULL::VARCHAR AS fault UNION ALL SELECT 'case', NULL UNION ALL SELECT 'no tab', 'no tab in the header'
+    UNION ALL SELECT 'other columns', 'columns [''s1_id'', ''x'']'""")
+def _(spark, sf):
+    lines = {"exact": "s1_id\tids", "case": "S1_ID\tIds\r\n", "no tab": "s1_id,ids", "other columns": "s1_id\tx"}
+    return spark.createDataFrame([(k, validate.check_header(v, validate.COLUMNS)) for k, v in lines.items()], "header string, fault string")
 
 
 @query("va_summary", "SELECT count(*) AS n_rows, count(CASE WHEN n = 0 THEN 1 END) AS empty, sum(n)::BIGINT AS targets, round(avg(n), 6) AS mean_targets FROM (SELECT count(target_id) AS n FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id)", f"{O.REC}, {O.TRUTH}")
@@ -824,12 +1068,38 @@ def _(spark, sf):
     return model.hard_negatives(evaluate.label(p.pool, p.truth)).select("s1_id", "target_id", "label")
 
 
-@query("ml_hard_negatives_all")
+LABELLED = "(SELECT f.*, (t.s1_id IS NOT NULL)::INT AS label FROM f LEFT JOIN truth t USING (s1_id, target_id))"
+
+
+@query("ml_hard_negatives_all", f"""SELECT s1_id, target_id, label FROM (SELECT *, row_number() OVER (PARTITION BY country, s1_id, label ORDER BY rn, target_id) AS place FROM {LABELLED})
+    WHERE label = 1 OR (rn <= 20 AND place <= 10)""", f"{O.SHARED}, {O.TRUTH}, {found_sql('x2', 'f')}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return model.hard_negatives(evaluate.label(p.found("x2"), p.truth)).select("s1_id", "target_id", "label")
 
 
+@query("ml_label_all", f"SELECT s1_id, target_id, label FROM {LABELLED} WHERE rn <= 40", f"{O.SHARED}, {O.TRUTH}, {found_sql('x1', 'f')}")
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return model.label_all(evaluate.label(p.found("x1"), p.truth)).select("s1_id", "target_id", "label")
+
+
+def _negatives(name: str, most: int, among: int, sampled: bool) -> None:
+    order = "md5(s1_id || '|' || target_id), target_id" if sampled else "rn, target_id"
+    places = f"row_number() OVER (PARTITION BY country, s1_id, label = 0 AND rn <= {among} ORDER BY {order})" if sampled else f"row_number() OVER (PARTITION BY country, s1_id, label ORDER BY {order})"
+
+    @query(name, f"SELECT s1_id, target_id, label FROM (SELECT *, {places} AS place FROM {LABELLED}) WHERE label = 1 OR (rn <= {among} AND place <= {most})", f"{O.SHARED}, {O.TRUTH}, {found_sql('x2', 'f')}")
+    def _(spark, sf):
+        p = Pages(spark, sf)
+        make = model.sampled_negatives if sampled else model.hard_negatives
+        return make(evaluate.label(p.found("x2"), p.truth), most, among).select("s1_id", "target_id", "label")
+
+
+_negatives("ml_sampled_negatives", 6, 25, True)
+_negatives("ml_negatives_5_of_20", 5, 20, False)
+_negatives("ml_negatives_5_of_15", 5, 15, False)
+
+
 def _trained(p: Pages) -> tuple[DataFrame, DataFrame]:
     pairs = linkage.train_pairs(p.norm, p.found("x2"), p.truth)
     fit, held = model.holdout(pairs)
@@ -839,14 +1109,14 @@ def _trained(p: Pages) -> tuple[DataFrame, DataFrame]:
 @query("ml_train_score")
 def _(spark, sf):
     fit, _held = _trained(p := Pages(spark, sf))
-    trained = model.train(fit, "m1", maxIter=5, maxDepth=3)
+    trained = model.train(fit, "m1")
     return model.score(trained, features.pair_features(p.found("x2").select(*retrieval.PAIR), p.norm)).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
 
 
 @query("ml_ensemble")
 def _(spark, sf):
     fit, _held = _trained(p := Pages(spark, sf))
-    models = [model.train(fit, "m1", maxIter=5, maxDepth=3), model.train(fit, "m2", numTrees=10, maxDepth=4)]
+    models = [model.train(fit, "m1"), model.train(fit, "m2")]
     return model.ensemble(models, features.pair_features(p.found("x2").select(*retrieval.PAIR), p.norm)).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
 
 
@@ -854,7 +1124,16 @@ def _(spark, sf):
 def _(spark, sf):
     p = Pages(spark, sf)
     pairs = linkage.train_pairs(p.norm, p.found("x2"), p.truth)
-    return model.leave_one_country_out(pairs, "m1", maxIter=3, maxDepth=3).select("country", "s1_id", "target_id", F.round("prob", 6).alias("prob"))
+    return model.leave_one_country_out(pairs, "m1").select("country", "s1_id", "target_id", F.round("prob", 6).alias("prob"))
+
+
+@query("ev_leave_one_country_out")
+def _(spark, sf):
+    """Macro F0.5 of each country by a model of the others."""
+    p = Pages(spark, sf)
+    scored = files.cut(model.leave_one_country_out(linkage.train_pairs(p.norm, p.found("x2"), p.truth), "m1").select("country", "s1_id", "target_id", "prob"))
+    spine = p.norm.where("is_s1").select(F.col("entity_id").alias("s1_id"), "country")
+    return evaluate.best_rule(evaluate.grid_one_to_one(scored, spine, p.truth, by=("country",)))
 
 
 # the whole plan
@@ -865,26 +1144,87 @@ def _(spark, sf):
     return Pages(spark, sf).matched.select("country", "s1_id", "target_id", "prob")
 
 
-@query("link_pages_all")
+def _matched_sql(found: str, th: float, mt: float, one: bool = True) -> str:
+    """From candidates with both sides' columns to matches: overlap, gate, and perhaps one-to-one."""
+    scored = f"(SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM (SELECT country, s1_id, target_id, round({O.PROB}, 6) AS prob FROM {found}))"
+    gated = f"(SELECT * FROM {scored} WHERE best >= {mt} AND prob >= {th})"
+    return f"SELECT country, s1_id, target_id, prob FROM ({O.ONE.format(source=gated)})" if one else f"SELECT country, s1_id, target_id, prob FROM {gated}"
+
+
+@query("link_pages_all", _matched_sql("f", 0.45, 0.5), f"{O.SHARED}, {found_sql('x2', 'f')}")
 def _(spark, sf):
     p = Pages(spark, sf)
     scored = features.pseudo_probability(p.found("x2"), p.norm)
     return decide.one_to_one(decide.gate(scored.select("country", "s1_id", "target_id", "prob"), 0.45, 0.5)).select("country", "s1_id", "target_id", "prob")
 
 
-@query("link_pages_unicode")
+def _unicode(x: str) -> str:
+    """The same statement over texts normalised in Unicode."""
+    for c in ("business_name", "business_address"):
+        x = x.replace(O.clean(c), O.plain_unicode(O.transliterated(c, T.transliteration_table())))
+    return x
+
+
+def _sides(source: str, columns: tuple[str, ...] = O.SIDES) -> str:
+    both = ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in columns)
+    return f"SELECT x.*, {both} FROM {source} x JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = target_id"
+
+
+BY_RULES = f"""{_unicode(O.SHARED)}, {retrieved_sql('x2', 'x2')}, {retrieved_sql('x1', 'x1')}
+, found AS (SELECT country, s1_id, target_id, idf FROM x2 WHERE country <> 'fr' UNION ALL SELECT country, s1_id, target_id, idf FROM x1 WHERE country = 'fr'
+), sides AS ({_sides('found')}), ruled AS (SELECT country, s1_id, target_id, round({O.PROB}, 6) AS prob FROM sides
+), best AS (SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM ruled), gated AS (SELECT country, s1_id, target_id, prob FROM best
+    WHERE prob >= CASE country WHEN 'en' THEN 0.45 WHEN 'fr' THEN 0.4 ELSE 0.62 END AND best >= CASE country WHEN 'en' THEN 0.55 WHEN 'fr' THEN 0.4 ELSE 0.78 END)"""
+
+
+@query("link_pages_unicode", O.ONE.format(source="gated"), BY_RULES)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    return linkage.link_by_rules(linkage.normalised_pages(p.pages, unicode=True), decide.rules_table(spark, RULES))
+
+
+@query("link_trained")
 def _(spark, sf):
+    """Trained on the records outside the holdout, rules of each country chosen there, and all records linked by them."""
     p = Pages(spark, sf)
-    normalised = linkage.normalised_pages(p.pages, unicode=True)
-    return linkage.link(normalised, linkage.candidates(normalised, "x2"), decide.rules_table(spark, RULES))
+    models, rules = linkage.trained(p.norm, p.truth)
+    return linkage.link_by_rules(p.norm, rules, models)
 
 
-@query("link_baseline")
+@query("ev_trained_holdout")
 def _(spark, sf):
-    return linkage.link_baseline(Pages(spark, sf).norm, 0.45, 0.5)
+    """(entities, macro_f05, pairs, recall_at_40) of the held-out records, which neither the models nor the rules have seen."""
+    p = Pages(spark, sf)
+    return linkage.holdout_figures(p.norm, p.truth)
+
+
+BASELINE = f"""{O.NORM}, g1 AS (SELECT k.*, country, is_s1 FROM ({GENERATION_1}) k JOIN norm USING (entity_id)
+), small AS (SELECT country, ktype, key FROM g1 WHERE NOT is_s1 GROUP BY ALL HAVING count(*) <= 150
+), {tfidf_sql("(name_norm || ' ' || addr_norm)", "near")}
+, found AS (
+    SELECT country, a.entity_id AS s1_id, b.entity_id AS target_id FROM g1 a JOIN g1 b USING (country, ktype, key) JOIN small USING (country, ktype, key) WHERE a.is_s1 AND NOT b.is_s1
+    UNION SELECT country, a, b FROM (SELECT *, row_number() OVER (PARTITION BY country, a ORDER BY cos DESC, b) AS place FROM near WHERE cos > 0.000001) WHERE place <= 50
+), sides AS ({_sides('(SELECT *, 1.0 AS idf FROM found)')}), scored AS (SELECT country, s1_id, target_id, round({O.PROB}, 6) AS prob FROM sides)"""
+
+
+@query("link_baseline", "SELECT country, s1_id, target_id, prob FROM (SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM scored) WHERE prob >= 0.45 AND best >= 0.5", BASELINE)
+def _(spark, sf):
+    return linkage.link_baseline(Pages(spark, sf).norm, 0.45, 0.5).select("country", "s1_id", "target_id", "prob")
+
+
+BOOST = f"""{O.KEYS}, g2 AS (SELECT * FROM keys WHERE ktype IN ('p', 'pf', 'n', 's', 'nf', 'a')
+), df AS (SELECT country, ktype, key, count(*) AS df FROM g2 WHERE NOT is_s1 GROUP BY ALL
+), idf AS (
+    SELECT country, a.entity_id AS s1_id, b.entity_id AS target_id, round(sum({O.WEIGHT} / ln(1 + df)), 6) AS idf, count(*) AS hits
+    FROM g2 a JOIN g2 b USING (country, ktype, key) JOIN df USING (country, ktype, key)
+    WHERE a.is_s1 AND NOT b.is_s1 AND df <= greatest(750, least(2000, floor(0.0003 * (SELECT count(*) FROM pages)))) GROUP BY ALL
+), pairs AS ({_sides(f"({O.top('idf', 25, 'hits')})")}
+), scored AS (SELECT *, round({O.PROB}, 6) AS prob, {O.FLAGS} FROM pairs), {O.kernels("scored", "k", {"n": NAMES, "a": ADDRESSES}, ("jw", "sort"))}
+, gated AS (SELECT * FROM (SELECT *, max(sure) OVER (PARTITION BY country, s1_id) AS best FROM (SELECT *, {VETO.replace('0.6)', '0.5)')} AS sure FROM k)) WHERE sure >= 0.5 AND best >= 0.5)"""
 
 
-@query("link_boost")
+@query("link_boost", """SELECT country, s1_id, target_id, sure AS prob FROM (
+    SELECT *, row_number() OVER (PARTITION BY country, target_id ORDER BY round(0.6 * n_jw + 0.4 * a_sort, 6) DESC, s1_id) AS place FROM gated) WHERE place = 1""", BOOST)
 def _(spark, sf):
     p = Pages(spark, sf)
     return linkage.link_boost(p.norm, p.pages.count())

@@ -2,30 +2,100 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity as S
 from ..functions import tables
+from ..functions.text import md5_bucket
 from ..operators import decide, evaluate, features, keys, model, records, retrieval
+from ..sources import files
 
 
 def candidates(normalised: DataFrame, variant: str = "x2", most: int = tables.MOST_POSTINGS, families: dict | None = None) -> DataFrame:
     return retrieval.retrieve(normalised, keys.make(normalised, families), retrieval.VARIANTS[variant], most)
 
 
-def link(normalised: DataFrame, found: DataFrame, rules: DataFrame, trained: PipelineModel | None = None) -> DataFrame:
+def link(normalised: DataFrame, found: DataFrame, rules: DataFrame, trained_model: PipelineModel | None = None) -> DataFrame:
+    """(country, s1_id, target_id, prob): of given candidates, scored by one model or by overlap, those that the rules' thresholds accept."""
+    if trained_model is None:
+        scored = features.pseudo_probability(found, normalised)
+    else:
+        scored = model.score(trained_model, features.pair_features(found, normalised))
+    return decide_by(scored, rules)
+
+
+def decide_by(scored: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each country's thresholds, and each target with one record."""
+    decided = decide.with_rules(scored.select("country", "s1_id", "target_id", "prob"), rules)
+    accepted = decide.gate(decided, F.col("th"), F.col("mt"))
+    return decide.one_to_one(accepted).select("country", "s1_id", "target_id", F.round("prob", 6).alias("prob"))
+
+
+def link_by_rules(normalised: DataFrame, rules: DataFrame, models: dict[str, PipelineModel] | None = None) -> DataFrame:
     """(country, s1_id, target_id, prob): accepted pairs, each target with one record.
 
-    Without a model pairs are scored by overlap. A country without a rule has the default's.
+    A country's rule says which variant finds its candidates, which model scores them and
+    which thresholds decide; a country without one has the default's. Without models pairs
+    are scored by overlap. Countries of one variant, and of one model, go together.
     """
-    if trained is None:
+    countries = normalised.select("country").distinct()
+    ruled = decide.with_rules(countries, rules)
+    tagged = normalised.join(ruled.select("country", "tag"), "country")
+    used = ruled.select("tag", "model").distinct().collect()  # at most variants times models
+    found = reduce(DataFrame.unionByName, [candidates(tagged.where(F.col("tag") == t).drop("tag"), t) for t in sorted({r["tag"] for r in used})])
+    if models is None:
         scored = features.pseudo_probability(found, normalised)
     else:
-        scored = model.score(trained, features.pair_features(found, normalised))
-    ruled = decide.with_rules(scored.select("country", "s1_id", "target_id", "prob"), rules)
-    accepted = decide.gate(ruled, F.col("th"), F.col("mt"))
-    return decide.one_to_one(accepted).select("country", "s1_id", "target_id", F.round("prob", 6).alias("prob"))
+        pairs = features.pair_features(found.select(*retrieval.PAIR), normalised).join(ruled.select("country", "model"), "country")
+        names = sorted({r["model"] for r in used})
+        scored = reduce(DataFrame.unionByName, [model.score(models[m], pairs.where(F.col("model") == m).drop("model")) for m in names])
+    return decide_by(scored, rules)
+
+
+#: What a rule chooses from, beside thresholds.
+TAGS, KINDS = ("x1", "x2"), ("m1", "m2")
+
+
+def trained(normalised: DataFrame, truth: DataFrame) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """Models of the records outside the holdout, and each country's best rule there: variant, model and thresholds.
+
+    Every variant's candidates are scored by every model once, written, and calibrated on the
+    whole grid; ties go to the variant, model and thresholds that come first.
+    """
+    outside = normalised.where(~F.col("is_s1") | _outside(F.col("entity_id")))
+    true = truth.where(_outside(F.col("s1_id")))
+    spine = outside.where("is_s1").select(F.col("entity_id").alias("s1_id"), "country")
+    fit = model.with_weights(files.cut(train_pairs(outside, candidates(outside, TAGS[-1]), true)))
+    models = {k: model.train(fit, k) for k in KINDS}
+    tried = []
+    for t in TAGS:
+        pairs = files.cut(features.pair_features(candidates(outside, t).select(*retrieval.PAIR), outside))
+        for k in KINDS:
+            grid = evaluate.grid_one_to_one(model.score(models[k], pairs), spine, true, by=("country",))
+            tried.append(evaluate.best_rule(grid).select("country", F.lit(t).alias("tag"), F.lit(k).alias("model"), "th", "mt", "macro_f05"))
+    best = reduce(DataFrame.unionByName, tried)
+    w = Window.partitionBy("country").orderBy(F.desc("macro_f05"), "tag", "model", "th", "mt")
+    rules = best.withColumn("place", F.row_number().over(w)).where("place = 1").select("country", "tag", "model", "th", "mt")
+    return models, files.cut(rules)
+
+
+def _outside(entity_id: F.Column) -> F.Column:
+    return md5_bucket(entity_id) < tables.HOLDOUT[0]
+
+
+def holdout_figures(normalised: DataFrame, truth: DataFrame) -> DataFrame:
+    """(entities, macro_f05, pairs, recall_at_40) of the records in the holdout, by models and rules of the others."""
+    models, rules = trained(normalised, truth)
+    inside = normalised.where(~F.col("is_s1") | ~_outside(F.col("entity_id")))
+    true = truth.where(~_outside(F.col("s1_id")))
+    spine = inside.where("is_s1").select(F.col("entity_id").alias("s1_id"))
+    matched = link_by_rules(inside, rules, models)
+    recall = evaluate.recall_at(candidates(inside, "x2"), true, (40,)).select("pairs", F.col("recall").alias("recall_at_40"))
+    return evaluate.macro_f05(evaluate.entity_f05(spine, matched, true)).join(recall)
 
 
 def train_pairs(normalised: DataFrame, found: DataFrame, truth: DataFrame, add_missing: bool = False) -> DataFrame:
@@ -50,7 +120,7 @@ def baseline_candidates(normalised: DataFrame, bucket: int = 150, vectors: int =
     docs = normalised.select(F.col("entity_id").alias("doc"), F.concat_ws(" ", "name_norm", "addr_norm").alias("text"), "country", "is_s1")
     unit = retrieval.tfidf(docs.select("doc", "text")).join(docs.select("doc", "country", "is_s1"), "doc")
     near = retrieval.cosine(unit.where("is_s1"), unit.where("not is_s1"), ("country", "gram")).where("cos > 0.000001")
-    near = near.join(docs.select(F.col("doc").alias("a"), "country"), "a").select("country", F.col("a").alias("s1_id"), F.col("b").alias("target_id"), "cos")
+    near = near.select("country", F.col("a").alias("s1_id"), F.col("b").alias("target_id"), "cos")
     return retrieval.union_candidates(by_key, retrieval.top(near, vectors, "cos"))
 
 
@@ -65,7 +135,8 @@ def link_boost(normalised: DataFrame, pool_size: int, most: int = 25, th: float
     """Second generation: six families, large buckets deleted, ranked by hits; veto, rescue, one-to-one by text."""
     made = keys.make(normalised, keys.families_g2())
     found = retrieval.top(retrieval.idf_scores(retrieval.shared_keys(made, retrieval.overflow_cap(pool_size), {})), most, "hits")
-    scored = features.pseudo_probability(found, normalised).withColumn("a_sort", F.col("a_jac"))
+    scored = retrieval.with_texts(features.pseudo_probability(found, normalised), normalised, ("addr_norm",))
+    scored = scored.withColumn("a_sort", S.token_sort("a_addr_norm", "b_addr_norm"))
     accepted = decide.gate(decide.veto_and_rescue(scored, th).select("country", "s1_id", "target_id", "prob"), th, mt)
     texts = retrieval.with_texts(accepted, normalised, ("name_norm", "addr_norm"))
     return decide.one_to_one_text(texts).select("country", "s1_id", "target_id", "prob")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,11 +20,10 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType = RECORD, *, str
     fields; else such rows are dropped.
     """
     if not strict:
-        lines = spark.read.text(path)
-        first = lines.first() if header else None
-        fields = F.split(F.regexp_replace("value", "\r+$", ""), "\t")
-        rows = lines.where(F.col("value") != first["value"]) if first else lines
-        rows = rows.select(fields.alias("f")).where(F.size("f") >= len(schema))
+        # a line is one field here: the first line of each file goes, and no other that is equal to it
+        lines = spark.read.option("sep", "\u0001").option("quote", "").option("escape", "").option("header", header).option("enforceSchema", True)
+        fields = F.split(F.regexp_replace(F.col("value"), "\r+$", ""), "\t")
+        rows = lines.schema("value string").csv(path).select(fields.alias("f")).where(F.size("f") >= len(schema))
         return rows.select(*[F.trim(F.col("f")[i]).alias(c) for i, c in enumerate(schema.names)])
     reader = spark.read.option("sep", "\t").option("quote", "").option("escape", "").option("nullValue", "\u0000").option("emptyValue", "")
     if header:
@@ -68,36 +70,68 @@ def first_per_country(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("position", rank).where(F.col("position") <= n)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and its lineage cut, in the folder of ``spark.checkpoint.dir``; one of its own only in local mode, where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        base = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="corefold-"))
+    return df.checkpoint()
+
+
 def shard_of(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """Add ``shard``: rows in order of ``order`` in ``shards`` equal runs, the last one perhaps shorter.
 
-    The place of a row is its place in its range of values after the number of rows in the
-    ranges before, so that no task gets all rows.
+    Rows are dealt by range into as many parts as a shuffle has, strings like numbers. A row's
+    place is its place in its part after the rows of the parts before; no task gets all rows,
+    and one count a part is joined back.
     """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    total = rows.count()
-    bounds = rows.select(F.percentile_approx(order, [(i + 1) / n for i in range(n - 1)], 10_000).alias("b")).first()["b"] if n > 1 and total and dict(rows.dtypes)[order] not in ("string",) else []
-    part = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds or []), F.lit(0)) if bounds else F.lit(0)
-    parts = rows.withColumn("__part", part)
-    sizes = sorted((r["__part"], r["count"]) for r in parts.groupBy("__part").count().collect())
-    before, base = 0, []
-    for p, c in sizes:
-        base.append((p, before))
-        before += c
-    starts = F.create_map(*[F.lit(x) for p, b in base for x in (p, b)]) if base else F.create_map(F.lit(0), F.lit(0))
-    place = F.try_element_at(starts, F.col("__part")) + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    per = max(1, -(-total // shards))
-    return parts.withColumn("shard", F.floor(place / per).cast("int")).drop("__part")
-
-
-def sample(rows: DataFrame, wanted: DataFrame, share: float, id_col: str = "entity_id") -> DataFrame:
-    """All rows whose id is wanted, and of the others those whose hash falls in ``share``: the same rows every time."""
-    keep = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)
+    parts = cut(rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a part
+    whole = F.sum("__n").over(Window.partitionBy(F.lit(0)))
+    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"), whole.alias("__all"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    per = F.ceil(F.col("__all") / shards)
+    out = parts.join(F.broadcast(starts), "__part").withColumn("shard", F.floor(place / per).cast("int"))
+    return out.select(*rows.columns, "shard")
+
+
+def sample(rows: DataFrame, wanted: DataFrame, share: float, id_col: str = "entity_id", most: int | None = None) -> DataFrame:
+    """All rows whose id is wanted, and of the others those whose md5 falls in ``share``: the same rows every time, in other engines too.
+
+    With ``most``, no more than that of the others: those with the smallest hashes.
+    """
+    h = F.conv(F.substring(F.md5(F.col(id_col).cast("binary")), 1, 8), 16, 10).cast("bigint")
     marked = rows.join(wanted.select(F.col(id_col).alias("__id")).distinct(), F.col(id_col) == F.col("__id"), "left")
-    return marked.where(F.col("__id").isNotNull() | keep).drop("__id")
+    marked = marked.withColumn("__h", h)
+    extra = marked.where(F.col("__id").isNull() & (F.col("__h") % 1_000_000 < int(share * 1_000_000)))
+    if most is not None:
+        extra = extra.orderBy("__h", id_col).limit(most)
+    return marked.where(F.col("__id").isNotNull()).unionByName(extra).drop("__id", "__h")
 
 
-def replace_countries(old: DataFrame, new: DataFrame, countries: list[str]) -> DataFrame:
-    """Rows of ``new`` for some countries and of ``old`` for the others."""
+def replace_countries(old: DataFrame, new: DataFrame, countries: list[str], expected: int | None = None) -> DataFrame:
+    """Rows of ``new`` for some countries and of ``old`` for the others. ``expected``: how many rows there have to be."""
     named: Column = F.col("country").isin(countries)
-    return old.where(~named).unionByName(new.where(named))
+    return checked(old.where(~named).unionByName(new.where(named)), expected)
+
+
+def merge_parts(parts: list[DataFrame], spine: DataFrame, id_col: str = "s1_id") -> DataFrame:
+    """Outputs of several countries or shards as one table, which has to have one row for each id of ``spine``."""
+    out = reduce(DataFrame.unionByName, parts)
+    ids, known = out.select(id_col), spine.select(id_col).distinct()
+    again, lost, strange = ids.groupBy(id_col).count().where("count > 1"), known.join(ids, id_col, "left_anti"), ids.join(known, id_col, "left_anti")
+    n = [x.count() for x in (again, lost, strange)]
+    if any(n):
+        raise ValueError(f"{n[0]} ids more than once, {n[1]} missing, {n[2]} unknown")
+    return out
+
+
+def checked(rows: DataFrame, expected: int | None) -> DataFrame:
+    if expected is not None and (n := rows.count()) != expected:
+        raise ValueError(f"{n} rows and not {expected}")
+    return rows
