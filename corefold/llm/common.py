@@ -18,6 +18,8 @@ BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 #: Narrow rows in a file of a scratch table.
 ROWS_A_FILE = 250_000
+#: Input of a task that reads a table, as it lies on disk.
+BYTES_A_TASK = 64 << 20
 #: Edges from which a hub can have so many that its join is worth splitting.
 MANY_EDGES = 2_000_000
 _own: set[str] = set()
@@ -91,6 +93,16 @@ def materialise(df: DataFrame, name: str = "table", rows: int | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, which reads a table without a shuffle, in no more tasks than have some work: twice the cores, or one for each ``BYTES_A_TASK``.
+
+    Many small files are then read together, and what the tasks write isn't as many files. A
+    size that isn't known counts as large.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // BYTES_A_TASK)), 1 << 20))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("address", "national", "ssn", "iban", "ipv6", "street", "name", "secret")
@@ -442,7 +442,7 @@ def digest(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     what ``scan`` finds is written, fitted on and decided.
     """
     rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("__row", F.struct("__row.doc_id"))
-    rows = materialise(rows, "spans")
+    rows = materialise(spread(rows), "spans")
     found = find(rows, fit(rows), threshold=threshold)
     return found.select("__row.doc_id", *[f"n_{k}" for k in BASE_KINDS], F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
@@ -456,7 +456,7 @@ def redact(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     gives an empty table. All texts are searched once; only those with spans or candidates
     are gone through again.
     """
-    rows = materialise(scan(docs), "spans")
+    rows = materialise(spread(scan(docs)), "spans")
     model = fit(rows)
     some = F.lit(False)
     for kind in KINDS:
