@@ -22,8 +22,8 @@ _ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) i
 _UNEVEN = re.compile(r"\s")
 #: Longer chunks are not kept; when the cache is full, only chunks up to the second length stay.
 LONGEST_KEPT, SHORT = 64, 8
-#: Chunks kept by kind, some 150 bytes each.
-MOST_KEPT = {"words": 300_000, "bytes": 600_000, "pieces": 120_000, "ranks": 120_000}
+#: Chunks kept by kind, some 150 bytes each; of words by both vocabularies, 250.
+MOST_KEPT = {"words": 300_000, "bytes": 600_000, "both": 250_000}
 _encoders: dict[tuple, object] = {}
 _FORMATS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
@@ -135,27 +135,32 @@ class ChunkEncoder(CachedEncoder):
         return super().ids(text)
 
 
-class PieceEncoder(CachedEncoder):
-    """Pieces of a sentencepiece model, each ASCII word of a text taken on its own."""
+class Vocabularies:
+    """Two vocabularies over the same words: pieces of a sentencepiece model, and byte pairs by rank.
 
-    def __init__(self, path: str, most: int | None = None):
-        most = most or MOST_KEPT["pieces"]
-        from sentencepiece import SentencePieceProcessor
+    Each ASCII word of a text is taken on its own, for the byte pairs with a space before it,
+    so a word costs one lookup for both.
+    """
 
-        self.model = SentencePieceProcessor(model_file=path)
-        super().__init__(lambda t: t.encode().split(), lambda x: packed(self.model.encode(x.decode())), most)
+    def __init__(self, pieces: str, ranks: str, pattern: str, most: int | None = None):
+        from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
 
+        self.model = SentencePieceProcessor(model_file=pieces)
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        pairs = Encoding(os.path.basename(ranks), pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-class RankEncoder(CachedEncoder):
-    """Byte pairs by rank, from a file of base64 tokens and ranks; each word, with the space before it, on its own."""
+        def both(x: bytes) -> tuple[bytes, bytes]:
+            word = x.decode()
+            return packed(self.model.encode(word)), packed(pairs.encode_ordinary(" " + word))
 
-    def __init__(self, path: str, pattern: str, most: int | None = None):
-        from tiktoken import Encoding
+        self.known = Known(both, most or MOST_KEPT["both"])
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        model = Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        super().__init__(_CHUNKS.findall, lambda x: packed(model.encode_ordinary(x)), most or MOST_KEPT["ranks"])
+    def ids(self, text: str) -> tuple[bytes, bytes]:
+        """The ids by either vocabulary as little-endian unsigned 32-bit integers."""
+        found = list(map(self.known.__getitem__, text.encode().split()))
+        return b"".join([x for x, _ in found]), b"".join([x for _, x in found])
 
 
 def encoder(path: str, kind: str) -> CachedEncoder:
@@ -163,9 +168,8 @@ def encoder(path: str, kind: str) -> CachedEncoder:
     return _kept((path, kind), lambda: ChunkEncoder(path, kind))
 
 
-def vocabularies(pieces: str, ranks: str, pattern: str) -> tuple[PieceEncoder, RankEncoder]:
-    """Two encoders, kept as one."""
-    return _kept((pieces, ranks), lambda: (PieceEncoder(pieces), RankEncoder(ranks, pattern)))
+def vocabularies(pieces: str, ranks: str, pattern: str) -> Vocabularies:
+    return _kept((pieces, ranks), lambda: Vocabularies(pieces, ranks, pattern))
 
 
 def _kept(key: tuple, make: Callable):  # noqa: ANN202
