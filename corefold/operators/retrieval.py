@@ -148,10 +148,10 @@ def tfidf(docs: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), least_df: int = 2
     df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least_df)
     if most_features is not None:
         df = df.orderBy(F.desc("total"), "gram").limit(most_features)
-    n = docs.select("doc").distinct().agg(F.count(F.lit(1)).alias("n"))
-    tf = tf.join(df.join(F.broadcast(n)), "gram")
+    n = docs.select("doc").distinct().count()
+    tf = tf.join(df, "gram")
     count = (1 + F.log("tf")) if sublinear else F.col("tf")
-    raw = tf.select("doc", "gram", (count * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
+    raw = tf.select("doc", "gram", (count * (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1)).alias("raw"))
     norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, "doc").select("doc", "gram", (F.col("raw") / F.col("norm")).alias("w"))
 

@@ -95,7 +95,8 @@ def holdout_figures(normalised: DataFrame, truth: DataFrame) -> DataFrame:
     spine = inside.where("is_s1").select(F.col("entity_id").alias("s1_id"))
     matched = link_by_rules(inside, rules, models)
     recall = evaluate.recall_at(candidates(inside, "x2"), true, (40,)).select("pairs", F.col("recall").alias("recall_at_40"))
-    return evaluate.macro_f05(evaluate.entity_f05(spine, matched, true)).join(recall)
+    both = evaluate.macro_f05(evaluate.entity_f05(spine, matched, true)).unionByName(recall, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("entities", "macro_f05", "pairs", "recall_at_40")])
 
 
 def train_pairs(normalised: DataFrame, found: DataFrame, truth: DataFrame, add_missing: bool = False) -> DataFrame:
