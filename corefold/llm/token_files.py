@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shuffle_partitions
+from .common import bounded_batches, bounded_sample, shuffle_partitions
 from .tokenizing import encoder
 
 MAGIC = b"CFTK\x01"
@@ -36,6 +37,8 @@ BLOCK = 8192
 NULL = -(1 << 63)
 #: Reading tasks; with more ranges than that a task has several.
 MOST_TASKS = 10_000
+#: Rows that the files' ranges are found on, at most.
+MOST_SAMPLED = 200_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -133,8 +136,23 @@ def _file(folder: str, k: int) -> str:
     return f"{folder}/part-{k:06d}.tok"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, h, ids``: each text's ids and ``end_id``, in two or four bytes each as the vocabulary needs, and a hash of the text."""
+Place = tuple[bool, int, int]
+
+
+def _place(doc_id: int | None, h: int) -> Place:
+    """What documents are ordered by: null ids first, then the id, then the text's hash."""
+    return doc_id is not None, doc_id or 0, h
+
+
+def bounds(rows: DataFrame, files: int) -> list[Place]:
+    """Where each file but the first begins: quantiles of a bounded sample of ``doc_id, h``, the same ones every time."""
+    some = bounded_sample(rows, ["doc_id", "h"], min(MOST_SAMPLED, 64 * files), rows.count()).collect()
+    places = sorted(_place(r["doc_id"], r["h"]) for r in some)
+    return [places[len(places) * k // files] for k in range(1, files)] if places else []
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, begins: list[Place]) -> DataFrame:
+    """``file, doc_id, h, ids``: each text's ids and ``end_id``, in two or four bytes each as the vocabulary needs, and the file where they belong."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +162,10 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             ids = (enc.ids(text.as_py()) + end for text in b.column(1))
             if narrow:
                 ids = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
+            files = [bisect_right(begins, _place(d, h)) for d, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), b.column(0), b.column(2), pa.array(ids, pa.binary())], ["file", "doc_id", "h", "ids"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, ids binary")
+    return docs.select("doc_id", "text", "h").mapInArrow(run, "file int, doc_id long, h long, ids binary")
 
 
 def _width(enc, end_id: int) -> int:  # noqa: ANN001
@@ -157,9 +175,9 @@ def _width(enc, end_id: int) -> int:  # noqa: ANN001
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> DataFrame:
     """Write ``doc_id, text`` in ascending order of ids, null first; a row a file: ``file, n_docs, n_tokens``.
 
-    Texts are encoded where they are read, and only packed ids are dealt. That goes by range
-    of (doc_id, hash of the text), so not even a repeated id gathers in one task, and those
-    that tie come in the hash's order. A null text counts as empty, repeated rows are documents
+    Texts are encoded where they are read, once, and only packed ids are dealt. That goes by
+    range of (doc_id, hash of the text), found on a bounded sample beforehand, so not even a
+    repeated id gathers in one task, and those that tie come in the hash's order. A null text counts as empty, repeated rows are documents
     of their own, other columns are left out, and an empty table gives files without
     documents. A task writes beside the final name and then renames, so a lost or repeated
     task leaves whole files only. ``folder`` is a URI that pyarrow's file systems open.
@@ -185,10 +203,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0)
         store.move(final + where, final)
         yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32()), "n_docs": [len(w.docs) // 2], "n_tokens": [w.n]})
 
-    rows = materialise(encoded(docs, path, end_id), "ids")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    return dealt.select("doc_id", "ids").mapInArrow(run, "file int, n_docs long, n_tokens long")
+    files, text = shuffle_partitions(spark), F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    dealt = encoded(rows, path, end_id, bounds(rows.select("doc_id", "h"), files)).repartitionById(files, F.col("file"))
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    return ordered.select("doc_id", "ids").mapInArrow(run, "file int, n_docs long, n_tokens long")
 
 
 def pafs_folder(folder: str) -> None:
