@@ -28,28 +28,30 @@ ADDR_STOP_G1 = (
     "enclave flat floor flr flt france gala highway house india lane layout ln main nagar near next no opp opposite phase pin po post quai rd road "
     "room route rue sec sector shop st state street taluk tehsil the to us usa vihar zip"
 ).split()
-# What the final step drops from street names, beyond ADDR_STOP.
-STREET_STOP = sorted(
-    {*ADDR_STOP}
-    | set(
-        "alpes apt aquitaine auvergne bat batiment bd blvd bordeaux boulevard bretagne cote cours court crs ct d dazur dr drive est grand hauts ile "
-        "imp impasse l lille lyon marseille nantes normandie nouvelle occitanie paris passage pl place provence residence rhone sq square ste "
-        "strasbourg suite toulouse".split()
-    )
-)
+# What the final step drops from street names.
+STREET_STOP = (
+    "adj adjacent allee alpes apt aquitaine at au auvergne aux ave avenue bat batiment bd behind beside bldg block blvd bordeaux boulevard bp bretagne "
+    "building cedex chemin chez city code colony complex cote cours court cross crs ct d dazur de des dist district dr drive du enclave est et flat floor "
+    "france gala grand hauts highway house ile imp impasse india l la lane layout le les lille ln lyon main marseille nagar nantes near normandie nouvelle "
+    "occitanie opp opposite paris passage phase pin pl place po post provence quai rd residence rhone road room route rue sec sector shop sq square st "
+    "state ste strasbourg street suite sur taluk tehsil toulouse us usa vihar zip"
+).split()
 # Abbreviations in addresses, applied once to each token.
-ADDR_ABBREV = dict(
-    x.split("=")
-    for x in (
-        "all=allee apt=apartment av=avenue ave=avenue avenu=avenue bd=boulevard bldg=building blvd=boulevard br=branch chem=chemin chowk=chowk ct=court "
-        "dr=drive flt=flat gde=grande gnd=ground hse=house hwy=highway imp=impasse mgr=marg no=number num=number ph=phase pl=place quai=quay r=rue "
-        "rd=road rte=route rue=street sec=sector sect=sector soc=society sq=square st=street ste=suite ter=terrace xing=crossing"
-    ).split()
-)
+ADDR_ABBREV = {
+    "all": "allee", "apt": "apartment", "av": "avenue", "ave": "avenue", "avenu": "avenue", "bd": "boulevard", "bldg": "building", "blvd": "boulevard",
+    "br": "branch", "chem": "chemin", "chowk": "chowk", "ct": "court", "dr": "drive", "flt": "flat", "gde": "grande", "gnd": "ground", "hse": "house",
+    "hwy": "highway", "imp": "impasse", "mgr": "marg", "no": "number", "num": "number", "ph": "phase", "pl": "place", "quai": "quay", "r": "rue",
+    "rd": "road", "rte": "route", "rue": "street", "sec": "sector", "sect": "sector", "soc": "society", "sq": "square", "st": "street", "ste": "suite",
+    "ter": "terrace", "xing": "crossing",
+}
 # The same for the first generation.
-ADDR_ABBREV_G1 = {k: v for k, v in ADDR_ABBREV.items() if k not in ("gde", "r")} | dict(
-    x.split("=") for x in "blv=boulevard cir=circle drv=drive ln=lane pkwy=parkway plz=plaza".split()
-)
+ADDR_ABBREV_G1 = {
+    "all": "allee", "apt": "apartment", "av": "avenue", "ave": "avenue", "avenu": "avenue", "bd": "boulevard", "bldg": "building", "blvd": "boulevard",
+    "br": "branch", "chem": "chemin", "chowk": "chowk", "ct": "court", "dr": "drive", "flt": "flat", "gnd": "ground", "hse": "house", "hwy": "highway",
+    "imp": "impasse", "mgr": "marg", "no": "number", "num": "number", "ph": "phase", "pl": "place", "quai": "quay", "rd": "road", "rte": "route",
+    "rue": "street", "sec": "sector", "sect": "sector", "soc": "society", "sq": "square", "st": "street", "ste": "suite", "ter": "terrace",
+    "xing": "crossing", "blv": "boulevard", "cir": "circle", "drv": "drive", "ln": "lane", "pkwy": "parkway", "plz": "plaza",
+}
 
 # Latin letters for signs at these places of each Brahmic block.
 BRAHMIC_OFFSETS = {

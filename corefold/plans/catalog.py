@@ -147,13 +147,15 @@ def _(spark, sf):
     return files.truth_edges(lists)
 
 
-@query("io_id_lists", "SELECT s1_id, coalesce(string_agg(DISTINCT target_id, ',' ORDER BY target_id), '') AS matched_entity_ids FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id", f"{O.REC}, {O.TRUTH}")
+@query("io_id_lists", """SELECT s1_id, coalesce(string_agg(DISTINCT target_id, ',' ORDER BY target_id), '') AS matched_entity_ids
+    FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id""", f"{O.REC}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return files.id_lists(p.spine, p.truth)
 
 
-@query("io_first_per_country", "SELECT * EXCLUDE (position), position::INT AS position FROM (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY entity_id) AS position FROM rec) WHERE position <= 25000", O.REC)
+@query("io_first_per_country", """SELECT * EXCLUDE (position), position::INT AS position FROM (SELECT entity_id, country,
+    row_number() OVER (PARTITION BY country ORDER BY entity_id) AS position FROM rec) WHERE position <= 25000""", O.REC)
 def _(spark, sf):
     return files.first_per_country(Pages(spark, sf).rec.select("entity_id", "country"), 25_000)
 
@@ -163,7 +165,8 @@ def _(spark, sf):
     return files.shard_of(Pages(spark, sf).pages.select("page_id"), "page_id", 7)
 
 
-@query("io_replace_countries", "SELECT entity_id, country, business_name AS name FROM rec WHERE country <> 'fr' UNION ALL SELECT entity_id, country, upper(business_name) FROM rec WHERE country = 'fr'", O.REC)
+@query("io_replace_countries", """SELECT entity_id, country, business_name AS name FROM rec WHERE country <> 'fr' UNION ALL SELECT entity_id, country,
+    upper(business_name) FROM rec WHERE country = 'fr'""", O.REC)
 def _(spark, sf):
     rec = Pages(spark, sf).rec
     old = rec.select("entity_id", "country", F.col("business_name").alias("name"))
@@ -199,25 +202,31 @@ def text_query(name: str, sql: str, made: Callable[[], F.Column], source: str =
         return getattr(Pages(spark, sf), source).select("entity_id", made().alias("value"))
 
 
-text_query("tx_clean", f"{O.clean('business_name')} || '/' || {O.clean('business_address')}", lambda: F.concat(T.clean(F.col("business_name")), F.lit("/"), T.clean(F.col("business_address"))), "rec", O.REC)
+text_query("tx_clean", f"{O.clean('business_name')} || '/' || {O.clean('business_address')}",
+    lambda: F.concat(T.clean(F.col("business_name")), F.lit("/"), T.clean(F.col("business_address"))), "rec", O.REC)
 text_query("tx_tokens", "array_to_string(name_toks, '+')", lambda: F.array_join("name_toks", "+"))
 text_query("tx_abbrev", "addr_norm", lambda: F.col("addr_norm"))
 text_query("tx_core_tokens", "array_to_string(core_toks, ' ')", lambda: joined("core_toks"))
 text_query("tx_addr_tokens", "array_to_string(addr_toks, ' ')", lambda: joined("addr_toks"))
 text_query("tx_numbers", "array_to_string(numbers, ' ')", lambda: joined("numbers"))
 text_query("tx_pins", "array_to_string(pins, ' ')", lambda: joined("pins"))
-text_query("tx_first_token", "first_tok || '|' || substr(name_norm, 1, 2) || '|' || substr(name_norm, 1, 3)", lambda: F.concat_ws("|", "first_tok", F.substring("name_norm", 1, 2), F.substring("name_norm", 1, 3)))
+text_query("tx_first_token", "first_tok || '|' || substr(name_norm, 1, 2) || '|' || substr(name_norm, 1, 3)",
+    lambda: F.concat_ws("|", "first_tok", F.substring("name_norm", 1, 2), F.substring("name_norm", 1, 3)))
 text_query("tx_signature", "sig", lambda: T.signature(F.col("core_toks")))
-text_query("tx_joined_prefix", "CASE WHEN length(joined) >= 6 THEN substr(joined, 1, 8) || '|' || substr(sjoined, 1, 8) END", lambda: F.concat(T.joined_prefix(F.col("core_toks"), True), F.lit("|"), T.joined_prefix(F.col("core_toks"), False)))
+text_query("tx_joined_prefix", "CASE WHEN length(joined) >= 6 THEN substr(joined, 1, 8) || '|' || substr(sjoined, 1, 8) END",
+    lambda: F.concat(T.joined_prefix(F.col("core_toks"), True), F.lit("|"), T.joined_prefix(F.col("core_toks"), False)))
 text_query("tx_grams", f"array_to_string(list_sort({O.grams('name_norm')}), '+')", lambda: F.array_join(T.grams(F.col("name_norm")), "+"))
-text_query("tx_strided_grams", f"array_to_string(list_sort({O.strided('name_norm', 4)}), '+') || '|' || array_to_string(list_sort({O.strided('addr_norm', 6)}), '+')", lambda: F.concat_ws("|", *[F.array_join(F.array_sort(T.strided_grams(F.col(c), n)), "+") for c, n in (("name_norm", 4), ("addr_norm", 6))]))
+text_query("tx_strided_grams", f"""array_to_string(list_sort({O.strided('name_norm', 4)}),
+    '+') || '|' || array_to_string(list_sort({O.strided('addr_norm', 6)}), '+')""",
+    lambda: F.concat_ws("|", *[F.array_join(F.array_sort(T.strided_grams(F.col(c), n)), "+") for c, n in (("name_norm", 4), ("addr_norm", 6))]))
 text_query("tx_fingerprint", "fp", lambda: T.fingerprint(F.col("core_toks"), F.col("numbers")))
 STREET = f"list_sort(list_distinct(list_filter({O.without("regexp_extract_all(lower(business_address), '[a-z0-9]+')", tables.STREET_STOP, 3)}, lambda t: NOT regexp_matches(t, '^[0-9]+$'))))"
 text_query("tx_street_tokens", f"array_to_string({STREET}, ' ')", lambda: F.array_join(T.street_tokens(F.col("business_address")), " "), "rec", O.REC)
 text_query("tx_md5_bucket", "('0x' || substr(md5(entity_id), 1, 8))::BIGINT % 1000", lambda: T.md5_bucket(F.col("entity_id")), "rec", O.REC)
 text_query("tx_core_tokens_g1", f"array_to_string(list_sort(list_distinct({O.without('name_toks', tables.LEGAL_TOKENS_G1, 2)})), ' ')", lambda: F.array_join(T.core_tokens_g1(F.col("name_toks")), " "))
 EXPANDED_G1 = f"list_transform(list_filter(string_split({O.clean('business_address')}, ' '), lambda t: t <> ''), lambda t: coalesce({O.ABBREV_G1}[t], t))"
-text_query("tx_addr_tokens_g1", f"array_to_string(list_sort(list_distinct({O.without(EXPANDED_G1, tables.ADDR_STOP_G1, 2)})), ' ')", lambda: joined(T.addr_tokens_g1(T.expand(T.tokens(T.clean(F.col("business_address"))), tables.ADDR_ABBREV_G1))), "rec", O.REC)
+text_query("tx_addr_tokens_g1", f"array_to_string(list_sort(list_distinct({O.without(EXPANDED_G1, tables.ADDR_STOP_G1, 2)})), ' ')",
+    lambda: joined(T.addr_tokens_g1(T.expand(T.tokens(T.clean(F.col("business_address"))), tables.ADDR_ABBREV_G1))), "rec", O.REC)
 
 
 def _phonetic(x: str) -> str:
@@ -278,8 +287,10 @@ pair_query("sm_levenshtein", O.levenshtein(*NAMES), lambda: S.levenshtein(*map(F
 pair_query("sm_jaro_winkler", O.jaro_winkler(*NAMES), lambda: S.jaro_winkler(*NAMES))
 pair_query("sm_jaccard", O.jaccard("a_core_toks", "b_core_toks"), lambda: S.jaccard(F.col("a_core_toks"), F.col("b_core_toks")))
 LEAST = "least(len(list_distinct(a_core_toks)), len(list_distinct(b_core_toks)))"
-pair_query("sm_containment", f"CASE WHEN {LEAST} = 0 THEN 0.0 ELSE len(list_intersect(a_core_toks, b_core_toks))::DOUBLE / {LEAST} END", lambda: S.containment(F.col("a_core_toks"), F.col("b_core_toks")))
-pair_query("sm_length_ratio", "least(length(a_addr_norm), length(b_addr_norm))::DOUBLE / greatest(length(a_addr_norm), length(b_addr_norm), 1)", lambda: S.length_ratio(F.col("a_addr_norm"), F.col("b_addr_norm")))
+pair_query("sm_containment", f"CASE WHEN {LEAST} = 0 THEN 0.0 ELSE len(list_intersect(a_core_toks, b_core_toks))::DOUBLE / {LEAST} END",
+    lambda: S.containment(F.col("a_core_toks"), F.col("b_core_toks")))
+pair_query("sm_length_ratio", "least(length(a_addr_norm), length(b_addr_norm))::DOUBLE / greatest(length(a_addr_norm), length(b_addr_norm), 1)",
+    lambda: S.length_ratio(F.col("a_addr_norm"), F.col("b_addr_norm")))
 pair_query("sm_char4_jaccard", O.jaccard(O.grams("a_name_norm"), O.grams("b_name_norm")), lambda: S.jaccard(T.grams(F.col("a_name_norm")), T.grams(F.col("b_name_norm"))))
 for _kernel, _made in (("sort", S.token_sort), ("set", S.token_set), ("partial", S.partial)):
     pair_query({"partial": "sm_partial"}.get(_kernel, f"sm_token_{_kernel}"), f"n_{_kernel}", lambda made=_made: made(*NAMES), "k", f"{O.POOL}, {O.kernels('pairs', 'k', {'n': NAMES}, (_kernel,))}")
@@ -365,7 +376,8 @@ GENERATION_1 = f"""SELECT DISTINCT entity_id, ktype, key FROM (
     UNION ALL SELECT entity_id, 's', array_to_string({G1}[1:4], ' ') FROM norm WHERE len({G1}) >= 2
     UNION ALL SELECT entity_id, 'p', substr(name_norm, 1, 3) FROM norm WHERE length(name_norm) >= 3
     UNION ALL SELECT entity_id, 'a', unnest(list_filter({O.without('addr_all', tables.ADDR_STOP_G1, 2)}, lambda t: length(t) >= 5)) FROM norm
-    UNION ALL SELECT entity_id, 'm', code FROM (SELECT entity_id, {O.metaphone(f"list_sort(list_transform({G1}, lambda t: struct_pack(n := -length(t), t := t)))[1].t")} AS code FROM norm WHERE len({G1}) > 0) WHERE code <> '')"""
+    UNION ALL SELECT entity_id, 'm', code FROM (SELECT entity_id, {O.metaphone(f"list_sort(list_transform({G1}, lambda t: struct_pack(n := -length(t), t := t)))[1].t")} AS code
+        FROM norm WHERE len({G1}) > 0) WHERE code <> '')"""
 
 
 @query("bk_generation_1", GENERATION_1, O.NORM)
@@ -378,7 +390,8 @@ CORE = "list_sort(list_distinct(core_toks))"
 
 @query("bk_oldest", """SELECT DISTINCT entity_id, ktype, key FROM (
     SELECT entity_id, 'nt' AS ktype, unnest(core_toks) AS key FROM norm UNION ALL SELECT entity_id, 'at', unnest(addr_toks) FROM norm
-    UNION ALL SELECT entity_id, CASE ktype WHEN 's' THEN 'sig' WHEN 'p' THEN 'pin' WHEN 'pf' THEN 'pin_f2' ELSE 'num_f2' END, key FROM keys WHERE ktype IN ('s', 'p', 'pf', 'nf'))""", O.KEYS)
+    UNION ALL SELECT entity_id, CASE ktype WHEN 's' THEN 'sig' WHEN 'p' THEN 'pin' WHEN 'pf' THEN 'pin_f2' ELSE 'num_f2' END, key
+        FROM keys WHERE ktype IN ('s', 'p', 'pf', 'nf'))""", O.KEYS)
 def _(spark, sf):
     return keys.make(Pages(spark, sf).norm, keys.families_oldest()).select("entity_id", "ktype", "key")
 
@@ -412,7 +425,8 @@ _pruned("query", O.CAP, tables.MOST_POSTINGS, tables.KEY_CAPS)
 _pruned("bucket", "150", 150, {})
 
 
-@query("ag_prune_overflow", "SELECT entity_id, ktype, key, df FROM keys JOIN df USING (country, ktype, key) WHERE NOT is_s1 AND df <= greatest(40, least(2000, floor(0.0003 * (SELECT count(*) FROM pages))))", O.SHARED)
+@query("ag_prune_overflow", """SELECT entity_id, ktype, key, df FROM keys JOIN df USING (country, ktype, key) WHERE NOT is_s1 AND df <= greatest(40,
+    least(2000, floor(0.0003 * (SELECT count(*) FROM pages))))""", O.SHARED)
 def _(spark, sf):
     p = Pages(spark, sf)
     return retrieval.prune(p.keyed.where("not is_s1"), retrieval.overflow_cap(p.pages.count(), bucket=40), {}).select("entity_id", "ktype", "key", "df")
@@ -447,7 +461,8 @@ def _(spark, sf):
 
 
 PROBES = """half AS (SELECT entity_id, ('0x' || substr(md5(entity_id), 1, 8))::BIGINT % 1000 % 2 AS part FROM rec WHERE entity_id NOT LIKE 'S1-%'
-), probed AS (SELECT * FROM (SELECT idf.*, part, row_number() OVER (PARTITION BY country, s1_id, part ORDER BY idf DESC, target_id) AS place FROM idf JOIN half ON entity_id = target_id) WHERE place <= 60)"""
+), probed AS (SELECT * FROM (SELECT idf.*, part, row_number() OVER (PARTITION BY country, s1_id, part ORDER BY idf DESC, target_id) AS place
+        FROM idf JOIN half ON entity_id = target_id) WHERE place <= 60)"""
 
 
 @query("jn_union_probe", f"SELECT s1_id, target_id, idf, hits, part::INT AS index, rn::INT AS rn FROM ({O.top('probed', 50)})", f"{O.SHARED}, {PROBES}")
@@ -462,7 +477,8 @@ def _(spark, sf):
 SIBLINGS = """fps AS (SELECT entity_id, country, fp, row_number() OVER (PARTITION BY country, fp ORDER BY entity_id) AS place FROM norm WHERE NOT is_s1 AND fp <> '')"""
 
 
-@query("jn_siblings", "SELECT country, s1_id, target_id FROM pool UNION SELECT pool.country, s1_id, m.entity_id FROM pool JOIN fps o ON o.entity_id = target_id JOIN fps m ON m.country = o.country AND m.fp = o.fp WHERE m.place <= 16", f"{O.POOL}, {SIBLINGS}")
+@query("jn_siblings", """SELECT country, s1_id, target_id FROM pool UNION SELECT pool.country, s1_id, m.entity_id FROM pool
+    JOIN fps o ON o.entity_id = target_id JOIN fps m ON m.country = o.country AND m.fp = o.fp WHERE m.place <= 16""", f"{O.POOL}, {SIBLINGS}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return retrieval.with_siblings(p.pool, p.prints, 16)
@@ -507,7 +523,8 @@ def _rescored(p: Pages, v: retrieval.Variant) -> DataFrame:
 TAGS = ("v4base", "n1", "n4")
 
 
-@query("tk_rescore", " UNION ALL ".join(f"SELECT '{t}' AS tag, s1_id, target_id, combined, rn::INT AS rn FROM ({O.top(f'({_combined(retrieval.VARIANTS[t])})', 10, 'combined')})" for t in TAGS), O.POOL)
+@query("tk_rescore", " UNION ALL ".join(f"""SELECT '{t}' AS tag, s1_id, target_id, combined, rn::INT AS rn
+    FROM ({O.top(f'({_combined(retrieval.VARIANTS[t])})', 10, 'combined')})""" for t in TAGS), O.POOL)
 def _(spark, sf):
     p, parts = Pages(spark, sf), []
     for t in TAGS:
@@ -518,7 +535,8 @@ def _(spark, sf):
 AB = f"ra AS ({O.top('idf', 5)}), rb AS ({O.top('(' + _combined(retrieval.VARIANTS['n4']) + ')', 5, 'combined')})"
 
 
-@query("ev_ab_cascade", "SELECT 'keys only' AS plan, count(*) AS hits FROM truth JOIN ra USING (s1_id, target_id) UNION ALL SELECT 'two stages', count(*) FROM truth JOIN rb USING (s1_id, target_id)", f"{O.POOL}, {O.TRUTH}, {AB}")
+@query("ev_ab_cascade", """SELECT 'keys only' AS plan, count(*) AS hits FROM truth JOIN ra USING (s1_id, target_id) UNION ALL SELECT 'two stages',
+    count(*) FROM truth JOIN rb USING (s1_id, target_id)""", f"{O.POOL}, {O.TRUTH}, {AB}")
 def _(spark, sf):
     p = Pages(spark, sf)
     hits = lambda found, plan: p.truth.join(found.where("rn <= 5"), ["s1_id", "target_id"]).agg(F.lit(plan).alias("plan"), F.count(F.lit(1)).alias("hits"))
@@ -536,7 +554,8 @@ def found_sql(tag: str, out: str) -> str:
     return f"{out}_pairs AS ({both}), {out} AS ({O.top(f'({combined})', v.cap, 'combined')})"
 
 
-@query("tk_rescore_all", " UNION ALL ".join(f"SELECT '{t}' AS tag, s1_id, target_id, combined, rn::INT AS rn FROM f_{t}" for t in retrieval.VARIANTS), f"{O.SHARED}, {', '.join(found_sql(t, f'f_{t}') for t in retrieval.VARIANTS)}")
+@query("tk_rescore_all", " UNION ALL ".join(f"SELECT '{t}' AS tag, s1_id, target_id, combined, rn::INT AS rn FROM f_{t}" for t in retrieval.VARIANTS),
+    f"{O.SHARED}, {', '.join(found_sql(t, f'f_{t}') for t in retrieval.VARIANTS)}")
 def _(spark, sf):
     p = Pages(spark, sf)
     parts = [p.found(t).select(F.lit(t).alias("tag"), "s1_id", "target_id", "combined", "rn") for t in retrieval.VARIANTS]
@@ -565,7 +584,8 @@ def _(spark, sf):
     return _hits(p, {"keys": p.pool, "keys and vectors": retrieval.union_candidates(p.pool, _near(p))})
 
 
-@query("ev_ab_trimming", _hits_sql({f"{k} by {what}": f"({O.top(source, k, score)})" for k in (10, 20) for what, source, score in (("cosine", "vec", "cos"), ("hits", "idf", "hits"))}), f"{UNION}, {O.TRUTH}")
+@query("ev_ab_trimming", _hits_sql({f"{k} by {what}": f"({O.top(source, k, score)})"
+    for k in (10, 20) for what, source, score in (("cosine", "vec", "cos"), ("hits", "idf", "hits"))}), f"{UNION}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return _hits(p, {f"{k} by {what}": retrieval.top(rows, k, score) for k in (10, 20) for what, rows, score in (("cosine", _near(p), "cos"), ("hits", p.idf, "hits"))})
@@ -598,7 +618,9 @@ def _(spark, sf):
     return linkage.candidates(Pages(spark, sf).norm, "x2").select("s1_id", "target_id", "combined", "rn")
 
 
-@query("tk_compact", "SELECT s1_id, target_id, is_match, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY is_match DESC, rn, target_id) AS place FROM (SELECT p.s1_id, p.target_id, p.rn, t.s1_id IS NOT NULL AS is_match FROM pool p LEFT JOIN truth t USING (s1_id, target_id))) WHERE place <= 6 OR is_match", f"{O.POOL}, {O.TRUTH}")
+@query("tk_compact", """SELECT s1_id, target_id, is_match, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY s1_id
+    ORDER BY is_match DESC, rn, target_id) AS place FROM (SELECT p.s1_id, p.target_id, p.rn, t.s1_id IS NOT NULL AS is_match FROM pool p LEFT
+    JOIN truth t USING (s1_id, target_id))) WHERE place <= 6 OR is_match""", f"{O.POOL}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return retrieval.compact(p.pool, p.truth, 6).select("s1_id", "target_id", "is_match", "place")
@@ -679,7 +701,8 @@ def _(spark, sf):
     return _rounded(made, features.VECTORS["baseline"])
 
 
-@query("ft_vector_boost", f"SELECT s1_id, target_id, {_vector_sql(features.VECTORS['boost'], 'CASE WHEN coalesce(nc, 0.0) = 0 THEN n_sort ELSE nc END', 'CASE WHEN coalesce(ac, 0.0) = 0 THEN a_sort ELSE ac END')} FROM {WITH_COSINES}", COSINES)
+@query("ft_vector_boost", f"""SELECT s1_id, target_id, {_vector_sql(features.VECTORS['boost'], 'CASE WHEN coalesce(nc, 0.0) = 0 THEN n_sort ELSE nc END',
+    'CASE WHEN coalesce(ac, 0.0) = 0 THEN a_sort ELSE ac END')} FROM {WITH_COSINES}""", COSINES)
 def _(spark, sf):
     p = Pages(spark, sf)
     made = features.pair_features(p.pool.select(*retrieval.PAIR), p.norm, _cosines(p))
@@ -729,7 +752,9 @@ def _(spark, sf):
 
 
 PRINTS = "prints AS (SELECT entity_id, country, fp FROM norm WHERE NOT is_s1)"
-PROPAGATED = "SELECT country, s1_id, target_id, prob FROM gated UNION SELECT s.country, s.s1_id, s.target_id, s.prob FROM scored s JOIN prints o ON o.entity_id = s.target_id AND o.fp <> '' WHERE s.prob >= {floor} AND EXISTS (SELECT 1 FROM gated g JOIN prints q ON q.entity_id = g.target_id WHERE g.s1_id = s.s1_id AND q.fp = o.fp AND q.country = o.country)"
+PROPAGATED = """SELECT country, s1_id, target_id, prob FROM gated UNION SELECT s.country, s.s1_id, s.target_id, s.prob FROM scored s
+    JOIN prints o ON o.entity_id = s.target_id AND o.fp <> '' WHERE s.prob >= {floor} AND EXISTS (SELECT 1 FROM gated g
+    JOIN prints q ON q.entity_id = g.target_id WHERE g.s1_id = s.s1_id AND q.fp = o.fp AND q.country = o.country)"""
 
 
 @query("dc_propagate", PROPAGATED.format(floor=0.3), f"{O.GATED}, {PRINTS}")
@@ -749,7 +774,10 @@ def _(spark, sf):
 RULES = (("en", "x2", "m1", 0.45, 0.55), ("fr", "x1", "m1", 0.4, 0.4))
 
 
-@query("dc_rules", "SELECT s1_id, target_id, th, prob FROM (SELECT *, (CASE country WHEN 'en' THEN 0.45 WHEN 'fr' THEN 0.4 ELSE 0.62 END)::DOUBLE AS th, CASE country WHEN 'en' THEN 0.55 WHEN 'fr' THEN 0.4 ELSE 0.78 END AS mt, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM scored) WHERE prob >= th AND best >= mt", O.SCORED)
+@query("dc_rules", """SELECT s1_id, target_id, th, prob FROM (SELECT *,
+    (CASE country WHEN 'en' THEN 0.45 WHEN 'fr' THEN 0.4 ELSE 0.62 END)::DOUBLE AS th,
+    CASE country WHEN 'en' THEN 0.55 WHEN 'fr' THEN 0.4 ELSE 0.78 END AS mt, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM scored)
+    WHERE prob >= th AND best >= mt""", O.SCORED)
 def _(spark, sf):
     p = Pages(spark, sf)
     ruled = decide.with_rules(p.scored, decide.rules_table(spark, RULES))
@@ -797,7 +825,10 @@ def _(spark, sf):
     return Pages(spark, sf).matched.select("s1_id", "target_id", "prob")
 
 
-@query("tk_one_to_one_street", f"SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY country, target_id ORDER BY score DESC, prob DESC, s1_id) AS place FROM (SELECT *, round(prob * (0.5 + 0.5 * CASE WHEN len(a_street) = 0 OR len(b_street) = 0 THEN 0.5 ELSE {O.jaccard('a_street', 'b_street')} END), 6) AS score FROM claims)) WHERE place = 1", CLAIMS)
+@query("tk_one_to_one_street", f"""SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY country, target_id ORDER BY score DESC,
+    prob DESC, s1_id) AS place FROM (SELECT *,
+    round(prob * (0.5 + 0.5 * CASE WHEN len(a_street) = 0 OR len(b_street) = 0 THEN 0.5 ELSE {O.jaccard('a_street', 'b_street')} END), 6) AS score
+    FROM claims)) WHERE place = 1""", CLAIMS)
 def _(spark, sf):
     p = Pages(spark, sf)
     return decide.one_to_one_street(_streets(p, p.gated)).select("s1_id", "target_id")
@@ -838,7 +869,9 @@ def _(spark, sf):
     return evaluate.macro_f05(Pages(spark, sf).entity)
 
 
-@query("ev_recall_at", "SELECT cap::INT AS cap, count(CASE WHEN rn <= cap THEN 1 END) AS hits, count(*) AS pairs, round(count(CASE WHEN rn <= cap THEN 1 END) / count(*)::DOUBLE, 6) AS recall FROM truth LEFT JOIN pool USING (s1_id, target_id), (SELECT unnest([10, 15, 20, 30, 40]) AS cap) GROUP BY cap", f"{O.POOL}, {O.TRUTH}")
+@query("ev_recall_at", """SELECT cap::INT AS cap, count(CASE WHEN rn <= cap THEN 1 END) AS hits, count(*) AS pairs,
+    round(count(CASE WHEN rn <= cap THEN 1 END) / count(*)::DOUBLE, 6) AS recall FROM truth LEFT JOIN pool USING (s1_id, target_id),
+    (SELECT unnest([10, 15, 20, 30, 40]) AS cap) GROUP BY cap""", f"{O.POOL}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return evaluate.recall_at(p.pool, p.truth)
@@ -896,7 +929,8 @@ def _(spark, sf):
     return evaluate.rescue_sweep(p.scored, p.spine, p.truth, rescued)
 
 
-BY_COUNTRY = f"{O.SCORED}, {O.TRUTH}, {_grid_sql(True).replace('GROUP BY cap, th, mt)', 'JOIN rec ON rec.entity_id = s1_id GROUP BY cap, th, mt, rec.country)').replace('SELECT cap, th::DOUBLE', 'SELECT rec.country AS country, cap, th::DOUBLE')}"
+BY_COUNTRY = f"{O.SCORED}, {O.TRUTH}, {_grid_sql(True).replace('GROUP BY cap, th, mt)',
+    'JOIN rec ON rec.entity_id = s1_id GROUP BY cap, th, mt, rec.country)').replace('SELECT cap, th::DOUBLE', 'SELECT rec.country AS country, cap, th::DOUBLE')}"
 
 
 def _by_country(p: Pages) -> DataFrame:
@@ -917,7 +951,8 @@ def _(spark, sf):
     return evaluate.best_rule(_by_country(Pages(spark, sf)))
 
 
-@query("ev_weighted", "SELECT round(sum(macro_f05 * share) / sum(share), 6) AS combined FROM best JOIN (SELECT country, count(*) AS share FROM rec WHERE entity_id LIKE 'S1-%' GROUP BY country) USING (country)", f"{BY_COUNTRY}, {BEST}")
+@query("ev_weighted", """SELECT round(sum(macro_f05 * share) / sum(share), 6) AS combined FROM best JOIN (SELECT country, count(*) AS share FROM rec
+    WHERE entity_id LIKE 'S1-%' GROUP BY country) USING (country)""", f"{BY_COUNTRY}, {BEST}")
 def _(spark, sf):
     p = Pages(spark, sf)
     shares = p.rec.where(F.startswith("entity_id", F.lit("S1-"))).groupBy("country").agg(F.count(F.lit(1)).alias("share"))
@@ -926,7 +961,8 @@ def _(spark, sf):
 
 @query("ev_taxonomy", """SELECT sum(missed)::BIGINT AS missed, sum(rejected)::BIGINT AS rejected, sum(merged)::BIGINT AS merged, count(CASE WHEN lost = 0 AND merged = 0 THEN 1 END) AS exact FROM (
     SELECT spine.s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id = spine.s1_id AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.s1_id = t.s1_id AND p.target_id = t.target_id)) AS missed,
-    (SELECT count(*) FROM truth t JOIN pool p USING (s1_id, target_id) WHERE t.s1_id = spine.s1_id AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.s1_id = t.s1_id AND m.target_id = t.target_id)) AS rejected,
+    (SELECT count(*) FROM truth t JOIN pool p USING (s1_id, target_id)
+        WHERE t.s1_id = spine.s1_id AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.s1_id = t.s1_id AND m.target_id = t.target_id)) AS rejected,
     (SELECT count(*) FROM matched m WHERE m.s1_id = spine.s1_id AND NOT EXISTS (SELECT 1 FROM truth t WHERE m.s1_id = t.s1_id AND m.target_id = t.target_id)) AS merged,
     (SELECT count(*) FROM truth t WHERE t.s1_id = spine.s1_id AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.s1_id = t.s1_id AND m.target_id = t.target_id)) AS lost FROM spine)""", EVAL)
 def _(spark, sf):
@@ -942,7 +978,8 @@ def _(spark, sf):
     return evaluate.misses(p.truth, p.pool, p.shared)
 
 
-@query("ev_candidate_precision", "SELECT round(avg(label), 6) AS candidate_precision, sum(label)::BIGINT AS positives, count(*) AS candidates FROM (SELECT (t.s1_id IS NOT NULL)::INT AS label FROM pool LEFT JOIN truth t USING (s1_id, target_id))", f"{O.POOL}, {O.TRUTH}")
+@query("ev_candidate_precision", """SELECT round(avg(label), 6) AS candidate_precision, sum(label)::BIGINT AS positives, count(*) AS candidates
+    FROM (SELECT (t.s1_id IS NOT NULL)::INT AS label FROM pool LEFT JOIN truth t USING (s1_id, target_id))""", f"{O.POOL}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return evaluate.candidate_precision(p.pool, p.truth)
@@ -964,15 +1001,20 @@ def _(spark, sf):
     return evaluate.extension(p.scored, p.gated, p.prints, p.spine, p.truth, (0.3, 0.4, 0.5))
 
 
-@query("ev_cluster_rule", "SELECT floor::DOUBLE AS floor, count(CASE WHEN prob >= floor THEN 1 END) AS accepted, count(CASE WHEN prob >= floor AND label THEN 1 END) AS good FROM (SELECT b.prob, t.s1_id IS NOT NULL AS label FROM (SELECT s.s1_id, max(s.prob) AS prob, max(struct_pack(p := s.prob, t := s.target_id)).t AS target_id FROM scored s JOIN prints f ON f.entity_id = s.target_id GROUP BY s.country, s.s1_id, f.fp) b LEFT JOIN truth t USING (s1_id, target_id)), (SELECT unnest([0.3, 0.45]) AS floor) GROUP BY floor", f"{O.SCORED}, {PRINTS}, {O.TRUTH}")
+@query("ev_cluster_rule", """SELECT floor::DOUBLE AS floor, count(CASE WHEN prob >= floor THEN 1 END) AS accepted, count(CASE WHEN prob >= floor
+    AND label THEN 1 END) AS good FROM (SELECT b.prob, t.s1_id IS NOT NULL AS label FROM (SELECT s.s1_id, max(s.prob) AS prob,
+    max(struct_pack(p := s.prob, t := s.target_id)).t AS target_id FROM scored s JOIN prints f ON f.entity_id = s.target_id GROUP BY s.country,
+    s.s1_id, f.fp) b LEFT JOIN truth t USING (s1_id, target_id)), (SELECT unnest([0.3, 0.45]) AS floor) GROUP BY floor""", f"{O.SCORED}, {PRINTS}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return evaluate.cluster_rule(p.scored, p.prints, p.truth, (0.3, 0.45))
 
 
-@query("ev_profile", """SELECT substr(entity_id, 1, 2) AS source, count(*) AS n, count(DISTINCT entity_id) AS ids, round(100 * avg(CASE WHEN trim(business_name) = '' THEN 1 ELSE 0 END), 4) AS empty_names,
+@query("ev_profile", """SELECT substr(entity_id, 1, 2) AS source, count(*) AS n, count(DISTINCT entity_id) AS ids
+       , round(100 * avg(CASE WHEN trim(business_name) = '' THEN 1 ELSE 0 END), 4) AS empty_names,
     round(100 * avg(CASE WHEN trim(business_address) = '' THEN 1 ELSE 0 END), 4) AS empty_addresses,
-    round(avg(len(list_filter(regexp_split_to_array(trim(business_name), '\\s+'), lambda t: t <> ''))), 4) AS name_tokens, count(DISTINCT country) AS countries FROM rec GROUP BY 1""", O.REC)
+    round(avg(len(list_filter(regexp_split_to_array(trim(business_name), '\\s+'), lambda t: t <> ''))), 4) AS name_tokens
+       , count(DISTINCT country) AS countries FROM rec GROUP BY 1""", O.REC)
 def _(spark, sf):
     return evaluate.profile(Pages(spark, sf).rec)
 
@@ -986,7 +1028,9 @@ def _(spark, sf):
     return evaluate.top_countries(Pages(spark, sf).rec)
 
 
-@query("ev_truth_histogram", "SELECT matches, count(*) AS entities, sum(s2)::BIGINT AS s2, sum(s3)::BIGINT AS s3 FROM (SELECT s1_id, count(target_id) AS matches, count(CASE WHEN target_id LIKE 'S2-%' THEN 1 END) AS s2, count(CASE WHEN target_id LIKE 'S3-%' THEN 1 END) AS s3 FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id) GROUP BY matches", f"{O.REC}, {O.TRUTH}")
+@query("ev_truth_histogram", """SELECT matches, count(*) AS entities, sum(s2)::BIGINT AS s2, sum(s3)::BIGINT AS s3 FROM (SELECT s1_id,
+    count(target_id) AS matches, count(CASE WHEN target_id LIKE 'S2-%' THEN 1 END) AS s2, count(CASE WHEN target_id LIKE 'S3-%' THEN 1 END) AS s3
+    FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id) GROUP BY matches""", f"{O.REC}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return evaluate.truth_histogram(p.spine, p.truth)
@@ -995,7 +1039,8 @@ def _(spark, sf):
 # set operations and validation
 
 
-@query("st_intersect_except", "SELECT 'both' AS part, s1_id, target_id FROM (SELECT s1_id, target_id FROM truth INTERSECT SELECT s1_id, target_id FROM matched) UNION ALL SELECT 'lost', s1_id, target_id FROM (SELECT s1_id, target_id FROM truth EXCEPT SELECT s1_id, target_id FROM matched)", f"{O.MATCHED}, {O.TRUTH}")
+@query("st_intersect_except", """SELECT 'both' AS part, s1_id, target_id FROM (SELECT s1_id, target_id FROM truth INTERSECT SELECT s1_id, target_id
+    FROM matched) UNION ALL SELECT 'lost', s1_id, target_id FROM (SELECT s1_id, target_id FROM truth EXCEPT SELECT s1_id, target_id FROM matched)""", f"{O.MATCHED}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     t, m = p.truth, p.matched.select("s1_id", "target_id")
@@ -1053,7 +1098,9 @@ def _(spark, sf):
     return spark.createDataFrame([(k, validate.check_header(v, validate.COLUMNS)) for k, v in lines.items()], "header string, fault string")
 
 
-@query("va_summary", "SELECT count(*) AS n_rows, count(CASE WHEN n = 0 THEN 1 END) AS empty, sum(n)::BIGINT AS targets, round(avg(n), 6) AS mean_targets FROM (SELECT count(target_id) AS n FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id)", f"{O.REC}, {O.TRUTH}")
+@query("va_summary", """SELECT count(*) AS n_rows, count(CASE WHEN n = 0 THEN 1 END) AS empty, sum(n)::BIGINT AS targets, round(avg(n),
+    6) AS mean_targets FROM (SELECT count(target_id) AS n FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT
+    JOIN truth USING (s1_id) GROUP BY s1_id)""", f"{O.REC}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return validate.summary(files.id_lists(p.spine, p.truth, "ids"))
@@ -1062,7 +1109,9 @@ def _(spark, sf):
 # learning
 
 
-@query("ml_hard_negatives", "SELECT s1_id, target_id, label FROM (SELECT *, row_number() OVER (PARTITION BY country, s1_id, label ORDER BY rn, target_id) AS place FROM (SELECT p.*, (t.s1_id IS NOT NULL)::INT AS label FROM pool p LEFT JOIN truth t USING (s1_id, target_id))) WHERE label = 1 OR (rn <= 20 AND place <= 10)", f"{O.POOL}, {O.TRUTH}")
+@query("ml_hard_negatives", """SELECT s1_id, target_id, label FROM (SELECT *, row_number() OVER (PARTITION BY country, s1_id, label ORDER BY rn,
+    target_id) AS place FROM (SELECT p.*, (t.s1_id IS NOT NULL)::INT AS label FROM pool p LEFT JOIN truth t USING (s1_id, target_id)))
+    WHERE label = 1 OR (rn <= 20 AND place <= 10)""", f"{O.POOL}, {O.TRUTH}")
 def _(spark, sf):
     p = Pages(spark, sf)
     return model.hard_negatives(evaluate.label(p.pool, p.truth)).select("s1_id", "target_id", "label")
@@ -1088,7 +1137,8 @@ def _negatives(name: str, most: int, among: int, sampled: bool) -> None:
     order = "md5(s1_id || '|' || target_id), target_id" if sampled else "rn, target_id"
     places = f"row_number() OVER (PARTITION BY country, s1_id, label = 0 AND rn <= {among} ORDER BY {order})" if sampled else f"row_number() OVER (PARTITION BY country, s1_id, label ORDER BY {order})"
 
-    @query(name, f"SELECT s1_id, target_id, label FROM (SELECT *, {places} AS place FROM {LABELLED}) WHERE label = 1 OR (rn <= {among} AND place <= {most})", f"{O.SHARED}, {O.TRUTH}, {found_sql('x2', 'f')}")
+    @query(name, f"""SELECT s1_id, target_id, label FROM (SELECT *, {places} AS place FROM {LABELLED}) WHERE label = 1 OR (rn <= {among}
+    AND place <= {most})""", f"{O.SHARED}, {O.TRUTH}, {found_sql('x2', 'f')}")
     def _(spark, sf):
         p = Pages(spark, sf)
         make = model.sampled_negatives if sampled else model.hard_negatives
