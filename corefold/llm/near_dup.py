@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected, materialise, shuffle_partitions
+from .common import bounded_batches, connected, materialise, shuffle_partitions, spread
 from .words import Words, mix, set_key
 
 #: Registers' scale. Close to 1, unequal minima seldom round to one value.
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: in
     id, or null where there is none, and it is kept only then. Rows that repeat an id with
     another text are documents of their own. An empty table gives an empty table.
     """
-    rows = materialise(sketch(docs, shingle, band_rows(num / den)), "sketches")
+    rows = materialise(spread(sketch(docs, shingle, band_rows(num / den))), "sketches")
     solid = rows.where(F.col("set_key").isNotNull())
     same = solid.groupBy("set_key").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"),

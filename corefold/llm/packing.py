@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, spread
 from .tokenizing import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -134,19 +134,23 @@ class Packer:
                     displaced.append(n)
         return self.best_fit(child + injected, displaced)
 
-    def evolve(self, start: list[Bins], size: int, generations: int) -> Bins:
+    def evolve(self, start: list[Bins], size: int, generations: int, patience: int = 15) -> Bins:
+        """The best of a population of ``size`` after ``generations``, or once ``patience`` of them in a row have spared no bin."""
         people = list(start)
         if not people:
             people.append(self.first())
         if len(min(people, key=len)) > self.least:
             while len(people) < size:
                 people.append(self.varied())
+            since, fewest = 0, min(map(len, people))
             for _ in range(generations):
                 a, b = self.random.sample(range(len(people)), 2)
                 people.append(self.cross(people[a], people[b]))
                 people.sort(key=self.fitness, reverse=True)
                 del people[size:]
-                if len(people[0]) <= self.least:
+                since = since + 1 if len(people[0]) >= fewest else 0
+                fewest = len(people[0])
+                if fewest <= self.least or since >= patience:
                     break
         return max(people, key=self.fitness)
 
@@ -246,5 +250,5 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, capacity: int = 40
     columns are interchangeable. The token pieces are written to the shared folder once, so
     a lost executor never costs a second tokenising of the corpus.
     """
-    pieces = materialise(tokenise(df, path, end_id, capacity).withColumn("deal", F.monotonically_increasing_id()), "pieces")
+    pieces = materialise(spread(tokenise(df, path, end_id, capacity)).withColumn("deal", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, ("doc_id", "piece", "start", "ids_crc32"), capacity)
