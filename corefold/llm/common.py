@@ -94,13 +94,13 @@ def materialise(df: DataFrame, name: str = "table", rows: int | None = None) ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, which reads a table without a shuffle, in no more tasks than have some work: twice the cores, or one for each ``BYTES_A_TASK``.
+    """``df``, which reads a table without a shuffle, in no more tasks than have some work: four times the cores, or one for each ``BYTES_A_TASK``.
 
     Many small files are then read together, and what the tasks write isn't as many files. A
     size that isn't known counts as large.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // BYTES_A_TASK)), 1 << 20))
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // BYTES_A_TASK)), 1 << 20))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
