@@ -76,6 +76,18 @@ def shared_keys(keyed: DataFrame, most: int = tables.MOST_POSTINGS, caps: dict[s
     return queries.join(prune(targets, most, caps), ["country", "ktype", "key"])
 
 
+#: Postings up to which an index is broadcast to its queries, some 60 bytes each.
+SMALL_INDEX = 500_000
+
+
+def probe(queries: DataFrame, index: DataFrame, small: int = SMALL_INDEX) -> DataFrame:
+    """Queries' keys joined to a pruned index: broadcast where it is counted and small, shuffled beyond."""
+    index = index.withColumnRenamed("entity_id", "target_id").select("country", "ktype", "key", "target_id", "df")
+    if index.limit(small + 1).count() <= small:
+        index = F.broadcast(index)
+    return queries.join(index, ["country", "ktype", "key"])
+
+
 def idf_scores(shared: DataFrame) -> DataFrame:
     """(country, s1_id, target_id, idf, hits): weighted by type and rarity, and merely counted."""
     return shared.groupBy(*PAIR).agg(

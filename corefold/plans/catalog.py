@@ -19,6 +19,7 @@ from ..functions import tables
 from ..functions import text as T
 from ..operators import decide, evaluate, features, keys, model, records, retrieval, validate
 from ..sources import files
+from ..streaming import incremental
 from . import linkage
 from . import oracle as O
 
@@ -119,6 +120,13 @@ def joined(c: str | F.Column) -> F.Column:
     return F.array_join(c, " ")
 
 
+def _matched_sql(found: str, th: float, mt: float, one: bool = True) -> str:
+    """From candidates with both sides' columns to matches: overlap, gate, and perhaps one-to-one."""
+    scored = f"(SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM (SELECT country, s1_id, target_id, round({O.PROB}, 6) AS prob FROM {found}))"
+    gated = f"(SELECT * FROM {scored} WHERE best >= {mt} AND prob >= {th})"
+    return f"SELECT country, s1_id, target_id, prob FROM ({O.ONE.format(source=gated)})" if one else f"SELECT country, s1_id, target_id, prob FROM {gated}"
+
+
 # sources and sinks
 
 
@@ -127,6 +135,62 @@ def _(spark, sf):
     return Pages(spark, sf).rec
 
 
+def _written(p: Pages, name: str) -> str:
+    """The records as a tab-separated file."""
+    path = files.scratch_path(p.spark, name) + "/records"
+    files.write_tsv(p.rec.select(*files.RECORD.names), path)
+    return path
+
+
+FIELDS = ", ".join(f"trim({c}) AS {c}" for c in ("entity_id", "business_name", "business_address", "country"))
+
+
+@query("io_tsv", f"SELECT {FIELDS} FROM rec", O.REC)
+def _(spark, sf):
+    return files.read_tsv(spark, _written(Pages(spark, sf), "tsv"))
+
+
+@query("io_tsv_lines", f"SELECT {FIELDS} FROM rec", O.REC)
+def _(spark, sf):
+    return files.read_tsv(spark, _written(Pages(spark, sf), "lines"), strict=False)
+
+
+@query("io_by_country", "SELECT entity_id, business_name, country FROM rec WHERE country = 'de'", O.REC)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    path = files.scratch_path(spark, "by-country") + "/records"
+    files.write_by_country(p.rec, path)
+    return spark.read.parquet(path).where("country = 'de'").select("entity_id", "business_name", "country")
+
+
+@query("io_ordered_lists", "SELECT s1_id, coalesce(string_agg(DISTINCT target_id, ',' ORDER BY target_id), '') AS ids, row_number() OVER (ORDER BY s1_id) AS line FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id", f"{O.REC}, {O.TRUTH}")
+def _(spark, sf):
+    """Written in the order of ids as one file, and read back line by line."""
+    p = Pages(spark, sf)
+    path = files.scratch_path(spark, "lists") + "/matches"
+    files.write_tsv(files.id_lists(p.spine, p.truth, "ids"), path, "s1_id")
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")).where("line > 0")
+    fields = F.split("value", "\t")
+    return lines.select(fields[0].alias("s1_id"), fields[1].alias("ids"), "line")
+
+
+@query("io_merged", "SELECT s1_id, coalesce(string_agg(DISTINCT target_id, ',' ORDER BY target_id), '') AS ids FROM (SELECT entity_id AS s1_id FROM rec WHERE entity_id LIKE 'S1-%') LEFT JOIN truth USING (s1_id) GROUP BY s1_id", f"{O.REC}, {O.TRUTH}")
+def _(spark, sf):
+    """The lists of each shard of the records, merged and held against the spine."""
+    p = Pages(spark, sf)
+    bucket = T.md5_bucket(F.col("s1_id")) % 3
+    return files.merge_parts([files.id_lists(p.spine.where(bucket == k), p.truth.where(bucket == k), "ids") for k in range(3)], p.spine)
+
+
+@query("io_pool_cache", "SELECT country, s1_id, target_id, prob FROM pooled", f"{O.SHARED}, f AS (SELECT x.*, {', '.join(f'a.{c} AS a_{c}, b.{c} AS b_{c}' for c in O.SIDES)} FROM ({O.top('idf', 1200)}) x JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = target_id), pooled AS ({_matched_sql('f', 0.45, 0.5)})")
+def _(spark, sf):
+    """Postings and records of the pool written once and probed from there."""
+    p = Pages(spark, sf)
+    path = files.scratch_path(spark, "pool")
+    incremental.write_pool(p.norm.where("not is_s1"), path)
+    return incremental.link_batch(p.norm.where("is_s1"), path, retrieval.VARIANTS["x2"], 0.45, 0.5)
+
+
 @query("io_union_targets", "SELECT entity_id, country FROM rec WHERE entity_id LIKE 'S2-%' UNION ALL SELECT entity_id, country FROM rec WHERE entity_id LIKE 'S3-%'", O.REC)
 def _(spark, sf):
     rec = Pages(spark, sf).rec.select("entity_id", "country")
@@ -437,6 +501,13 @@ def _(spark, sf):
     return Pages(spark, sf).shared.select("s1_id", "target_id", "ktype", "key", "df")
 
 
+@query("jn_small_index", "SELECT s1_id, target_id, ktype, key, df FROM shared", O.SHARED)
+def _(spark, sf):
+    p = Pages(spark, sf)
+    asked, _targets = retrieval.split_sides(p.keyed)
+    return retrieval.probe(asked, retrieval.prune(p.keyed.where("not is_s1"))).select("s1_id", "target_id", "ktype", "key", "df")
+
+
 @query("ag_idf_score", "SELECT s1_id, target_id, idf FROM idf", O.SHARED)
 def _(spark, sf):
     return Pages(spark, sf).idf.select("s1_id", "target_id", "idf")
@@ -1194,13 +1265,6 @@ def _(spark, sf):
     return Pages(spark, sf).matched.select("country", "s1_id", "target_id", "prob")
 
 
-def _matched_sql(found: str, th: float, mt: float, one: bool = True) -> str:
-    """From candidates with both sides' columns to matches: overlap, gate, and perhaps one-to-one."""
-    scored = f"(SELECT *, max(prob) OVER (PARTITION BY country, s1_id) AS best FROM (SELECT country, s1_id, target_id, round({O.PROB}, 6) AS prob FROM {found}))"
-    gated = f"(SELECT * FROM {scored} WHERE best >= {mt} AND prob >= {th})"
-    return f"SELECT country, s1_id, target_id, prob FROM ({O.ONE.format(source=gated)})" if one else f"SELECT country, s1_id, target_id, prob FROM {gated}"
-
-
 @query("link_pages_all", _matched_sql("f", 0.45, 0.5), f"{O.SHARED}, {found_sql('x2', 'f')}")
 def _(spark, sf):
     p = Pages(spark, sf)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,14 +71,30 @@ def first_per_country(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("position", rank).where(F.col("position") <= n)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and its lineage cut, in the folder of ``spark.checkpoint.dir``; one of its own only in local mode, where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir``; one of its own only in local mode, where that is unset."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="corefold-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes when the JVM ends."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return path.toString()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
