@@ -19,7 +19,7 @@ BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 #: Narrow rows in a file of a scratch table.
 ROWS_A_FILE = 250_000
 #: Input of a task that reads a table, as it lies on disk.
-BYTES_A_TASK = 64 << 20
+BYTES_A_TASK = 8 << 20
 #: Edges from which a hub can have so many that its join is worth splitting.
 MANY_EDGES = 2_000_000
 _own: set[str] = set()

@@ -21,6 +21,8 @@ from .common import materialise, running_total
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to how many sources their decisions are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Up to how many sources their targets are worked out on the driver.
+FEW_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,13 +36,32 @@ def default_quality(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.1), 1 - 5 * signs / n), F.lit(0.1))
 
 
+def targets_of(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], most_epochs: int) -> list[tuple[str | None, int, float]]:
+    """The same of a list."""
+    ranked = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    rows = [(most_epochs * n / float(weights[k % len(weights)]), k, source, n, float(weights[k % len(weights)])) for k, (source, n) in enumerate(ranked)]
+    left, weight, out = float(sum(n for _, n in sizes)), sum(w for *_, w in rows), {}
+    for stop, k, _, n, w in sorted(rows):
+        if not left or stop > left / weight:
+            break
+        out[k] = float(most_epochs * n)
+        left, weight = left - out[k], weight - w
+    return [(source, n, out.get(k, left / weight * w if weight else 0.0)) for _, k, source, n, w in rows]
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int) -> DataFrame:
     """``source, source_size`` with ``target``: weights by rank of the source, stopped at ``most_epochs`` sizes.
 
     The excess goes to the others by weight until none is above. Sorted by how early they
     stop, all sources up to some one stop, so the share of a weight follows from running
-    totals; nothing is iterated and no task sees all sources. Without words all targets are 0.
+    totals; nothing is iterated. Up to ``FEW_SOURCES`` that is arithmetic on the driver, a
+    row a source; beyond, the totals are distributed and no task sees all sources. Without
+    words all targets are 0.
     """
+    few = sizes.limit(FEW_SOURCES + 1).collect()
+    if len(few) <= FEW_SOURCES:
+        made = targets_of([(r["source"], r["source_size"]) for r in few], weights, most_epochs)
+        return sizes.sparkSession.createDataFrame(made, "source string, source_size long, target double")
     ranked = running_total(sizes.withColumn("__one", F.lit(1)), {"__one": "__rank"}, [F.col("source").asc_nulls_last()])
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     table = ranked.select(
@@ -113,7 +134,9 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_texts(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, the last time perhaps cut to its first words.
 
-    Documents that the mix doesn't take are gone; so are those without words.
+    Documents that the mix doesn't take are gone; so are those without words, null texts among
+    them. A null source is one like others, rows that repeat are taken alike, other columns
+    stay whatever their names, and an empty table gives an empty table.
     """
     out = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text", "source"), **options)
     times = F.concat(
@@ -123,5 +146,3 @@ def mixed_texts(docs: DataFrame, **options: object) -> DataFrame:
     out = out.where(F.col("taken") > 0).withColumn("__words", F.explode(times))
     text = F.when(F.col("__words") < F.col("size"), first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text"))
     return out.select(*[text.alias(c) if c == "text" else F.col(f"__doc.`{c}`") for c in docs.columns])
-
-

@@ -213,12 +213,22 @@ def test_mixed_texts_hold_what_is_taken(spark):
     assert words == collections.Counter({d: n for d, n in taken.items() if n})
 
 
-def test_targets_stop(spark):
+@pytest.mark.parametrize("few", [0, 100])
+def test_targets_stop(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     sizes = {"a": 10, "b": 1000, "c": 5, None: 300, "d": 0}
     got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 3).collect()
     assert {r["source"]: r["target"] for r in got} == pytest.approx(brute_targets(sizes, (5, 2, 1), 3))
 
 
+def test_targets_of_any_sizes():
+    rnd = random.Random(13)
+    for _ in range(200):
+        sizes = {rnd.choice([f"s{k}", f"é{k}", None]): rnd.choice([0, 1, 7, 100, 5000]) for k in range(rnd.randint(0, 9))}
+        got = {s: t for s, _, t in mixing.targets_of(list(sizes.items()), (5, 2, 1), 3)}
+        assert got == pytest.approx(brute_targets(sizes, (5, 2, 1), 3) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0))
+
+
 def test_quality_draws_better_documents_first(spark):
     rows = [(i, "clean words of prose " * 5 if i % 2 else "a# b$ c% d& e* f| g< " * 3, "s%d" % (i % 3)) for i in range(600)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1, 9)).where("part > 0").groupBy((F.col("doc_id") % 2).alias("clean")).count().collect()
@@ -883,7 +893,29 @@ def test_pipeline_runs(spark):
 
 
 def test_stages_take_odd_rows(spark, odd, none):
-    for df in (odd, none):
-        docs = df.select(*corpus_pipeline.COLUMNS)
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, SF).collect()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.select(*corpus_pipeline.COLUMNS), SF).count() == 0
+    assert corpus_pipeline.keep_good(spark, odd.select(*corpus_pipeline.COLUMNS), SF).count() == 0  # all are short or repeat themselves
+    en, de, fr, es = (PROSE[k] for k in ("en", "de", "fr", "es"))
+    rows = [(1, en, "en", "s1", 9), (1, en, "en", "s1", 9), (1, en, "en", "s1", None), (2, de, None, None, None), (3, None, "en", "s1", None), (4, "", None, "s1", 0), (5, en.upper(), "en", None, 9),
+            (None, fr + " Call +49 30 1234567.", "fr", None, None), (None, None, None, None, None), (6, es, "es", "s0", 1), (2, fr, "fr", "s0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    by = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    good = corpus_pipeline.keep_good(spark, docs, SF)
+    assert by(good) == sorted((r for r in rows if r[1]), key=str)
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    # of the three equal ids and texts the one with the least other columns; the French text without an id goes for the one with an id; rows without words stay
+    want = [rows[2], rows[3], rows[4], rows[5], rows[8], rows[9], rows[10]]
+    assert by(single) == sorted(want, key=str)
+    safe = corpus_pipeline.redact_personal_data(spark, docs, SF)
+    assert by(safe) == sorted(((d, x, lang, s, None if x is None else len(x)) for d, t, lang, s, _ in rows for x in [t and t.replace("+49 30 1234567", "[PHONE]")]), key=str)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    words = collections.Counter()
+    for r in mixed:
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    sizes = collections.Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    assert dict(words) == pytest.approx(brute_targets(sizes, (5, 2, 1), 3), abs=3)  # rows that repeat share what is left evenly
+    packed = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    check_packing(packed, [(r[0], r[1]) for r in rows], 4096)
