@@ -47,6 +47,8 @@ BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 PIVOTS = 4
 #: Nodes of clusters whose ids are broadcast to find their texts; 24 bytes each. Beyond, a shuffle join.
 BROADCAST_NODES = 250_000
+#: Bits of the bitmap that spares the shuffle of texts that no cluster has.
+BITMAP_BITS = 28
 HASHES_AT_ONCE = 1 << 15
 #: Where the scale begins: a minimum of 64 times the mean of one shingle's variable.
 FIRST = np.log(64) / np.log(BASE)
@@ -230,13 +232,32 @@ def _blocks(nodes: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
 
 
+def _maybe(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without rows whose hash surely isn't wanted: a bitmap of ``2**BITMAP_BITS`` bits is built on the executors and broadcast, 32 MB at most."""
+    at = lambda h: F.pmod(h, F.lit(1 << BITMAP_BITS))
+    place = at(F.col("hash"))
+    maps = wanted.select(F.shiftright(place, 15).alias("__bucket"), place.bitwiseAND(F.lit(32767)).alias("__bit"))
+    maps = maps.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    place = at(F.col("text_hash"))
+    rows = texts.withColumn("__bucket", F.shiftright(place, 15)).withColumn("__bit", place.bitwiseAND(F.lit(32767)).cast("int"))
+    rows = rows.join(F.broadcast(materialise(maps, "bitmap")), "__bucket")
+    byte = F.conv(F.hex(F.substr("__map", F.shiftright("__bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, F.col("__bit").bitwiseAND(F.lit(7))) == 1).select(*texts.columns)
+
+
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted``, which has ``doc`` and ``hash``, with the text of each row: broadcast up to a number of rows, beyond it joined by shuffle."""
+    """``wanted``, which has ``doc`` and ``hash``, with the text of each row: broadcast up to a number of rows.
+
+    Beyond it both sides are shuffled, of the texts only those that a bitmap of the wanted
+    hashes leaves: not the whole corpus for what is a part of it.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     rest = [c for c in wanted.columns if c not in ("doc", "hash")]
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
+    else:
+        texts = _maybe(texts, wanted)
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash")))
     return found.select(*rest, "text")
 

@@ -689,6 +689,7 @@ def test_near_duplicates(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for nodes in (near_dup.BLOCK_NODES, 20, 7):
         monkeypatch.setattr(near_dup, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(near_dup, "BROADCAST_NODES", 0 if nodes == 20 else 250_000)
         got = {r["doc_id"]: r for r in near_dup.near_duplicates(df).collect()}
         assert [got[i]["component_id"] for i in range(len(texts))] == want
         assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
@@ -714,6 +715,14 @@ def test_drop_keeps_one_of_each_group(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a b c d e f g"), (3, None), (3, None), (4, "x y"), (1, "other text with the same id")]))
 
 
+def test_bitmap_leaves_what_is_wanted(spark):
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_hash"))
+    wanted = texts.where("doc_id % 10 = 0").select(F.col("text_hash").alias("hash"))
+    left = {r["doc_id"] for r in near_dup._maybe(texts, wanted).collect()}
+    assert left >= set(range(0, 3000, 10))
+    assert len(left) < 310
+
+
 def test_band_widths():
     for least in (0.5, 0.8, 0.85, 0.9):
         r = near_dup.band_rows(least)
