@@ -53,7 +53,8 @@ class Pages:
 
     @functools.cached_property
     def norm(self) -> DataFrame:
-        return records.normalise(self.rec)
+        """Normalised records, written once: most plans read them several times."""
+        return files.written(records.normalise(files.spread(self.rec)), "records")
 
     @functools.cached_property
     def keyed(self) -> DataFrame:

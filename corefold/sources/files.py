@@ -98,6 +98,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder: computed once, its lineage cut, and each reader reads the columns it needs."""
+    path = scratch_path(df.sparkSession, name) + "/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, which reads files, dealt out where it has fewer partitions than there are cores; a larger one is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shard_of(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """Add ``shard``: rows in order of ``order`` in ``shards`` equal runs, the last one perhaps shorter.
 
