@@ -79,46 +79,54 @@ def _places(s: str) -> dict[str, int]:
 
 
 def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, all places of ``a`` at a time in one integer."""
+    """Longest common subsequence, all places of ``a`` at a time in one integer; bits beyond them never come back down."""
     if not a or not b:
         return 0
     where = _places(a).get
     row = full = (1 << len(a)) - 1
     for c in b:
         if hit := where(c, 0) & row:
-            row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+            row = (row + hit) | (row - hit)
+    return len(a) - (row & full).bit_count()
 
 
 def ratio(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+@lru_cache(1 << 14)
+def _in_order(s: str) -> str:
+    return " ".join(sorted(s.split()))
+
+
 def token_sort_text(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(_in_order(a), _in_order(b))
 
 
-@lru_cache(1 << 12)
-def _tokens(s: str) -> frozenset[str]:
-    return frozenset(s.split())
+@lru_cache(1 << 14)
+def _tokens(s: str) -> tuple[frozenset[str], tuple[str, ...], str]:
+    """Distinct tokens, in order, and joined."""
+    found = frozenset(s.split())
+    order = tuple(sorted(found))
+    return found, order, " ".join(order)
 
 
 def token_set_text(a: str, b: str) -> float:
-    x, y = _tokens(a), _tokens(b)
+    (x, in_x, all_x), (y, in_y, all_y) = _tokens(a), _tokens(b)
     if not x or not y:
         return 0.0
     common = x & y
     if not common:
-        return ratio(" ".join(sorted(x)), " ".join(sorted(y)))
+        return ratio(all_x, all_y)
     if len(common) == len(x) or len(common) == len(y):
         return 1.0
-    both = " ".join(sorted(common))
-    with_a, with_b = (f"{both} {' '.join(sorted(z - common))}" for z in (x, y))
-    # what both have in common is a prefix of either: the longest common subsequence is that prefix
-    n = len(both)
-    return max(ratio(with_a, with_b), 2 * n / (n + len(with_a)), 2 * n / (n + len(with_b)))
+    n = sum(map(len, common)) + len(common) - 1
+    rest_x, rest_y = (" ".join([t for t in ts if t not in common]) for ts in (in_x, in_y))
+    # what both have in common is a prefix of either: it is part of the longest common subsequence, and all of that with the prefix alone
+    long_x, long_y = n + 1 + len(rest_x), n + 1 + len(rest_y)
+    return max(2 * (n + 1 + lcs_length(rest_x, rest_y)) / (long_x + long_y), 2 * n / (n + long_x), 2 * n / (n + long_y))
 
 
 def _best_window(short: str, long: str) -> float:
@@ -170,35 +178,27 @@ def _mapped(one: Callable[[str, str], float]) -> Callable:
 _jaro_winkler, _token_sort, _token_set, _partial = (_mapped(f) for f in (jaro_winkler_text, token_sort_text, token_set_text, partial_text))
 
 
-def _settled(a: Column, b: Column, kernel: Callable, ones: Column | None = None) -> Column:
-    """``kernel`` of pairs that expressions don't settle: 0 where either is empty, 1 where both are equal or ``ones`` holds."""
+def _settled(a: Column | str, b: Column | str, kernel: Callable) -> Column:
+    """``kernel`` of pairs that expressions don't settle: 0 where either is empty, 1 where both are equal.
+
+    Containment of tokens is left to the kernels: array functions on every pair cost more than the crossing they spare.
+    """
     a, b = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (a, b))
-    one = a == b if ones is None else (a == b) | ones
-    done = (a == "") | (b == "") | one
-    return F.when((a == "") | (b == ""), 0.0).when(one, 1.0).otherwise(kernel(F.when(~done, a), F.when(~done, b)))
+    done = (a == "") | (b == "") | (a == b)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(kernel(F.when(~done, a), F.when(~done, b)))
 
 
 def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     return _settled(a, b, _jaro_winkler)
 
 
-def _words(c: Column | str) -> Column:
-    return F.filter(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), " "), lambda t: t != "")
-
-
 def token_sort(a: Column | str, b: Column | str) -> Column:
-    """Of single-spaced texts. Pairs with the same tokens are settled in expressions."""
-    return _settled(a, b, _token_sort, (F.size(_words(a)) > 0) & (F.array_sort(_words(a)) == F.array_sort(_words(b))))
+    return _settled(a, b, _token_sort)
 
 
 def token_set(a: Column | str, b: Column | str) -> Column:
-    """Of single-spaced texts. Pairs where one has all tokens of the other are settled in expressions."""
-    x, y = _words(a), _words(b)
-    holds = lambda u, v: (F.size(u) > 0) & (F.size(v) > 0) & (F.size(F.array_except(u, v)) == 0)
-    return _settled(a, b, _token_set, holds(x, y) | holds(y, x))
+    return _settled(a, b, _token_set)
 
 
 def partial(a: Column | str, b: Column | str) -> Column:
-    """A text that the other holds as it is is settled in expressions."""
-    x, y = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (a, b))
-    return _settled(a, b, _partial, F.contains(x, y) | F.contains(y, x))
+    return _settled(a, b, _partial)

@@ -73,7 +73,13 @@ def shared_keys(keyed: DataFrame, most: int = tables.MOST_POSTINGS, caps: dict[s
     queries are, and a frequent key among queries is split by the skew join.
     """
     queries, targets = split_sides(keyed)
-    return queries.join(prune(targets, most, caps), ["country", "ktype", "key"])
+    weighted = prune(targets, most, caps).withColumn("weight", key_weight())  # once a posting and not once a pair
+    return queries.join(weighted, ["country", "ktype", "key"])
+
+
+def key_weight() -> Column:
+    """What a shared key adds to a pair's score: by its type and rarity."""
+    return K.weight(F.col("ktype")) / F.log1p(F.col("df"))
 
 
 #: Postings up to which an index is broadcast to its queries, some 60 bytes each.
@@ -90,9 +96,8 @@ def probe(queries: DataFrame, index: DataFrame, small: int = SMALL_INDEX) -> Dat
 
 def idf_scores(shared: DataFrame) -> DataFrame:
     """(country, s1_id, target_id, idf, hits): weighted by type and rarity, and merely counted."""
-    return shared.groupBy(*PAIR).agg(
-        F.round(F.sum(K.weight(F.col("ktype")) / F.log1p(F.col("df"))), 6).alias("idf"), F.count(F.lit(1)).alias("hits")
-    )
+    weight = F.col("weight") if "weight" in shared.columns else key_weight()
+    return shared.groupBy(*PAIR).agg(F.round(F.sum(weight), 6).alias("idf"), F.count(F.lit(1)).alias("hits"))
 
 
 def top(scored: DataFrame, k: int, score: str = "idf", rank: str = "rn") -> DataFrame:
