@@ -23,7 +23,7 @@ _UNEVEN = re.compile(r"\s")
 #: Longer chunks are not kept; when the cache is full, only chunks up to the second length stay.
 LONGEST_KEPT, SHORT = 64, 8
 #: Chunks kept by kind, some 150 bytes each; of words by both vocabularies, 250.
-MOST_KEPT = {"words": 300_000, "bytes": 600_000, "both": 200_000}
+MOST_KEPT = {"words": 250_000, "bytes": 600_000, "both": 150_000}
 _encoders: dict[tuple, object] = {}
 _FORMATS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
