@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import tables
 from ..functions.text import md5_bucket
-from ..operators import decide, evaluate, features, keys, model, records, retrieval
+from ..operators import decide, evaluate, features, keys, model, records, retrieval, vectors
 from ..sources import files
 
 
@@ -114,15 +114,13 @@ def normalised_pages(pages: DataFrame, unicode: bool = False) -> DataFrame:
     return records.normalise(records.page_records(pages), unicode)
 
 
-def baseline_candidates(normalised: DataFrame, bucket: int = 150, vectors: int = 50) -> DataFrame:
+def baseline_candidates(normalised: DataFrame, bucket: int = 150, nearest: int = 50) -> DataFrame:
     """First generation: pairs that share a key of a small bucket, and each record's nearest by character grams."""
     made = keys.make(normalised, keys.families_g1())
     by_key = retrieval.shared_keys(made, bucket, {})
     docs = normalised.select(F.col("entity_id").alias("doc"), F.concat_ws(" ", "name_norm", "addr_norm").alias("text"), "country", "is_s1")
-    unit = retrieval.tfidf(docs.select("doc", "text")).join(docs.select("doc", "country", "is_s1"), "doc")
-    near = retrieval.cosine(unit.where("is_s1"), unit.where("not is_s1"), ("country", "gram")).where("cos > 0.000001")
-    near = near.select("country", F.col("a").alias("s1_id"), F.col("b").alias("target_id"), "cos")
-    return retrieval.union_candidates(by_key, retrieval.top(near, vectors, "cos"))
+    near = vectors.nearest(vectors.fit(docs), docs, nearest).select("country", F.col("a").alias("s1_id"), F.col("b").alias("target_id"))
+    return retrieval.union_candidates(by_key, near)
 
 
 def link_baseline(normalised: DataFrame, th: float = 0.55, mt: float = 0.70) -> DataFrame:
