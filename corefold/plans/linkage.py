@@ -133,7 +133,7 @@ def link_baseline(normalised: DataFrame, th: float = 0.55, mt: float = 0.70) ->
 def link_boost(normalised: DataFrame, pool_size: int, most: int = 25, th: float = 0.5, mt: float = 0.5) -> DataFrame:
     """Second generation: six families, large buckets deleted, ranked by hits; veto, rescue, one-to-one by text."""
     made = keys.make(normalised, keys.families_g2())
-    found = retrieval.top(retrieval.idf_scores(retrieval.shared_keys(made, retrieval.overflow_cap(pool_size), {})), most, "hits")
+    found = retrieval.ranked(made, most, "hits", most=retrieval.overflow_cap(pool_size), caps={})
     scored = retrieval.with_texts(features.pseudo_probability(found, normalised), normalised, ("addr_norm",))
     scored = scored.withColumn("a_sort", S.token_sort("a_addr_norm", "b_addr_norm"))
     accepted = decide.gate(decide.veto_and_rescue(scored, th).select("country", "s1_id", "target_id", "prob"), th, mt)
