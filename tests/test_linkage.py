@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from corefold.functions import similarity as S
 from corefold.functions import tables
 from corefold.functions import text as T
-from corefold.operators import decide, evaluate, features, keys, model, records, retrieval, validate
+from corefold.operators import decide, evaluate, features, keys, model, records, retrieval, validate, vectors
 from corefold.plans import catalog, linkage
 from corefold.sources import files
 from corefold.streaming import incremental
@@ -179,6 +179,54 @@ def test_lcs_by_table():
         assert S.lcs_length(a, b) == row[-1]
 
 
+def test_partial_of_many_pairs_is_that_of_each():
+    rng = random.Random(3)
+    made = lambda low, high: "".join(rng.choice("abc é") for _ in range(rng.randint(low, high)))
+    pairs = [(made(0, 9), made(0, 9)) for _ in range(3000)] + [(made(55, 75), made(55, 90)) for _ in range(40)] + [(made(64, 64), made(64, 64)) for _ in range(5)]
+    assert S.partial_texts(pairs) == [S.partial_text(*p) for p in pairs]
+
+
+def _texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 6))) for _ in range(90)] + ["same text"] * 40
+    rows = [(f"S{i % 3 + 1}-{i:03d}", "us" if i % 5 else "fr", i % 3 == 0, t) for i, t in enumerate(texts)]
+    return rows, spark.createDataFrame(rows, "doc string, country string, is_s1 boolean, text string")
+
+
+def test_cosines_in_blocks_are_those_of_joined_grams(spark):
+    rows, docs = _texts(spark)
+    unit = retrieval.tfidf(docs.select("doc", "text")).join(docs.select("doc", "country", "is_s1"), "doc")
+    want = {(r["country"], r["a"], r["b"]): r["cos"] for r in retrieval.cosine(unit.where("is_s1"), unit.where("not is_s1"), ("country", "gram")).collect()}
+    space = vectors.fit(docs)
+    got = {(r["country"], r["a"], r["b"]): r["cos"] for r in vectors.above(space, docs, 0.0).collect()}
+    assert len(got) > 500 and got == pytest.approx({k: v for k, v in want.items() if v > 0})
+    best = {}
+    for (_, a, b), cos in sorted(got.items(), key=lambda x: (x[0][1], -x[1], x[0][2])):
+        best.setdefault(a, []).append(b)
+    near = vectors.nearest(space, docs, 7).orderBy("a", "rn").collect()
+    assert [(r["a"], r["b"], r["rn"]) for r in near] == [(a, b, i + 1) for a in sorted(best) for i, b in enumerate(best[a][:7])]
+    text = {d: t for d, _, _, t in rows}
+    pairs = spark.createDataFrame([(a, b, text[a], text[b]) for _, a, b in got], "a string, b string, x string, y string")
+    each = {(r["a"], r["b"]): r["cos"] for r in pairs.select("a", "b", vectors.pair_cosine(space, "x", "y").alias("cos")).collect()}
+    assert each == {(a, b): cos for (_, a, b), cos in got.items()}  # to the last bit: a bound splits pairs in one way
+
+
+def test_cosines_of_pairs_join_no_grams(spark):
+    for name in ("sm_tfidf_cosine", "jn_tfidf_topk"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "gram" not in plan
+
+
+@pytest.mark.parametrize("score", ["idf", "hits"])
+def test_ranked_lists_are_the_ranked_pairs(spark, score):
+    keyed = catalog.Pages(spark, "/root/testdata/sf0.01").keyed
+    want = retrieval.top(retrieval.idf_scores(retrieval.shared_keys(keyed)), 5, score)
+    got = retrieval.ranked(keyed, 5, score)
+    columns = ["country", "s1_id", "target_id", "idf", "hits", "rn"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
 def test_similarity_properties(spark):
     rnd = random.Random(5)
     rows = [tuple(" ".join(rnd.choice(["ab", "abc", "bcd", "x"]) for _ in range(rnd.randrange(5))) for _ in range(2)) for _ in range(150)]
