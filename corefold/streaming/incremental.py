@@ -21,19 +21,17 @@ def write_pool(pool: DataFrame, path: str, most: int = tables.MOST_POSTINGS) ->
     """Normalised target records under ``path``, their numbers in the order of ids, and their pruned postings, a list a key."""
     spark = pool.sparkSession
     pool.write.mode("overwrite").parquet(f"{path}/records")
-    ids = pool.select(F.col("entity_id").alias("target_id")).distinct().repartitionByRange("target_id").sortWithinPartitions("target_id")
-    ids.withColumn("__n", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/targets")
+    retrieval.write_numbered(pool.select(F.col("entity_id").alias("target_id")).distinct(), f"{path}/targets")
     made = keys.make(pool).select("country", "ktype", "key", F.col("entity_id").alias("target_id"))
-    lists = retrieval.posting_lists(made, spark.read.parquet(f"{path}/targets"), most)
-    lists.repartition("country", "ktype").write.mode("overwrite").partitionBy("country", "ktype").parquet(f"{path}/postings")
+    retrieval.write_posting_lists(made, f"{path}/targets", f"{path}/postings", most)
 
 
 def link_batch(batch: DataFrame, pool_path: str, variant: retrieval.Variant, th: float, mt: float) -> DataFrame:
     """Matches of one batch of normalised records."""
     spark = batch.sparkSession
-    postings, pool = spark.read.parquet(f"{pool_path}/postings"), spark.read.parquet(f"{pool_path}/records")
+    pool = spark.read.parquet(f"{pool_path}/records")
     asked = keys.make(batch).select("country", "ktype", "key", F.col("entity_id").alias("s1_id"))
-    found = retrieval.ranked_lists(asked, postings, spark.read.parquet(f"{pool_path}/targets"), variant.k0)
+    found = retrieval.ranked_lists(asked, f"{pool_path}/postings", f"{pool_path}/targets", variant.k0)
     scored = features.pseudo_probability(found, batch.unionByName(pool))
     return decide.one_to_one(decide.gate(scored, th, mt)).select("country", "s1_id", "target_id", "prob")
 
