@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -61,26 +62,58 @@ TAGS, KINDS = ("x1", "x2"), ("m1", "m2")
 
 
 def trained(normalised: DataFrame, truth: DataFrame) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Models of the records outside the holdout, and each country's best rule there: variant, model and thresholds.
+    """Models of the records outside the holdout, and each country's best rule there: variant, model and thresholds."""
+    models, rules, _ = fitted(normalised, truth)
+    return models, rules
 
-    Every variant's candidates are scored by every model once, written, and calibrated on the
-    whole grid; ties go to the variant, model and thresholds that come first.
+
+def fitted(normalised: DataFrame, truth: DataFrame) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
+    """``trained``, and all records' pairs, with the rank and each model's probability.
+
+    A record's candidates depend on no other record of the first source, and the variants differ in
+    their caps alone. So candidates and features are made once, of the widest variant and of all records, and every model's
+    probabilities are written; learning, calibration and linking take their parts of them. Only records outside the
+    holdout are learnt from and calibrated on, on the whole grid; ties go to the variant, model and thresholds that come first.
     """
-    outside = normalised.where(~F.col("is_s1") | _outside(F.col("entity_id")))
-    true = truth.where(_outside(F.col("s1_id")))
-    spine = outside.where("is_s1").select(F.col("entity_id").alias("s1_id"), "country")
-    fit = model.with_weights(files.cut(train_pairs(outside, candidates(outside, TAGS[-1]), true)))
+    found = files.written(candidates(normalised, _widest()).select(*retrieval.PAIR, "rn"), "candidates")
+    outside, true = _outside(F.col("s1_id")), truth.where(_outside(F.col("s1_id")))
+    fit = model.with_weights(files.cut(train_pairs(normalised, found.where(outside & _of(F.lit(TAGS[-1]))), true)))
     models = {k: model.train(fit, k) for k in KINDS}
+    scored = features.pair_features(found, normalised)
+    for k in KINDS:
+        scored = model.score(models[k], scored, f"prob_{k}")
+    scored = files.written(scored.select(*found.columns, *[f"prob_{k}" for k in KINDS]), "scored")
+    spine = normalised.where(F.col("is_s1") & _outside(F.col("entity_id"))).select(F.col("entity_id").alias("s1_id"), "country")
     tried = []
     for t in TAGS:
-        pairs = files.cut(features.pair_features(candidates(outside, t).select(*retrieval.PAIR), outside))
         for k in KINDS:
-            grid = evaluate.grid_one_to_one(model.score(models[k], pairs), spine, true, by=("country",))
+            pairs = scored.where(outside & _of(F.lit(t))).select(*retrieval.PAIR, F.col(f"prob_{k}").alias("prob"))
+            grid = evaluate.grid_one_to_one(pairs, spine, true, by=("country",))
             tried.append(evaluate.best_rule(grid).select("country", F.lit(t).alias("tag"), F.lit(k).alias("model"), "th", "mt", "macro_f05"))
     best = reduce(DataFrame.unionByName, tried)
     w = Window.partitionBy("country").orderBy(F.desc("macro_f05"), "tag", "model", "th", "mt")
     rules = best.withColumn("place", F.row_number().over(w)).where("place = 1").select("country", "tag", "model", "th", "mt")
-    return models, files.cut(rules)
+    return models, files.cut(rules), scored
+
+
+def _widest() -> str:
+    """The variant of TAGS whose candidates hold those of the others; they have to rank alike."""
+    if len({replace(retrieval.VARIANTS[t], cap=0) for t in TAGS}) > 1:
+        raise ValueError("variants of TAGS differ in more than their caps")
+    return max(TAGS, key=lambda t: retrieval.VARIANTS[t].cap)
+
+
+def _of(tag: F.Column) -> F.Column:
+    """Whether a pair of the widest variant is one of this variant's, too."""
+    cap = F.create_map(*[F.lit(x) for t in TAGS for x in (t, retrieval.VARIANTS[t].cap)])
+    return F.col("rn") <= F.element_at(cap, tag)
+
+
+def link_scored(scored: DataFrame, rules: DataFrame) -> DataFrame:
+    """``link_by_rules`` of pairs that all models have scored (``fitted``)."""
+    ruled = decide.with_rules(scored, F.broadcast(rules)).where(_of(F.col("tag")))  # a row a country
+    prob = F.coalesce(*[F.when(F.col("model") == k, F.col(f"prob_{k}")) for k in KINDS])
+    return decide_by(ruled.select(*retrieval.PAIR, prob.alias("prob")), rules)
 
 
 def _outside(entity_id: F.Column) -> F.Column:
@@ -89,12 +122,11 @@ def _outside(entity_id: F.Column) -> F.Column:
 
 def holdout_figures(normalised: DataFrame, truth: DataFrame) -> DataFrame:
     """(entities, macro_f05, pairs, recall_at_40) of the records in the holdout, by models and rules of the others."""
-    models, rules = trained(normalised, truth)
-    inside = normalised.where(~F.col("is_s1") | ~_outside(F.col("entity_id")))
-    true = truth.where(~_outside(F.col("s1_id")))
-    spine = inside.where("is_s1").select(F.col("entity_id").alias("s1_id"))
-    matched = link_by_rules(inside, rules, models)
-    recall = evaluate.recall_at(candidates(inside, "x2"), true, (40,)).select("pairs", F.col("recall").alias("recall_at_40"))
+    _, rules, scored = fitted(normalised, truth)
+    inside, true = scored.where(~_outside(F.col("s1_id"))), truth.where(~_outside(F.col("s1_id")))
+    spine = normalised.where(F.col("is_s1") & ~_outside(F.col("entity_id"))).select(F.col("entity_id").alias("s1_id"))
+    matched = link_scored(inside, rules)
+    recall = evaluate.recall_at(inside.where(_of(F.lit("x2"))), true, (40,)).select("pairs", F.col("recall").alias("recall_at_40"))
     both = evaluate.macro_f05(evaluate.entity_f05(spine, matched, true)).unionByName(recall, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in ("entities", "macro_f05", "pairs", "recall_at_40")])
 

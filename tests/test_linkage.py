@@ -4,6 +4,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,40 @@ def test_trained_on_the_rest_and_measured_on_the_holdout(spark, world, monkeypat
     assert got["recall_at_40"] > 0.95
 
 
+def test_linked_by_scores_made_once_as_by_the_models(spark, world, monkeypatch):
+    rec, truth = world
+    norm = records.normalise(rec, unicode=True).persist()
+    asked = []
+    made = linkage.candidates
+    monkeypatch.setattr(linkage, "candidates", lambda *args: asked.append(args[1]) or made(*args))
+    models, rules, pairs = linkage.fitted(norm, truth)
+    assert asked == ["x1"]  # one retrieval for learning, both variants and linking
+    for tag in linkage.TAGS:
+        want = {tuple(r) for r in made(norm, tag).select(*retrieval.PAIR, "rn").collect()}
+        assert {tuple(r) for r in pairs.where(linkage._of(F.lit(tag))).select(*retrieval.PAIR, "rn").collect()} == want
+    mixed = decide.rules_table(spark, (("us", "x2", "m1", 0.4, 0.5), ("india", "x1", "m2", 0.3, 0.3)))
+    for r in (rules, mixed):
+        assert sorted(map(str, linkage.link_scored(pairs, r).collect())) == sorted(map(str, linkage.link_by_rules(norm, r, models).collect()))
+
+
+def test_token_sets_against_many_texts():
+    rng = random.Random(9)
+    word = lambda: rng.choice(["ab", "abc", "b", "é", "cab", "a", "zz", "中文"])
+    texts = [" ".join(word() for _ in range(rng.randrange(9))) for _ in range(300)] + ["", " ", "x" * 64, "x" * 65, "ab " * 90, " ".join(map(str, range(99)))]
+    sets = S.TokenSets(texts)
+    for a in texts[:50] + texts[-6:]:
+        at = [rng.randrange(len(texts)) for _ in range(100)]
+        assert sets.of(a, np.array(at)).tolist() == [S.token_set_text(a, texts[i]) for i in at]
+    assert len(S.TokenSets([]).of("a", np.zeros(0, dtype=int))) == 0
+
+
+def test_no_shared_key_is_shuffled(spark):
+    """Lists of targets lie in the shared folder and are read by tasks: shuffles have numbers of keys."""
+    keyed = catalog.Pages(spark, SF).keyed
+    plan = retrieval.ranked(keyed, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "__k:bigint" in plan and "targets:array" not in plan and "__n" not in plan
+
+
 def test_models_survive_saving(spark, world, tmp_path):
     rec, truth = world
     norm = records.normalise(rec)
