@@ -24,7 +24,7 @@ from .common import bounded_batches, bounded_sample
 
 #: (host, path, verdict): the rules of the query.
 RULES = (
-    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 )
 #: More rules than this don't belong in a closure.
