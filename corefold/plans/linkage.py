@@ -142,6 +142,11 @@ def train_pairs(normalised: DataFrame, found: DataFrame, truth: DataFrame, add_m
     return features.pair_features(pairs, normalised)
 
 
+def labelled_pairs(normalised: DataFrame, found: DataFrame, truth: DataFrame) -> DataFrame:
+    """All candidates, labelled, with all features; unlike ``train_pairs`` no negative is left out."""
+    return features.pair_features(evaluate.label(found.select(*retrieval.PAIR), truth), normalised)
+
+
 def normalised_pages(pages: DataFrame, unicode: bool = False) -> DataFrame:
     return records.normalise(records.page_records(pages), unicode)
 
